@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, interleave, licenses
+from . import bpe, decontaminate, interleave, licenses, toxicity
+from .common import bucket
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("held_out", bucket("doc_id", 3) == 1)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave.media_of_documents(table(spark, sf_dir, "documents"))
 
