@@ -55,6 +55,11 @@ class WordBpe:
         self.stable = self._stable(n)
         self.longest = max(map(len, self.vocab))
         self.alphabet = byte_alphabet()
+        self.plain = dict(enumerate(self.alphabet[:128]))
+        self.inner = [self.vocab[c] for c in self.alphabet]
+        self.final = [self.vocab[c + self.end] for c in self.alphabet]
+        self.rank_of = self.ranks.get
+        self.made = [made for _, made in self.ranks.values()]
         import regex
 
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
@@ -102,31 +107,26 @@ class WordBpe:
             fine[t] &= fine[self.left[t]] and fine[self.right[t]]
         return fine
 
-    def symbols(self, word: str) -> list[str]:
-        chars = [self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]
-        return [*chars[:-1], chars[-1] + self.end]
-
     def merge(self, word: str) -> list[int]:
         """Exact merging: the lowest rank first, the leftmost of equals."""
-        ids = [self.vocab[s] for s in self.symbols(word)]
-        while len(ids) > 1:
-            best = min((self.ranks.get((ids[i], ids[i + 1]), (NEVER, 0))[0], i) for i in range(len(ids) - 1))
-            if best[0] == NEVER:
-                break
-            pair, out, i = (ids[best[1]], ids[best[1] + 1]), [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                    out.append(self.ranks[pair][1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        raw = word.encode("utf-8", "surrogatepass")
+        ids = [self.inner[b] for b in raw[:-1]]
+        ids.append(self.final[raw[-1]])
+        get, never = self.rank_of, (NEVER, 0)
+        ranks = [get((a, b), never)[0] for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < NEVER:
+            i = ranks.index(best)
+            ids[i : i + 2] = [self.made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), never)[0]
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), never)[0]
         return ids
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match over tokens that are stable."""
-        s = "".join(self.alphabet[b] for b in word.encode("utf-8", "surrogatepass"))
+        s = word.translate(self.plain) if word.isascii() else "".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")])
         n, at, out = len(s), 0, []
         vocab, stable, end = self.vocab, self.stable, self.end
         whole = vocab.get(s + end)
