@@ -2,23 +2,71 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, decontaminate, near, pii, toxicity
 from tessera.llm.common import scratch
 
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar, learned from the labels outside the held-out third, does not predict as toxic.
+
+    The prediction is a column beside the row itself, so no join follows; null and empty texts stay.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs, labels, keep=docs.columns).filter("predicted = 0").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the least id.
+
+    Documents without words are classes of their own. Rows without id stay, as they cannot be told apart; rows that share an
+    id share their fate, and of those with equal text one stays.
+    """
+    classes = near.near_copies(docs)
+    kept = classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    own = docs.join(kept, "doc_id")
+    once, more = own.filter("n = 1"), own.filter("n > 1").dropDuplicates(["doc_id", "text"])
+    rest = docs.filter("doc_id is null")
+    return once.select(docs.columns).unionByName(more.select(docs.columns)).unionByName(rest)
+
+
+def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less than a twentieth of whose words lie in benchmark windows."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contamination(docs, items, keep=docs.columns).filter("not contaminated").select(docs.columns)
+
+
+def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms in place of personal values; n_chars follows the new text."""
+    masked = pii.pseudonymize(docs, keep=docs.columns)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return masked.select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the counts and digests of their tokens."""
+    return bpe.encode(docs, keep=docs.columns)
+
+
 STAGES = [
-    ("bpe", lambda spark, docs, sf_dir: bpe.encode(docs)),
+    ("toxicity", reject_toxic),
+    ("near_copies", drop_near_copies),
+    ("decontamination", reject_contaminated),
+    ("pseudonyms", mask_private),
+    ("bpe", encode),
 ]
 
-#: No SQL expresses the stages.
+#: No SQL expresses the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what a stage returns is written and read again as the next one's input."""
-    import uuid
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{scratch(spark)}/{uuid.uuid4().hex}-{name}"

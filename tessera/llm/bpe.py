@@ -160,7 +160,10 @@ class WordBpe:
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodings of chunks without white space into the cache."""
-        parts = [self.split(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()) for c in chunks]
+        parts = [
+            [c.lower()] if c.isascii() and c.isalpha() else self.split(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower())
+            for c in chunks
+        ]
         distinct = list(dict.fromkeys(w for p in parts for w in p))
         ids = dict(zip(distinct, self.encode_words(distinct), strict=True))
         for chunk, p in zip(chunks, parts, strict=True):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, interleave, langid, licenses, pii, ppm, toxicity
+from . import bpe, decontaminate, interleave, langid, licenses, near, pii, ppm, toxicity
 from .common import bucket
 
 
@@ -30,6 +30,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents"))
 
 
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
 
