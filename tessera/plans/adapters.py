@@ -28,7 +28,7 @@ FROM events"""
 #: One row per (annotator, item): the last label; and every distinct row.
 ANNOTATION_ROWS = """
 SELECT DISTINCT l_suppkey AS annotator, l_partkey AS item, l_returnflag AS label, l_extendedprice AS response_time, l_quantity AS replay,
-  l_shipdate AS at, l_orderkey AS ord, l_linenumber AS line,
+  l_shipdate AS shipped, l_orderkey AS ord, l_linenumber AS line,
   CASE l_partkey % 3 WHEN 0 THEN 'volume' WHEN 1 THEN 'echo' ELSE 'pitch' END AS category,
   CASE l_partkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'mid' ELSE 'high' END AS difficulty,
   CASE l_partkey % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'quad_first_flat' WHEN 2 THEN 'quad_last_flat' ELSE 'jump' END AS trajectory,
