@@ -44,18 +44,23 @@ SELECT c_custkey AS speaker, c_mktsegment AS accent, CASE c_nationkey % 2 WHEN 0
 FROM customer"""
 
 FEATURES = """
-SELECT label % 3 AS model, label AS category, CAST(floor(vec_id / 2) AS BIGINT) AS pair, CAST(floor(vec_id / 2) AS BIGINT) % 12 AS source,
-  CASE vec_id % 2 WHEN 0 THEN 'up' ELSE 'down' END AS direction, vec_id % 2 AS gold, vec_id AS clip_id, embedding AS vec
+SELECT CAST(floor(vec_id / 2) AS BIGINT) % 3 AS model, CAST(floor(vec_id / 6) AS BIGINT) % 4 AS category, CAST(floor(vec_id / 24) AS BIGINT) % 5 AS source,
+  CAST(floor(vec_id / 2) AS BIGINT) AS pair, CASE vec_id % 2 WHEN 0 THEN 'up' ELSE 'down' END AS direction, 1 - vec_id % 2 AS gold, vec_id AS clip_id, embedding AS vec
 FROM embeddings"""
 
 FRAMES = """
 SELECT user_id AS clip, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value AS rms
 FROM events"""
 
-#: Clips of a benchmark: one per event that has a place in time, with its speech bounds.
+#: Clips of a benchmark: one per event, with its speech bounds and condition.
 BOUNDED = """
-SELECT event_id AS clip_id, concat('s', user_id % 50) AS source_id, 16000 AS rate, 16000 + event_id % 8000 AS num_samples,
-  (event_id % 10) / 20.0 AS onset_sec, 0.3 + (event_id % 13) / 10.0 AS offset_sec, event_type AS category
+SELECT event_id AS clip_id, 8000 + event_id % 2 * 8000 AS rate, 4000 + event_id % 3000 AS num_samples,
+  (event_id % 10) / 40.0 AS onset_sec, 0.1 + (event_id % 13) / 20.0 AS offset_sec,
+  CASE event_id % 9 WHEN 0 THEN 'volume' WHEN 1 THEN 'speaking_speed' WHEN 2 THEN 'voice_pitch' WHEN 3 THEN 'background_noise' WHEN 4 THEN 'audio_distortion'
+    WHEN 5 THEN 'audio_roughness' WHEN 6 THEN 'voice_clarity' WHEN 7 THEN 'voice_vibration' ELSE 'echo' END AS category,
+  CASE user_id % 2 WHEN 0 THEN 'up' ELSE 'down' END AS direction,
+  CASE user_id % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'quad_first_flat' WHEN 2 THEN 'quad_last_flat' ELSE 'jump' END AS curve,
+  CASE user_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'mid' ELSE 'high' END AS tier, 0.25 + (user_id % 3) * 0.125 AS amount, floor(value * 5) / 1000 AS clipped_ratio
 FROM events"""
 
 

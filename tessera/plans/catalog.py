@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_curate, q_labels, q_scoring  # noqa: F401
+from . import q_curate, q_io, q_labels, q_scoring, q_signal  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 
