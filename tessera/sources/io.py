@@ -59,7 +59,7 @@ def read_speaker_info(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
 def read_waveforms(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """path, rate, channels, duration_sec and samples (mono, -1 to 1) of 8- and 16-bit PCM WAV files; others raise."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    schema = StructType().add("path", "string").add("rate", "int").add("channels", "int").add("duration_sec", "double").add("samples", ArrayType(DoubleType()))
+    schema = StructType().add("path", "string").add("rate", "integer").add("channels", "integer").add("duration_sec", "double").add("samples", ArrayType(DoubleType()))
 
     def decode(batches):
         for pdf in batches:
