@@ -24,8 +24,6 @@ GRAM, WINDOW = 10, 16
 #: Words before the first minimiser of a passage, at most, and words that sort a suffix.
 SLACK = WINDOW - 1
 PREFIX = MIN_WORDS - SLACK
-#: Runs that may be broadcast to the scan that extends them; more are joined.
-BROADCAST_RUNS = 500_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MUL = np.uint64(0xBF58476D1CE4E5B9)
@@ -202,8 +200,7 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     suffixes = materialize(source.mapInArrow(_suffixes, f"key long, doc_id {kind}, pos int"))
     runs = materialize(shared(suffixes).groupBy("doc_id").agg(F.collect_set("pos").alias("positions")))
     dealt = runs.withColumnRenamed("doc_id", "run_id")
-    small = runs.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0] <= 8 * BROADCAST_RUNS and runs.count() <= BROADCAST_RUNS
-    held = source.join(F.broadcast(dealt) if small else dealt, F.col("doc_id").eqNullSafe(F.col("run_id")))
+    held = source.join(dealt, F.col("doc_id").eqNullSafe(F.col("run_id")))
     around = materialize(held.select("doc_id", "text", "positions").mapInArrow(_around, f"key long, doc_id {kind}, pos int"))
     places = shared(around).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     spans = places.mapInArrow(_spans, f"doc_id {kind}, start_word long, end_word long")
