@@ -22,6 +22,8 @@ from .common import ARROW_ROWS, blocks, bucket, map_texts, materialize, words_of
 FIT_ROWS = 20_000
 #: Share of learned stems that chance may explain.
 FALSE_STEMS = 0.02
+#: Log odds that a stem needs; below it chance words of toxic copies abound.
+LEAST_WEIGHT = 4.0
 #: Lengths of stems; a longer word is also looked up whole.
 STEM = (4, 9)
 #: Function words of the grammar. Fixed values.
@@ -124,12 +126,12 @@ class Model:
                 yield text[begun : m.end()], t, weight, out
 
     def features(self, lowered: str) -> list[float]:
-        sums = dict.fromkeys(FEATURES, 0.0)
+        """The strongest insult and threat, and the strongest with each mark: many weak words do not make one insult."""
+        top = dict.fromkeys(FEATURES, 0.0)
         for _, _, weight, out in self.clauses(lowered):
-            sums[out[0]] += weight
-            for mark in set(out[1:]):
-                sums[out[0] + mark] += weight
-        return [math.log1p(x) for x in sums.values()]
+            for k in (out[0], *(out[0] + mark for mark in out[1:])):
+                top[k] = max(top[k], weight)
+        return [x / 4 for x in top.values()]
 
     def score(self, x: list[float]) -> float:
         z = self.bias + sum(w * v for w, v in zip(self.weights, x, strict=True))
@@ -192,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         if strength[s] < math.log(len(pos) / (FALSE_STEMS * i)):
             break
         w = math.log((pos[s] + 0.5) / (n_pos + 1)) - math.log((neg[s] + 0.5) / (n_all - n_pos + 1))
-        if w > 2:
+        if w > LEAST_WEIGHT:
             stems[s] = w
     model = Model(stems, [0.0] * len(FEATURES), bias)
     shown = docs.sparkSession.sparkContext.broadcast(stems)
