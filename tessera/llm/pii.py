@@ -26,7 +26,7 @@ NUMBER = re.compile(
     (?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w-]|\.\d)
     |(?P<date>\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\w/-]|\.\d)
     |(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])
-    |(?P<card>\d(?:[ -]?\d){12,18})(?!\w|-\d)
+    |(?P<card>\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{4}|\d{4}[ -]\d{4}-\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w|-\d)
     |(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|-\d)
     )""",
     re.X,
@@ -195,10 +195,13 @@ class Masker:
     @staticmethod
     def _collect(pattern: re.Pattern, text: str, replace, found: list, taken: list) -> None:
         """Add what validates and overlaps nothing found before; `replace` gives (kind, start, end, pseudonym) or nothing."""
-        for m in pattern.finditer(text):
-            if (got := replace(m)) and not any(a < got[2] and got[1] < b for a, b in taken):
+        at = 0
+        while m := pattern.search(text, at):
+            got = replace(m)
+            if got and not any(a < got[2] and got[1] < b for a, b in taken):
                 found.append(got)
                 taken.append(got[1:3])
+            at = m.end() if got else m.start() + 1  # what fails to validate may hide something shorter
 
     def find(self, text: str) -> list[tuple[str, int, int, str]]:
         """(kind, start, end, pseudonym) of all values, in order, without overlaps."""
@@ -222,8 +225,9 @@ class Masker:
         return "secret", m.start(group), m.end(group), permute_text(m[group], self.key, b"secret")
 
     def _number(self, m: re.Match):
-        new = NUMBERS[m.lastgroup](m.group(), self.key)
-        return new and (m.lastgroup, m.start(), m.end(), new)
+        kind = next(k for k in NUMBERS if m[k])
+        new = NUMBERS[kind](m.group(), self.key)
+        return new and (kind, m.start(), m.end(), new)
 
     def mask(self, text: str) -> tuple[str, list[str]]:
         out, at, kinds = [], 0, []

@@ -53,6 +53,13 @@ def test_texts(spark):
     assert len({x.text for x in rows if x.doc_id == 1}) == 1
 
 
+def test_neighbours_do_not_hide_each_other():
+    text = "4451718024887799 27.65.93.188 and +1 (836) 555-9331 4913187196670932 53.121.55.90, 12 4111 1111 1111 1111 9"
+    out, kinds = m.Masker(KEY).mask(text)
+    assert sorted(kinds) == ["card", "card", "card", "ip", "ip", "phone"]
+    assert not [v for v in ("4451718024887799", "27.65.93.188", "555-9331", "4913187196670932", "53.121.55.90", "4111 1111 1111 1111") if v in out]
+
+
 def test_linked_across_documents(spark, sf_check):
     docs = spark.read.parquet(f"{sf_check}/documents.parquet")
     before = {r.doc_id: r.text for r in docs.collect()}
