@@ -53,8 +53,10 @@ class WordBpe:
         self.pair_keys = keys[order]
         self.pair_ranks = np.array([r for r, _ in self.ranks.values()], np.int64)[order]
         self.stable = self._stable(n)
-        self.longest = max(map(len, self.vocab))
+        self.known = {t: i for t, i in self.vocab.items() if self.stable[i]}
+        self.longest = max(len(t) for t in self.known if not t.endswith(self.end))
         self.alphabet = byte_alphabet()
+        self.number = [str(i) for i in range(n)]
         self.plain = dict(enumerate(self.alphabet[:128]))
         self.inner = [self.vocab[c] for c in self.alphabet]
         self.final = [self.vocab[c + self.end] for c in self.alphabet]
@@ -125,20 +127,17 @@ class WordBpe:
         return ids
 
     def propose(self, word: str) -> list[int]:
-        """Greedy longest match over tokens that are stable."""
+        """Greedy longest match over tokens that are stable; single symbols always are."""
         s = word.translate(self.plain) if word.isascii() else "".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")])
-        n, at, out = len(s), 0, []
-        vocab, stable, end = self.vocab, self.stable, self.end
-        whole = vocab.get(s + end)
-        if whole is not None and stable[whole]:
-            return [whole]
-        while at < n:
-            for stop in range(min(n, at + self.longest), at, -1):
-                t = vocab.get(s[at:] + end if stop == n else s[at:stop])
-                if t is not None and (stable[t] or stop == at + 1):
-                    out.append(t)
-                    at = stop
-                    break
+        get, end = self.known.get, self.end
+        at, out, last = 0, [], len(s) - 1
+        while (t := get(s[at:] + end)) is None:
+            stop = min(last, at + self.longest)
+            while (t := get(s[at:stop])) is None:
+                stop -= 1
+            out.append(t)
+            at = stop
+        out.append(t)
         return out
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -164,11 +163,18 @@ class WordBpe:
             [c.lower()] if c.isascii() and c.isalpha() else self.split(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower())
             for c in chunks
         ]
-        distinct = list(dict.fromkeys(w for p in parts for w in p))
-        ids = dict(zip(distinct, self.encode_words(distinct), strict=True))
+        distinct = list({w for p in parts for w in p})
+        number, text = self.number, self.text_of
+        words = {
+            w: (len(x), " ".join([number[t] for t in x]), " ".join([text[t] for t in x]))
+            for w, x in zip(distinct, self.encode_words(distinct), strict=True)
+        }
         for chunk, p in zip(chunks, parts, strict=True):
-            tokens = [t for w in p for t in ids[w]]
-            self.cache[chunk] = (len(tokens), " ".join(map(str, tokens)), " ".join(self.text_of[t] for t in tokens))
+            if len(p) == 1:
+                self.cache[chunk] = words[p[0]]
+            else:
+                own = [words[w] for w in p]
+                self.cache[chunk] = (sum([x[0] for x in own]), " ".join([x[1] for x in own]), " ".join([x[2] for x in own]))
 
     def encode_texts(self, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
         """For each text its chunks: number of tokens, ids and token texts, both joined by a space.
