@@ -64,6 +64,19 @@ def test_query_against_brute_force(spark, sf_small):
         assert isclose(r.score, brute_score(levels, t), rel_tol=1e-4)
 
 
+def test_rare_contexts_of_a_large_table_count(spark):
+    common = [(i, "the same old line is said again and again " * 40) for i in range(400)]
+    rare = [(1000 + i, f"quizzical zephyr {i % 3}") for i in range(6)]
+    odd = [(2000, "quizzical zephyr"), (2001, "quizzed é zzz"), (2002, None), (2003, "q")]
+    levels = counts_of([t for _, t in common + rare])
+    train, docs = (spark.createDataFrame(x, "doc_id long, text string") for x in (common + rare, common[:3] + rare + odd))
+    for size in (0, 90, m.HEAD_GRAMS):
+        got = {r.doc_id: r.score for r in m.score(docs, train, head_grams=size).collect()}
+        assert len(got) == 13
+        for i, t in common[:3] + rare + odd:
+            assert isclose(got[i], brute_score(levels, t), rel_tol=1e-5)
+
+
 def test_learns(spark, sf_check):
     got = m.held_out_score(spark.read.parquet(f"{sf_check}/documents.parquet")).filter("held_out").collect()
     assert len(got) > 100 and sum(r.score for r in got) > 1.1 * sum(r.base_score for r in got)
