@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, blocks, bucket, map_texts, materialize, words_of
+from .common import ARROW_ROWS, blocks, bucket, map_texts, materialize
 
 #: Labelled rows that the grammar is fitted on, at most; chosen by hash.
 FIT_ROWS = 20_000
@@ -32,6 +32,7 @@ REPORTED = frozenset("said says say told called claims wrote quoted sagte sagt s
 TARGET = frozenset("you your you're u he she they him her them du dich dein ihr euch tu toi vous ils elle usted ustedes él ella".split())
 THREAT = frozenset("kill hurt destroy beat punch burn shoot stab töten schlagen zerstören tuer frapper brûler matar golpear quemar".split())
 CLAUSE = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:\n]")
+ENDS = frozenset(c.encode() for c in ".!?;:\n")
 MARKS = ("n", "r", "t")
 FEATURES = ["I", "In", "Ir", "It", "T", "Tn", "Tr", "Tt"]
 
@@ -83,6 +84,11 @@ def grammar():
     return compose(_scope("R", "r", None), _scope("N", "n", 3), _scope("G", "t", 6))
 
 
+def tokens_of(lowered: str) -> set[bytes]:
+    """What the grammar reads of a text: its words, as UTF-8, and the ends of its clauses."""
+    return {t.encode("utf-8", "surrogatepass") for t in set(CLAUSE.findall(lowered))}
+
+
 def prefixes(word: bytes) -> list[bytes]:
     return [word[:k] for k in range(STEM[0], min(STEM[1], len(word)) + 1)] + ([word] if len(word) > STEM[1] or len(word) < STEM[0] else [])
 
@@ -138,8 +144,8 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     def suspects(self, lowered: list[str]) -> list[bool]:
-        """Which texts have a word with a learned stem or a threat, by sets of words."""
-        sets = [set(words_of(t)) for t in lowered]
+        """Which texts have a word with a learned stem or a threat, by sets of the same tokens as in clauses()."""
+        sets = [tokens_of(t) for t in lowered]
         hot = {w for w in set().union(*sets) if self.weight(w)} | {w.encode() for w in THREAT}
         return [not s.isdisjoint(hot) for s in sets]
 
@@ -158,7 +164,7 @@ def _document_frequency(sample: DataFrame, known: set[bytes] | None) -> Counter:
         seen: Counter = Counter()
         for block in blocks(batches, "text"):
             for t in block.column("text").to_pylist():
-                found = {p for w in set(words_of(t.lower())) for p in prefixes(w)}
+                found = {p for w in tokens_of(t.lower()) if w not in ENDS for p in prefixes(w)}
                 seen.update(found if known is None else found & known)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["stem", "n"])
 

@@ -26,6 +26,31 @@ def test_grammar_marks():
     assert seen("not one two three fool") == ["I"] and seen("i will kill you") == ["T"]
 
 
+QUOTED = ["¡{}!", "“{}”", "«{}»", "—{}—", "so\u00a0{}\u00a0so", "‘{}’", "…{}…", "_{}_", "you’re {}", "l'{}", "{}"]
+
+
+def test_gate_lets_through_whatever_the_grammar_finds():
+    model = m.Model({b"idiot": 6.0}, [1.0] * 8, -3.0)
+    for word in ("idiota", "kill", "töten", "peace"):
+        for t in (q.format(word) for q in QUOTED):
+            assert model.suspects([t]) == [any(model.features(t))] == [word != "peace" and not t.startswith("l'")], t
+
+
+def test_score_does_not_depend_on_punctuation_beyond_ascii(spark):
+    rows, labels = corpus()
+    odd = [(7000 + i, q.format("blorgface"), "x") for i, q in enumerate(QUOTED) if "’re" not in q and "l'" not in q]
+    d = spark.createDataFrame([*rows, *odd], "doc_id long, text string, score string")
+    got = {r.doc_id: r for r in m.score(d, spark.createDataFrame(labels, "doc_id long, toxic int"), clauses=True).collect()}
+    assert all(got[i].matches for i, *_ in odd)
+    assert len({got[i].score for i, *_ in odd}) == 1
+
+
+def test_stems_are_learned_from_the_words_that_the_grammar_reads(spark):
+    sample = spark.createDataFrame([("you “zukkel” ¡zukkel! zukkel.",)], "text string")
+    found = m._document_frequency(sample, None) or m._document_frequency(sample, {b"zukkel", "“zukkel”".encode()})
+    assert found == {b"zukkel": 1}
+
+
 def test_learns_and_generalises(spark):
     rows, labels = corpus()
     d = spark.createDataFrame([*rows, (5001, None, "x"), (5002, "", "x"), (5003, "you zukkelisch blorgface zukkelheit", "x")], "doc_id long, text string, score string")
