@@ -54,14 +54,15 @@ def balanced_group_search(speakers: DataFrame, speaker: str, gender: str, accent
     """The members of the best of `iters` draws of n speakers, with score and trial.
 
     Score: ten times the deviation of F and M counts from even targets, plus that of accent counts; the first best wins.
-    The candidates, a small table, go to every trial; trials are ranked apart from one another.
+    Every candidate stays in its partition, which passes on only its first n of each trial (Spark does so for n up to
+    spark.sql.optimizer.windowGroupLimitThreshold); trials are ranked apart from one another.
     """
     spark = speakers.sparkSession
     genders = even_targets(speakers.filter(F.col(gender).isin("F", "M")), gender, n).select(F.lit("g").alias("kind"), F.col(gender).alias("label"), (F.col("target") * 1).alias("target"))
     accents = even_targets(speakers, accent, n).select(F.lit("a").alias("kind"), F.col(accent).alias("label"), "target")
-    draws = spark.range(iters).withColumnRenamed("id", "trial").crossJoin(F.broadcast(speakers.select(speaker, gender, accent)))
+    draws = speakers.select(F.explode(F.sequence(F.lit(0), F.lit(iters - 1)).cast("array<long>")).alias("trial"), speaker, gender, accent)
     w = Window.partitionBy("trial").orderBy(hash_order(seed, F.col("trial"), F.col(speaker)), speaker)
-    picked = draws.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= n)
+    picked = _saved(draws.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= n))
     counts = picked.select("trial", F.explode(F.array(F.struct(F.lit("g").alias("kind"), F.col(gender).alias("label")), F.struct(F.lit("a").alias("kind"), F.col(accent).alias("label")))).alias("x"))
     counts = counts.groupBy("trial", "x.kind", "x.label").agg(F.count("*").alias("c"))
     grid = spark.range(iters).withColumnRenamed("id", "trial").crossJoin(F.broadcast(genders.union(accents)))

@@ -46,6 +46,12 @@ def c4_balanced_group_search(spark, sf):
     return rounded(C.balanced_group_search(sp, "speaker", "gender", "accent", 20, 60, 3))
 
 
+@query()
+def c4_balanced_group_search_all(spark, sf):
+    """The same on all speakers; the SQL above is kept to the subset that it can rank."""
+    return rounded(C.balanced_group_search(adapt(spark, sf, SPEAKERS), "speaker", "gender", "accent", 20, 60, 3))
+
+
 @query(f"""WITH r AS (SELECT clip_id, speaker, count(*) OVER (PARTITION BY speaker) AS group_size, row_number() OVER (PARTITION BY speaker ORDER BY {H(11, 'speaker', 'clip_id')}, clip_id) AS k FROM ({CLIPS}))
   SELECT clip_id, speaker, group_size, row_number() OVER (PARTITION BY speaker ORDER BY clip_id) AS item_no FROM r WHERE k <= 8""")
 def c5_sample_per_group(spark, sf):

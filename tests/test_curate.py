@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import curate as C
+from tessera.plans import catalog
+from tessera.plans.adapters import SPEAKERS, adapt
 
 
 def in_hash_order(seed, *keys):
@@ -65,3 +67,28 @@ def test_stratified_split_edges(spark):
     n = {(r.label, r.split): r["count"] for r in C.stratified_split(df, "label", "k", 0.25, 1).groupBy("label", "split").count().collect()}
     assert n == {("a", "train"): 1, ("b", "train"): 1, ("b", "val"): 1, ("c", "val"): 2, ("c", "train"): 8}
     assert C.stratified_split(df, "label", "k", 0, 1).filter("split = 'val'").count() == 0
+
+
+def balanced_by_hand(rows, n, iters, seed):
+    """rows: (speaker, gender, accent)."""
+    even = lambda labels: {x: n // len(labels) + (i < n % len(labels)) for i, x in enumerate(sorted(labels))}
+    genders, accents = even({r[1] for r in rows} & {"F", "M"}), even({r[2] for r in rows})
+    tried = []
+    for trial in range(iters):
+        drawn = sorted(rows, key=lambda r: (in_hash_order(seed, trial)(r[0]), r[0]))[:n]
+        off = lambda targets, k: sum(abs(sum(r[k] == x for r in drawn) - t) for x, t in targets.items())  # noqa: E731, B023
+        tried.append((10 * off(genders, 1) + off(accents, 2), trial, drawn))
+    score, trial, drawn = min(tried, key=lambda t: t[:2])
+    return sorted((*r, trial, score) for r in drawn)
+
+
+def test_balanced_search_draws_from_all_speakers(spark, sf_small):
+    rows = [(r.speaker, r.gender, r.accent) for r in adapt(spark, sf_small, SPEAKERS).collect()]
+    got = catalog.queries()["c4_balanced_group_search_all"](spark, sf_small).collect()
+    assert sorted((r.speaker, r.gender, r.accent, r.trial, r.score) for r in got) == balanced_by_hand(rows, 20, 60, 3)
+
+
+def test_balanced_search_passes_on_few_rows_of_a_partition(spark):
+    df = spark.range(3000).select(F.col("id").alias("s"), F.when(F.col("id") % 3 == 0, "F").otherwise("M").alias("g"), (F.col("id") % 4).cast("string").alias("a"))
+    got = C.balanced_group_search(df.repartition(6), "s", "g", "a", 10, 8, 1).collect()
+    assert sorted(tuple(r) for r in got) == balanced_by_hand([tuple(r) for r in df.collect()], 10, 8, 1)
