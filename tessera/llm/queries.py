@@ -27,7 +27,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents"))
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ RUNS = {
     "ppm": lambda s, d: ppm.held_out_score(d),
     "langid": lambda s, d: langid.identify(d),
     "bpe": lambda s, d: bpe.encode(d),
-    "pii": lambda s, d: pii.pseudonymize(d),
+    "pii": lambda s, d: pii.pseudonymize(d, b"k"),
     "near": lambda s, d: near.near_copies(d),
     "decontaminate": lambda s, d: decontaminate.contamination(d, s.createDataFrame([(None, None), (None, "no id"), (1, "word0x0 word1x1")], "item_id long, text string")),
     "licenses": lambda s, d: licenses.scan(d, spans=True),
@@ -43,5 +43,5 @@ def test_results_of_the_long_texts(spark, odd):
     by = {r.doc_id: r for r in near.near_copies(odd).collect()}
     assert by[2].class_id == by[3].class_id == 2 and by[2].n_links == 1 and by[5].n_copies == 2
     assert sorted(r.doc_id for r in repeats.repeated_passages(odd).collect()) == [2, 3]
-    assert {r.doc_id: r.n_pii for r in pii.pseudonymize(odd).collect()}[2] == 2
+    assert {r.doc_id: r.n_pii for r in pii.pseudonymize(odd, b"k").collect()}[2] == 2
     assert {r.doc_id: r.base_labels for r in licenses.scan(odd).collect()}[2] == "apache"

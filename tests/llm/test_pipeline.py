@@ -23,7 +23,7 @@ def test_stages_against_brute_force(spark, sf_small):
     bad = decontaminate.brute([r.text for r in second], items)
     assert sorted(r.doc_id for r in third) == sorted(r.doc_id for r, x in zip(second, bad, strict=True) if not x[4])
     fourth = p.mask_private(spark, spark.createDataFrame(third, docs.schema), sf_small).collect()
-    masker = pii.Masker(pii.KEY)
+    masker = pii.Masker(pii.session_key(spark))
     texts = {r.doc_id: masker.mask(r.text)[0] for r in third}
     assert {r.doc_id: r.text for r in fourth} == texts and all(r.n_chars == len(r.text) for r in fourth)
     last = p.encode(spark, spark.createDataFrame(fourth, docs.schema), sf_small)
