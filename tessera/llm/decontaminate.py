@@ -1,55 +1,162 @@
-"""Benchmark decontamination: one automaton over normalised test items, one scan of each text, offsets mapped back."""
+"""Benchmark decontamination: one automaton over normalised test items, one scan of each text, offsets mapped back.
+
+The automaton is an Aho-Corasick automaton whose symbols are words. Its patterns are the seeds of the items: each seven words
+of an item that stand at a multiple of seven, and short items whole. A window of thirteen words holds one such seed, so every
+place of a seed that grows to thirteen words with its item's neighbours gives all windows there, and none is missed. The
+automaton thus has a node for each word of the benchmark at most, not thirteen.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-from math import ceil
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import ARROW_ROWS, WORD_BYTES, blocks, words_of
+from .common import WORD_BYTES, map_texts, words_of
 
 WINDOW = 13
-#: Characters of window text in one automaton (some 60 bytes of memory each at most); more windows take more scans.
-AUTOMATON_CHARS = 2 << 20
-_BUILT: dict[str, object] = {}
-
+#: Words of a seed; a window holds one whole seed at a multiple of this in its item.
+SEED = (WINDOW + 1) // 2
+#: Characters of all items, at most: some 30 bytes of each task's memory for every word. A larger benchmark is refused.
+MOST_CHARS = 64 << 20
+#: Words that one lane of the scan goes through; lanes go on side by side.
+LANE = 256
 
-def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(item_id, w): every run of `size` words of an item, or all words of a shorter one; none without words."""
 
-    def run(batches):
-        for block in blocks(batches, "text"):
-            ids, out = [], []
-            for i, t in zip(block.column("item_id").to_pylist(), block.column("text").to_pylist(), strict=True):
-                w = words_of(t)
-                n = min(size, len(w))
-                for k in range(len(w) - n + 1) if n else ():
-                    ids.append(i)
-                    out.append(" " + b" ".join(w[k : k + n]).decode("latin-1") + " ")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], names=["item_id", "w"])
+class Automaton:
+    """Nodes in order of depth; a node's number is the place of its edge (parent, word) among all edges, plus one.
 
-    source = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "item_id string, w string")
+    keys: the edges as parent * n_words + word, ascending; fail: the node of the longest proper suffix; pattern: of the
+    node itself, or -1; shorter: the nearest node down the failure links that has a pattern, or 0.
+    """
 
+    def __init__(self, patterns: list[tuple[int, ...]], n_words: int):
+        self.n_words, self.longest = n_words, max(map(len, patterns), default=1)
+        lens = np.array([len(p) for p in patterns], np.int64)
+        words = np.zeros((len(patterns), self.longest), np.int64)
+        words[np.repeat(np.arange(len(patterns)), lens), np.concatenate([np.arange(n) for n in lens] or [lens])] = [w for p in patterns for w in p]
+        node = np.zeros(len(patterns), np.int64)
+        self.keys, self.fail, self.pattern = np.zeros(0, np.int64), np.zeros(1, np.int32), np.full(1, -1, np.int32)
+        self.shorter = np.zeros(1, np.int32)
+        for d in range(self.longest if len(patterns) else 0):
+            live = np.flatnonzero(lens > d)
+            made, which = np.unique(node[live] * n_words + words[live, d], return_inverse=True)
+            node[live] = which + len(self.fail)
+            fail = self.step(self.fail[made // n_words], made % n_words) if d else np.zeros(len(made), np.int64)
+            pattern = np.full(len(made), -1, np.int32)
+            done = live[lens[live] == d + 1]
+            pattern[node[done] - len(self.fail)] = done
+            self.keys = np.concatenate([self.keys, made])
+            self.shorter = np.concatenate([self.shorter, np.where(self.pattern[fail] >= 0, fail, self.shorter[fail]).astype(np.int32)])
+            self.fail = np.concatenate([self.fail, fail.astype(np.int32)])
+            self.pattern = np.concatenate([self.pattern, pattern])
+        self.speaks = (self.pattern >= 0) | (self.shorter > 0)
+
+    def step(self, node: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The nodes after reading a word in each of many lanes; word 0 is none of the benchmark's."""
+        out, live = np.zeros(len(node), np.int64), np.flatnonzero(word)
+        at = node[live].astype(np.int64)
+        while len(live):
+            key = at * self.n_words + word[live]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[place] == key
+            out[live[found]] = place[found] + 1
+            more = ~found & (at > 0)
+            live, at = live[more], self.fail[at[more]].astype(np.int64)
+        return out
+
+    def scan(self, words: np.ndarray) -> list[tuple[int, int]]:
+        """(end, pattern) of all places of all patterns, end excluded. Lanes overlap by the longest pattern but a word."""
+        if not len(self.keys) or not len(words):
+            return []
+        before = self.longest - 1
+        lanes = -(-len(words) // LANE)
+        padded = np.zeros(before + lanes * LANE, np.int64)
+        padded[before : before + len(words)] = words
+        starts = np.arange(lanes) * LANE
+        node, out = np.zeros(lanes, np.int64), []
+        for k in range(before + LANE):
+            node = self.step(node, padded[starts + k])
+            if k >= before:
+                for lane in np.flatnonzero(self.speaks[node]):
+                    at = int(node[lane])
+                    while at:
+                        if self.pattern[at] >= 0:
+                            out.append((int(starts[lane]) + k - before + 1, int(self.pattern[at])))
+                        at = int(self.shorter[at])
+        return out
+
+
+class Benchmark:
+    """The words of all items, the automaton of their seeds, and where each seed stands."""
+
+    def __init__(self, items: list[tuple[str, str | None]]):
+        self.words: dict[bytes, int] = {}
+        self.ids: list[str] = []
+        self.texts: list[np.ndarray] = []
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for item, text in sorted({(i, tuple(words_of(t))) for i, t in items}):
+            w = [self.words.setdefault(x, len(self.words) + 1) for x in text]
+            if not w:
+                continue
+            n = SEED if len(w) >= WINDOW else len(w)
+            for k in range(0, len(w) - n + 1, n):
+                places.setdefault(tuple(w[k : k + n]), []).append((len(self.ids), k))
+            self.ids.append(item)
+            self.texts.append(np.array(w, np.int32))
+        self.places = list(places.values())
+        self.automaton = Automaton(list(places), len(self.words) + 1)
+
+    def find(self, docs: list[list[bytes]]) -> list[dict[str, list[list[int]]]]:
+        """Of each document the item ids whose windows occur, and the united word ranges that they cover."""
+        get = self.words.get
+        flat: list[int] = []
+        starts = []
+        for d in docs:
+            starts.append(len(flat))
+            flat += [get(w, 0) for w in d]
+            flat.append(0)  # no pattern crosses it
+        words = np.array(flat, np.int64)
+        out: list[dict] = [{} for _ in docs]
+        for end, pattern in self.automaton.scan(words):
+            doc = int(np.searchsorted(starts, end - 1, "right")) - 1
+            for item, at in self.places[pattern]:
+                text = self.texts[item]
+                size = min(SEED, len(text)) if len(text) >= WINDOW else len(text)
+                lo, hi, to = end - size, end, at + size
+                if len(text) >= WINDOW:
+                    first, last = lo - min(at, WINDOW - size), hi + min(len(text) - to, WINDOW - size)
+                    while lo > max(first, starts[doc]) and words[lo - 1] == text[at - 1]:
+                        lo, at = lo - 1, at - 1
+                    while hi < last and words[hi] == text[to]:
+                        hi, to = hi + 1, to + 1
+                    if hi - lo < WINDOW:
+                        continue
+                out[doc].setdefault(self.ids[item], []).append([lo - starts[doc], hi - starts[doc]])
+        return [{i: united(spans) for i, spans in found.items()} for found in out]
+
+
+def united(spans: list[list[int]]) -> list[list[int]]:
+    """The union of ranges, end excluded; those that touch count as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
-def automaton(key: str, pairs: list[tuple[str, list[str]]]):
-    """Built once in a worker for each block of windows."""
-    if key not in _BUILT:
-        import ahocorasick
 
-        _BUILT.clear()
-        a = ahocorasick.Automaton()
-        for w, ids in pairs:
-            a.add_word(w, (w.count(" ") - 1, ids))
-        a.make_automaton()
-        _BUILT[key] = a
-    return _BUILT[key]
+def benchmark_of(items: DataFrame, item_id: str = "item_id", text: str = "text", most: int = MOST_CHARS) -> Benchmark:
+    """Read the items, whose size Spark adds up first; more than `most` characters are an error."""
+    source = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).cast("string").alias("t"))
+    size = source.agg(F.coalesce(F.sum(F.coalesce(F.length("t"), F.lit(0)) + F.length("i")), F.lit(0))).first()[0]
+    if size > most:
+        raise ValueError(f"{size} characters of benchmark; one automaton takes {most}")
+    t = source.toArrow()
+    return Benchmark(list(zip(t.column("i").to_pylist(), t.column("t").to_pylist(), strict=True)))
 
 
 def char_offsets(raw: bytes, at: np.ndarray) -> np.ndarray:
@@ -58,92 +165,46 @@ def char_offsets(raw: bytes, at: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lead)])[at]
 
 
-def scan(docs: DataFrame, found: DataFrame, keep=("doc_id",), text: str = "text") -> DataFrame:
-    """Per document: n_words, hits (word ranges, end excluded) and matches (item_id with character offsets).
+def word_offsets(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text begins and ends, in characters."""
+    blank = np.concatenate([[True], np.frombuffer(raw.translate(WORD_BYTES), np.uint8) == 32, [True]])
+    first = char_offsets(raw, np.flatnonzero(blank[:-1] & ~np.append(blank[1:-1], True)))
+    return first, char_offsets(raw, np.flatnonzero(~blank[1:] & np.append(blank[2:], True)) + 1)
 
-    found: windows(). They are dealt into blocks by their hash, as many as AUTOMATON_CHARS asks for, and each block's
-    automaton passes over all texts once, so no automaton outgrows its bound. No shuffle of documents.
-    """
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    grouped = found.groupBy("w").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
-    total = found.agg(F.coalesce(F.sum(F.length("w") + F.length("item_id")), F.lit(0))).first()[0]
-    n = max(1, ceil(total / AUTOMATON_CHARS))
-    kept = [k for k in dict.fromkeys(keep) if k not in ("n_words", "hits", "matches")]
-    state = docs.select(
-        *kept, F.col(text).cast("string").alias("__text"), F.lit(0).cast("long").alias("n_words"),
-        F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("hits"),
-        F.lit(None).cast("array<struct<item_id:string,start:int,end:int>>").alias("matches"),
-    )
-    schema = T.StructType(state.schema.fields)
-    for part in range(n):
-        own = grouped if n == 1 else grouped.filter(F.pmod(F.xxhash64("w"), F.lit(n)) == part)
-        pairs = spark.sparkContext.broadcast([(r.w, r.ids) for r in own.collect()])
-        state = state.mapInArrow(_scanner(pairs, schema, uuid.uuid4().hex), schema)
-    return state.select(*kept, "n_words", "hits", "matches")
-
-
-def _scanner(pairs, schema, key):
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(schema)
-        at = {f.name: i for i, f in enumerate(arrow)}
-        auto = automaton(key, pairs.value)
-        for block in blocks(batches, "__text"):
-            hits, matches = block.column("hits").to_pylist(), block.column("matches").to_pylist()
-            counts = []
-            for i, t in enumerate(block.column("__text").to_pylist()):
-                raw = t.encode("utf-8", "surrogatepass") if t else b""
-                plain = raw.translate(WORD_BYTES)
-                words = plain.split()
-                counts.append(len(words))
-                if not words or not len(auto):
-                    continue
-                joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
-                got = list(auto.iter(joined))
-                if not got:
-                    continue
-                ends = np.searchsorted(np.flatnonzero(np.frombuffer(joined.encode("latin-1"), np.uint8) == 32), [e for e, _ in got])
-                blank = np.concatenate([[True], np.frombuffer(plain, np.uint8) == 32, [True]])
-                starts_at = char_offsets(raw, np.flatnonzero(blank[:-1] & ~np.append(blank[1:-1], True)))
-                ends_at = char_offsets(raw, np.flatnonzero(~blank[1:] & np.append(blank[2:], True)) + 1)
-                hits[i], matches[i] = hits[i] or [], matches[i] or []
-                for e, (_, (size, ids)) in zip(ends.tolist(), got, strict=True):
-                    hits[i].append({"lo": e - size, "hi": e})
-                    matches[i] += [{"item_id": x, "start": int(starts_at[e - size]), "end": int(ends_at[e - 1])} for x in ids]
-            columns = list(block.columns)
-            for name, values in (("n_words", counts), ("hits", hits), ("matches", matches)):
-                columns[at[name]] = pa.array(values, type=arrow.field(name).type)
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-    return run
-
-
-def contamination(docs: DataFrame, items: DataFrame, keep=("doc_id",), text: str = "text") -> DataFrame:
-    """Per document n_words, n_hit, n_items, items_sha256, contaminated, and matches with character offsets.
+
+SCANNED = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, matches array<struct<item_id:string,start:int,end:int>>"
+
+
+def contamination(docs: DataFrame, items: DataFrame, keep=("doc_id",), text: str = "text", most: int = MOST_CHARS) -> DataFrame:
+    """Per document n_words, n_hit, n_items, items_sha256, contaminated, and matches: item ids with character offsets.
 
     A word inside any occurrence of a 13-word window of an item (of all words of a shorter one) is hit; contaminated if a
     twentieth of the words or more are. Null and empty texts have no words and are clean; an item without words matches
-    nothing; one without id counts under the empty id; repeated documents and items each count as they stand; an
-    empty benchmark hits nothing. Other columns than `keep` and the text are not read.
+    nothing; one without id counts under the empty id; repeated documents and items each count as they stand; an empty
+    benchmark hits nothing. Other columns than `keep` and the text are not read; kept ones named like a result give way.
+    One scan of the texts, no shuffle; the automaton is built once, of a benchmark of at most `most` characters, whatever
+    the number of documents, and broadcast.
     """
-    s = scan(docs, windows(items), keep, text)
-    seen = F.aggregate(
-        F.array_sort("hits"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
-        lambda a, h: F.struct(
-            (a["n"] + F.greatest(h["hi"] - F.greatest(h["lo"], a["to"]), F.lit(0))).alias("n"), F.greatest(h["hi"], a["to"]).alias("to")
-        ),
-    )["n"]
-    ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
-    s = s.withColumn("n_hit", F.coalesce(seen, F.lit(0)).cast("long"))
-    s = s.withColumn("__ids", F.coalesce(ids, F.array().cast("array<string>")))
-    return s.select(
-        *[k for k in keep if k in s.columns and k not in ("n_hit", "n_items", "items_sha256", "contaminated")], "n_words", "n_hit",
-        F.size("__ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__ids", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "matches",
-    )
+    shown = docs.sparkSession.sparkContext.broadcast(benchmark_of(items, most=most))
+
+    def make():
+        bench = shown.value
+
+        def work(texts):
+            raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+            words = [r.translate(WORD_BYTES).split() for r in raws]
+            rows = []
+            for raw, w, found in zip(raws, words, bench.find(words), strict=True):
+                hit = sum(b - a for a, b in united([list(s) for spans in found.values() for s in spans]))
+                first, last = word_offsets(raw) if found else ((), ())
+                matches = [{"item_id": i, "start": int(first[a]), "end": int(last[b - 1])} for i in sorted(found) for a, b in found[i]]
+                digest = hashlib.sha256(",".join(sorted(found)).encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((len(w), hit, len(found), digest, hit > 0 and 20 * hit >= len(w), matches))
+            return {c.split()[0]: [r[i] for r in rows] for i, c in enumerate(SCANNED.split(", "))}
+
+        return work
+
+    return map_texts(docs, make, SCANNED, keep, text)
 
 
 def brute(docs: list[str | None], items: list[tuple[str, str | None]], size: int = WINDOW) -> list[tuple]:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import WORD_BYTES, map_texts
-from .decontaminate import char_offsets
+from .decontaminate import word_offsets
 
 #: The phrases whose exact places are counted, and their labels. Fixed values.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}

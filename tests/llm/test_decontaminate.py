@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from tessera.llm import decontaminate as m
 from tessera.llm.decontaminate import brute, contamination
 
@@ -14,7 +17,7 @@ def check(spark, docs, items):
     return got
 
 
-def test_against_brute_force(spark, monkeypatch):
+def test_against_brute_force(spark):
     rng = random.Random(3)
     word = lambda: rng.choice(["ab", "cé", "d1", "Éa", "x"])
     items = [(str(i), " ".join(word() for _ in range(rng.randrange(0, 20)))) for i in range(30)] + [("n", None), ("dup", "q r s"), ("dup2", "Q r, S")]
@@ -24,9 +27,47 @@ def test_against_brute_force(spark, monkeypatch):
         if rng.random() < 0.6:
             parts += [rng.choice(items)[1] or "", " ".join(word() for _ in range(rng.randrange(300)))]
         docs.append("; ".join(parts))
-    one = check(spark, docs, items)
-    monkeypatch.setattr(m, "AUTOMATON_CHARS", 900)  # several automata
-    assert {k: r.n_hit for k, r in check(spark, docs, items).items()} == {k: r.n_hit for k, r in one.items()}
+    check(spark, docs, items)
+
+
+def test_long_items_and_texts_against_brute_force(spark):
+    """Items of all lengths around multiples of the seed; texts that hold stretches of all lengths at all places."""
+    rng = random.Random(5)
+    words = lambda n: [rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(n)]
+    items = [(f"i{n}", " ".join(words(n))) for n in [*range(1, 45), 400]] + [("rep", "la " * 60), ("i44", "another text under a known id")]
+    docs = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            w = rng.choice(items)[1].split()
+            a = rng.randrange(len(w))
+            parts += w[a : a + rng.choice([12, 13, 14, 20, 50])] + words(rng.randrange(0, 30))
+        docs.append(" ".join(parts))
+    docs += ["la " * n for n in (12, 13, 14, 700)] + [" ".join(docs)]
+    check(spark, docs, items)
+
+
+def test_automaton_finds_what_a_plain_search_finds():
+    rng = random.Random(6)
+    for _ in range(60):
+        patterns = list({tuple(rng.randrange(1, 4) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 12))})
+        words = [rng.randrange(0, 5) % 4 for _ in range(rng.randrange(0, 900))]
+        want = sorted((k + len(p), i) for i, p in enumerate(patterns) for k in range(len(words) - len(p) + 1) if tuple(words[k : k + len(p)]) == p)
+        assert sorted(m.Automaton(patterns, 4).scan(np.array(words, np.int64))) == want
+    assert m.Automaton([], 1).scan(np.array([0, 0])) == []
+
+
+def test_a_large_benchmark_takes_one_scan_and_a_larger_one_is_refused(spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(50_000)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=3_500))) for i in range(1_000)]  # some 20 MB
+    b = spark.createDataFrame(items, "item_id string, text string")
+    d = spark.createDataFrame([(i, t[5_000:9_000]) for i, (_, t) in enumerate(items[:20])], "doc_id long, text string")
+    got = contamination(d, b)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [r.n_items for r in got.collect()] == [1] * 20
+    with pytest.raises(ValueError):
+        contamination(d, b, most=1_000)
 
 
 def test_offsets_point_into_the_text(spark):
