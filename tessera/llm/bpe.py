@@ -11,16 +11,32 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: Chunks of text whose encodings a worker keeps.
-CACHE_CHUNKS = 300_000
+#: Bytes that the encodings a worker keeps may take, about.
+CACHE_BYTES = 160 << 20
 NEVER = 1 << 40
 
+# Letters and numbers of Unicode 16, and lower cases of Unicode 17, beyond Python's tables of Unicode 15.1. The
+# tokenizers library splits by the former and lower-cases by the latter.
+LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NUMBERS_16 = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+LOWER_17 = (
+    {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+    | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+    | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+)
+
 
 def byte_alphabet() -> list[str]:
     """One printable character for each byte: visible Latin-1 stands for itself, the others follow from U+0100."""
@@ -29,6 +45,19 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+def _class(regex, letter: str, more: list[tuple[int, int]]) -> str:
+    """A set of the regex library's characters of a general category, without those newer than the given tables."""
+    known = {c for a, b in more for c in range(a, b + 1)}
+    found = regex.findall(rf"\p{{{letter}}}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
+    newer = [ord(c) for c in found if unicodedata.category(c)[0] != letter and ord(c) not in known]
+    return rf"[\p{{{letter}}}--[{''.join(rf'\U{c:08X}' for c in newer)}]]" if newer else rf"\p{{{letter}}}"
+
+
+def lower(chunk: str) -> str:
+    """As the library does: composed, and lower case without regard to the end of a word."""
+    return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower().translate(LOWER_17)
+
+
 class WordBpe:
     """A BPE vocabulary with word-end marks, read from a tokenizer file."""
 
@@ -55,6 +84,7 @@ class WordBpe:
         self.stable = self._stable(n)
         self.known = {t: i for t, i in self.vocab.items() if self.stable[i]}
         self.longest = max(len(t) for t in self.known if not t.endswith(self.end))
+        self.longest_end = max(len(t) - len(self.end) for t in self.known if t.endswith(self.end))
         self.alphabet = byte_alphabet()
         self.number = [str(i) for i in range(n)]
         self.plain = dict(enumerate(self.alphabet[:128]))
@@ -64,9 +94,13 @@ class WordBpe:
         self.made = [made for _, made in self.ranks.values()]
         import regex
 
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        for letter, more in (("L", LETTERS_16), ("N", NUMBERS_16)):
+            pattern = pattern.replace(rf"\p{{{letter}}}", _class(regex, letter, more))
+        self.split = regex.compile(pattern, regex.V1).findall
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.held = 0
         self.merged_exactly = self.proposed = 0
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,29 +144,39 @@ class WordBpe:
         return fine
 
     def merge(self, word: str) -> list[int]:
-        """Exact merging: the lowest rank first, the leftmost of equals."""
+        """Exact merging: the lowest rank first, the leftmost of equals.
+
+        Symbols are a linked list; a heap holds the pairs that may merge, by rank and place, and pairs that are no longer
+        there are passed over, so a word of n bytes takes n log n steps.
+        """
         raw = word.encode("utf-8", "surrogatepass")
         ids = [self.inner[b] for b in raw[:-1]]
         ids.append(self.final[raw[-1]])
-        get, never = self.rank_of, (NEVER, 0)
-        ranks = [get((a, b), never)[0] for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) < NEVER:
-            i = ranks.index(best)
-            ids[i : i + 2] = [self.made[best]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), never)[0]
-            if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), never)[0]
-        return ids
+        n, get, made = len(ids), self.rank_of, self.made
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r[0], i, a, b) for i, (a, b) in enumerate(pairwise(ids)) if (r := get((a, b)))]
+        heapify(heap)
+        while heap:
+            rank, i, a, b = heappop(heap)
+            j = after[i] if ids[i] == a else n
+            if j >= n or ids[j] != b:
+                continue
+            ids[i], ids[j], after[i] = made[rank], -1, after[j]
+            if (k := after[j]) < n:
+                before[k] = i
+                if r := get((ids[i], ids[k])):
+                    heappush(heap, (r[0], i, ids[i], ids[k]))
+            if (h := before[i]) >= 0 and (r := get((ids[h], ids[i]))):
+                heappush(heap, (r[0], h, ids[h], ids[i]))
+        return [t for t in ids if t >= 0]
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match over tokens that are stable; single symbols always are."""
         s = word.translate(self.plain) if word.isascii() else "".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")])
-        get, end = self.known.get, self.end
-        at, out, last = 0, [], len(s) - 1
-        while (t := get(s[at:] + end)) is None:
-            stop = min(last, at + self.longest)
+        get, end, longest = self.known.get, self.end, self.longest_end
+        at, out, size = 0, [], len(s)
+        while size - at > longest or (t := get(s[at:] + end)) is None:
+            stop = min(size - 1, at + self.longest)
             while (t := get(s[at:stop])) is None:
                 stop -= 1
             out.append(t)
@@ -160,7 +204,7 @@ class WordBpe:
     def _learn(self, chunks: list[str]) -> None:
         """Encodings of chunks without white space into the cache."""
         parts = [
-            [c.lower()] if c.isascii() and c.isalpha() else self.split(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower())
+            [c.lower()] if c.isascii() and c.isalpha() else self.split(lower(c))
             for c in chunks
         ]
         distinct = list({w for p in parts for w in p})
@@ -192,13 +236,14 @@ class WordBpe:
                 else:
                     chunks += part.split()
             pieces.append(chunks)
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache = {}
+        if self.held > CACHE_BYTES:
+            self.cache, self.held = {}, 0
         for s, i in self.special.items():
             self.cache[s] = (1, str(i), s)
         missing = list({c for p in pieces for c in p if c not in self.cache})
         if missing:
             self._learn(missing)
+            self.held += sum(400 + 8 * len(c) for c in missing)
         got = self.cache.__getitem__
         return [list(map(got, p)) for p in pieces]
 

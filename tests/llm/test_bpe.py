@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from tessera.llm import bpe
@@ -63,3 +64,33 @@ def test_query_on_documents(spark, library, sf_small):
 def test_empty_table(spark):
     assert encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert bpe.byte_alphabet()[32] != " "
+
+
+def test_every_character_encodes_as_in_the_library(library):
+    b = load(vocabulary_path())
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for k in range(0, len(points), 1 << 14):
+        part = points[k : k + (1 << 14)]
+        texts = [f"a{chr(c)}b{chr(c)}1{chr(c)} {chr(c)}" for c in part]
+        for c, chunks, e in zip(part, b.encode_texts(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert [int(x) for chunk in chunks for x in chunk[1].split()] == e.ids, hex(c)
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "ab" * 300_000, "thequick" * 100_000, "é" * 200_000])
+def test_one_very_long_word(library, text):
+    b = load(vocabulary_path())
+    start = time.time()
+    got = [int(x) for chunk in b.encode_texts([text])[0] for x in chunk[1].split()]
+    assert time.time() - start < 30 and got == library.encode(text, add_special_tokens=False).ids
+
+
+def test_merging_by_heap_is_merging_by_rank():
+    b = load(vocabulary_path())
+    rng = random.Random(3)
+    for _ in range(2000):
+        word = "".join(rng.choice("aeinorsthl") for _ in range(rng.randrange(1, 30)))
+        ids = [b.inner[c] for c in word[:-1].encode()] + [b.final[ord(word[-1])]]
+        while (found := [(b.ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in b.ranks]):
+            _, i = min(found)
+            ids[i : i + 2] = [b.ranks[ids[i], ids[i + 1]][1]]
+        assert b.merge(word) == ids
