@@ -32,8 +32,8 @@ MORE = {
 
 
 def allowed(phrase: str) -> int:
-    """Edits allowed in a notice: one for each twelve characters, two at most."""
-    return min(2, len(phrase) // 12)
+    """Edits allowed in a notice: none below eight characters, one below 24, then two."""
+    return (len(phrase) >= 8) + (len(phrase) >= 24)
 
 
 class Notices:
@@ -48,7 +48,7 @@ class Notices:
             cuts = [round(k * len(padded) / (e + 1)) for k in range(e + 2)]
             self.seeds += [(padded[a:b].encode("latin-1"), phrase, a) for a, b in zip(cuts, cuts[1:], strict=False)]
             self.exact[phrase] = regex.compile(f" {regex.escape(phrase)}(?= )")
-            self.fuzzy[phrase] = regex.compile(f"(?b)(?<= )(?:{regex.escape(phrase)}){{e<={e}}}(?= )") if e else None
+            self.fuzzy[phrase] = regex.compile(f"(?e)(?<= )(?:{regex.escape(phrase)}){{e<={e}}}(?= )") if e else None
 
     def candidates(self, block: bytes) -> dict[str, list[tuple[int, int]]]:
         """For each phrase the stretches of the block in which it may stand, from its seeds; overlapping ones united."""
@@ -74,28 +74,29 @@ class Notices:
         out: list[list[tuple[int, int, str, int]]] = [[] for _ in texts]
         starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
         block = b"\n".join(texts)
+        read = lru_cache(maxsize=4)(lambda i: texts[i].decode("latin-1"))  # spans come in order, so each text is read once a phrase
         for phrase, spans in self.candidates(block).items():
             for a, b in spans:
                 owner = int(np.searchsorted(starts, max(a, 0), "right")) - 1
                 while owner < len(texts) and starts[owner] < b:
                     lo, hi = max(a, int(starts[owner])), min(b, int(starts[owner + 1]) - 1)
-                    self._verify(phrase, texts[owner].decode("latin-1"), lo - int(starts[owner]), hi - int(starts[owner]), out[owner])
+                    self._verify(phrase, read(owner), lo - int(starts[owner]), hi - int(starts[owner]), out[owner])
                     owner += 1
         return out
 
     def _verify(self, phrase: str, text: str, lo: int, hi: int, out: list) -> None:
-        taken = []
-        for m in self.exact[phrase].finditer(text, lo, min(hi + 1, len(text))):
-            out.append((m.start() + 1, m.end(), phrase, 0))
-            taken.append((m.start() + 1, m.end()))
-        if self.fuzzy[phrase] is None:
-            return
-        edges = [lo, *[x for t in taken for x in t], hi]
-        for a, b in zip(edges[::2], edges[1::2], strict=True):  # around the exact places
-            if b - a >= len(phrase) - allowed(phrase):
-                for m in self.fuzzy[phrase].finditer(text, max(a, 0), min(b + 1, len(text))):
-                    if edits := sum(m.fuzzy_counts):
-                        out.append((m.start(), m.end(), phrase, edits))
+        """The notices in a stretch: exact ones, and between them those within the allowed edits."""
+        start = max(lo - 1, 0)
+        part, at = text[start : hi + 1], 0  # a stretch by itself, so that a search costs its length alone
+        for m in [*self.exact[phrase].finditer(part), None]:
+            end = m.start() + 1 if m else len(part)
+            if self.fuzzy[phrase] and end - at >= len(phrase) - allowed(phrase):
+                for f in self.fuzzy[phrase].finditer(part[at:end]):
+                    if edits := sum(f.fuzzy_counts):
+                        out.append((start + at + f.start(), start + at + f.end(), phrase, edits))
+            if m:
+                out.append((start + m.start() + 1, start + m.end(), phrase, 0))
+                at = m.end()
 
 
 @lru_cache(maxsize=4)
@@ -127,7 +128,8 @@ def scan(
             plain = [b" " + b" ".join(w) + b" " if w else b"" for w in words]
             out = {k.split()[0]: [] for k in schema.split(", ")[:7]} | ({"notices": []} if spans else {})
             for raw, w, p, got in zip(raws, words, plain, known.search(plain), strict=True):
-                places = [p.count(b" ", 0, a) - 1 for a, _, phrase, edits in got if not edits and phrase in known.base]
+                exact = [a for a, _, phrase, edits in got if not edits and phrase in known.base]
+                places = _word_numbers(p, exact).tolist() if exact else []
                 out["n_words"].append(len(w))
                 out["n_base"].append(len(places))
                 out["first_word"].append(min(places, default=None))
@@ -136,7 +138,7 @@ def scan(
                 out["labels"].append(",".join(sorted({known.labels[x] for _, _, x, _ in got})))
                 out["score"].append(max((1 - e / len(x) for _, _, x, e in got), default=0.0))
                 if spans:
-                    out["notices"].append(_spans(raw, p, got, known) if got else [])
+                    out["notices"].append(_spans(raw, p, sorted(got), known) if got else [])
             return out
 
         return work
@@ -144,12 +146,14 @@ def scan(
     return map_texts(df, make, schema, keep, text)
 
 
+def _word_numbers(plain: bytes, at: list[int]) -> np.ndarray:
+    """Numbers of the words that begin at, or end at, offsets of the normalised text."""
+    return np.searchsorted(np.flatnonzero(np.frombuffer(plain, np.uint8) == 32), at) - 1
+
+
 def _spans(raw: bytes, plain: bytes, got: list, known: Notices) -> list[dict]:
     """Offsets into the normalised text as offsets into the text itself, by way of word numbers."""
-    blank = np.concatenate([[True], np.frombuffer(raw.translate(WORD_BYTES), np.uint8) == 32, [True]])
-    first = char_offsets(raw, np.flatnonzero(blank[:-1] & ~np.append(blank[1:-1], True)))
-    last = char_offsets(raw, np.flatnonzero(~blank[1:] & np.append(blank[2:], True)) + 1)
-    return [
-        {"label": known.labels[x], "start": int(first[plain.count(b" ", 0, a) - 1]), "end": int(last[plain.count(b" ", 0, b) - 1]), "edits": e}
-        for a, b, x, e in sorted(got)
-    ]
+    first, last = word_offsets(raw)
+    starts = first[_word_numbers(plain, [a for a, *_ in got])].tolist()
+    ends = last[_word_numbers(plain, [b for _, b, *_ in got])].tolist()
+    return [{"label": known.labels[x], "start": a, "end": b, "edits": e} for a, b, (_, _, x, e) in zip(starts, ends, got, strict=True)]

@@ -1,4 +1,5 @@
 import random
+import time
 
 from tessera.llm.common import words_of
 from tessera.llm.licenses import BASE, MORE, Notices, allowed, scan
@@ -64,3 +65,15 @@ def test_far_text_is_clean(spark):
     df = spark.createDataFrame([(1, "the general public may apply for a driving permit by mail"), (1, None)], "doc_id long, text string")
     assert [(r.labels, r.score) for r in scan(df).collect()] == [("", 0.0)] * 2
     assert scan(df.limit(0)).count() == 0
+
+
+def test_short_notices_with_an_edit(spark):
+    df = spark.createDataFrame([(1, "under the MIT Licence here"), (2, "an apache licens"), (3, "cc bi")], "doc_id long, text string")
+    assert {r.doc_id: (r.labels, r.n_base) for r in scan(df).collect()} == {1: ("mit", 0), 2: ("apache", 0), 3: ("", 0)}
+
+
+def test_many_notices_in_one_text_take_time_in_proportion(spark):
+    df = spark.createDataFrame([(1, "mit license, apache licence; " * 40_000)], "doc_id long, text string")
+    start = time.time()
+    r = scan(df, spans=True).collect()[0]
+    assert r.n_base == 40_000 and r.last_word == 4 * 39_999 and len(r.notices) == 80_000 and time.time() - start < 60
