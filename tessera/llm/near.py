@@ -2,8 +2,12 @@
 
 Equal texts form one class first; links run between different texts. Texts that share a bucket with few others are
 paired with all of them. The texts of large buckets are dealt anew by longer keys. What is still crowded after that, groups
-of texts almost equal, is compared block against block, by the same test and the same shingles: every link is counted, but
-what leaves a block is one row for each text, never its pairs.
+of texts almost equal, is described by what each text has otherwise than one representative of its group. How many shingles
+two texts share then follows from how many each lacks, but for differences that both have. Differences that many texts have
+are part of a text's profile (its number of shingles, of lacking ones, and such differences); texts of one profile have the same
+links by these alone, so profiles are compared instead of texts. Pairs that need a rarer common difference to reach the
+threshold share one of few texts each, and are candidates like all others. So every link is counted, and what is shuffled
+grows with the texts, not with the pairs of a group.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, blocks, materialize, words_of
+from .common import ARROW_ROWS, blocks, materialize, salted_join, words_of
 from .graph import components
 
 WORDS = 5
@@ -26,12 +30,12 @@ HASHES, BAND_ROWS = 96, 4
 REKEY_BANDS, REKEY_ROWS = 48, 6
 #: Texts in a bucket that are still all paired; beyond it the longer keys take over.
 BUCKET = 32
-#: Texts in a block of a crowded group, and shingles in it on average, at most.
-BLOCK_TEXTS, BLOCK_SHINGLES = 512, 400_000
+#: Shingles in a block of a crowded group, on average at most, and profiles in a block of them.
+BLOCK_SHINGLES, BLOCK_PROFILES = 400_000, 2_048
+#: Texts of a group that have a difference in common, from which on it belongs to their profiles.
+COMMON = 32
 #: Hashes compared between two tests, and the chance of reaching the threshold below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-9
-#: Ids that may be broadcast to pick texts out; beyond it they are joined.
-BROADCAST_IDS = 1_000_000
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,7 +157,7 @@ def _tested(least):
 def _in_buckets(bands: DataFrame) -> DataFrame:
     """(bucket, key, n) of buckets with two texts or more."""
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    return materialize(bands.join(sizes, "bucket"))
+    return materialize(salted_join(bands, sizes, ["bucket"], by="key"))
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
@@ -177,7 +181,7 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.union(_all_pairs(again.filter(F.col("n") <= BUCKET)))
     close = again.filter(F.col("n") > BUCKET)
     hubs = close.groupBy("bucket").agg(F.min("key").alias("hub"))
-    groups = components(close.join(hubs, "bucket").filter("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
+    groups = components(salted_join(close, hubs, ["bucket"], by="key").filter("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
     groups = materialize(groups.select(F.col("node").alias("key"), "root"))
     in_a, in_b = (groups.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     apart = pairs.distinct().join(in_a, "a", "left").join(in_b, "b", "left").filter("root_a is null or root_b is null or root_a <> root_b")
@@ -203,64 +207,95 @@ def shared(sets_a: list[np.ndarray], sets_b: list[np.ndarray], columns: int = 40
     return out
 
 
-def compare_blocks(sig_a: np.ndarray, sets_a: list, sig_b: np.ndarray, sets_b: list, least: tuple[int, ...], threshold: float) -> np.ndarray:
-    """Which pairs between two blocks reach the threshold; only those that the test keeps are decided by shingles."""
-    i, j = np.divmod(np.arange(len(sig_a) * len(sig_b)), len(sig_b))
-    matches, live = np.zeros(len(i), np.int16), np.arange(len(i))
-    for k, m in enumerate(least):
-        part = slice(k * STEP, (k + 1) * STEP)
-        for start in range(0, len(live), 1 << 16):
-            at = live[start : start + (1 << 16)]
-            matches[at] += (sig_a[i[at], part] == sig_b[j[at], part]).sum(axis=1).astype(np.int16)
-        live = live[matches[live] >= m]
-    linked = np.zeros((len(sig_a), len(sig_b)), bool)
-    if len(live):
-        both = shared(sets_a, sets_b)
-        whole = np.array([len(s) for s in sets_a])[:, None] + np.array([len(s) for s in sets_b])[None] - both
-        kept = np.zeros(len(i), bool)
-        kept[live] = True
-        linked = kept.reshape(linked.shape) & (both >= threshold * whole)
-    return linked
+def reaches(both, size_a, size_b, threshold: float):
+    """Whether sets of these sizes with so many common shingles reach the threshold; for columns and for arrays alike."""
+    return both >= threshold * (size_a + size_b - both)
+
+
+def _differences(t: pa.Table) -> pa.Table:
+    """Texts of a block of a group against its representative, the row without key: shingles lacking or added."""
+    keys = t.column("key").to_pylist()
+    sets = [np.array(x, np.int64) for x in t.column("set").to_pylist()]
+    own = sets[keys.index(None)]
+    rows = [(k, np.setdiff1d(own, x, assume_unique=True), np.setdiff1d(x, own, assume_unique=True), len(x)) for k, x in zip(keys, sets, strict=True) if k is not None]
+    return pa.table(
+        {
+            "root": pa.array([t.column("root")[0].as_py()] * len(rows), pa.binary()), "key": pa.array([r[0] for r in rows], pa.binary()),
+            "whole": pa.array([len(own)] * len(rows), pa.int32()), "size": pa.array([r[3] for r in rows], pa.int32()),
+            "lacks": pa.array([len(r[1]) for r in rows], pa.int32()), "other": pa.array([np.concatenate(r[1:3]) for r in rows], pa.list_(pa.int64())),
+        }
+    )
 
 
-def _blocks(least: tuple[int, ...], threshold: float):
+def _profile_links(threshold: float):
+    """Between two blocks of a group's profiles: (rep, near, n): links of each text of a profile, and a profile it meets."""
+
     def run(t: pa.Table) -> pa.Table:
-        keys, blk = t.column("key").to_pylist(), np.array(t.column("blk").to_pylist())
+        reps, blk = t.column("rep").to_pylist(), np.array(t.column("blk").to_pylist())
+        whole, size, lacks, texts = (np.array(t.column(c).to_pylist(), np.int64) for c in ("whole", "size", "lacks", "texts"))
+        common = [np.array(x, np.int64) for x in t.column("common").to_pylist()]
         first, second = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in t.column("sig").to_pylist()])
-        sets = [np.array(s, np.int64) for s in t.column("set").to_pylist()]
         a, b = np.flatnonzero(blk == first), np.flatnonzero(blk == second)
-        degree, near = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        degree, near = np.zeros(len(reps), np.int64), np.arange(len(reps))
         if len(a) and len(b):
-            linked = compare_blocks(sig[a], [sets[x] for x in a], sig[b], [sets[x] for x in b], least, threshold)
+            both = shared([common[x] for x in a], [common[x] for x in b]).astype(np.int64) + whole[0] - lacks[a][:, None] - lacks[b][None]
+            linked = reaches(both, size[a][:, None], size[b][None], threshold)
+            degree[a] = linked @ texts[b]
             if first == second:
-                np.fill_diagonal(linked, False)
-            degree[a] = linked.sum(axis=1)
-            if first != second:
-                degree[b] = linked.sum(axis=0)
-            while True:  # the least of the texts that each is connected with
+                degree[a] -= linked.diagonal()  # no text is its own copy
+            else:
+                degree[b] = texts[a] @ linked
+            while True:  # the least of the profiles that each is connected with
                 best = near.copy()
-                low_b = np.where(linked, near[b][None], len(keys)).min(axis=1)
-                best[a] = np.minimum(best[a], low_b)
-                low_a = np.where(linked, best[a][:, None], len(keys)).min(axis=0)
-                best[b] = np.minimum(best[b], low_a)
+                best[a] = np.minimum(best[a], np.where(linked, near[b][None], len(reps)).min(axis=1))
+                best[b] = np.minimum(best[b], np.where(linked, best[a][:, None], len(reps)).min(axis=0))
                 if (best == near).all():
                     break
                 near = best
         some = np.flatnonzero(degree)
-        return pa.table({"a": pa.array([keys[x] for x in some], pa.binary()), "b": pa.array([keys[near[x]] for x in some], pa.binary()), "n": pa.array(degree[some])})
+        return pa.table({"rep": pa.array([reps[x] for x in some], pa.binary()), "near": pa.array([reps[near[x]] for x in some], pa.binary()), "n": pa.array(degree[some])})
 
     return run
 
 
-def _in_groups(groups: DataFrame, sets: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, n) within crowded groups: a text, one that it is connected with, and its links, for every two blocks."""
-    held = groups.join(sets, "key").join(signed, "key")
-    sizes = held.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.size("set")) / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    dealt = held.join(sizes, "root").withColumn("blk", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("root", "key", "sig", "set", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-    return dealt.groupBy("root", "i", "j").applyInArrow(_blocks(least_matches(threshold), threshold), "a binary, b binary, n long")
+def _in_groups(groups: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of crowded groups: pairs (a, b) to be tested, edges (a, b) and link counts (key, n) of all pairs that need no test."""
+    held = materialize(groups.join(sets, "key"))
+    blocks_of = F.ceil(F.sum(F.size("set").cast("long")) / BLOCK_SHINGLES).cast("int").alias("nb")
+    sizes = held.groupBy("root").agg(blocks_of)
+    dealt = salted_join(held, sizes, ["root"], by="key").select("root", "key", "set", F.pmod(F.xxhash64("key", F.lit(5)), F.col("nb")).cast("int").alias("blk"))
+    own = held.filter("key = root").join(sizes, "root").select("root", F.lit(None).cast("binary").alias("key"), "set", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("blk"))
+    told = dealt.unionByName(own).groupBy("root", "blk").applyInArrow(_differences, "root binary, key binary, whole int, size int, lacks int, other array<long>")
+    told = materialize(told)
+    each = told.select("root", "key", F.explode("other").alias("e"))
+    often = each.groupBy("root", "e").agg(F.count("*").alias("n")).filter("n > 1")
+    each = materialize(salted_join(each, often, ["root", "e"], by="key"))
+    common = each.filter(F.col("n") > COMMON).groupBy("key").agg(F.sort_array(F.collect_list("e")).alias("common"))
+    told = told.drop("other").join(common, "key", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+    told = materialize(told.withColumn("profile", F.md5(F.concat_ws(",", F.hex("root"), "size", "lacks", F.col("common").cast("array<string>")))))
+
+    side = lambda c: told.select(F.col("key").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("whole", "size", "lacks", "common")])
+    pairs = _all_pairs(each.filter(F.col("n") <= COMMON).select(F.struct("root", "e").alias("bucket"), "key")).distinct().join(side("a"), "a").join(side("b"), "b")
+    both = F.col("whole_a") - F.col("lacks_a") - F.col("lacks_b") + F.size(F.array_intersect("common_a", "common_b"))
+    pairs = pairs.filter(~reaches(both, F.col("size_a"), F.col("size_b"), threshold)).select("a", "b")
+
+    profiles = told.groupBy("profile").agg(*[F.first(c).alias(c) for c in ("root", "whole", "size", "lacks", "common")], F.min("key").alias("rep"), F.count("*").alias("texts"))
+    profiles = materialize(profiles)
+    count = profiles.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_PROFILES).cast("int").alias("nb"))
+    met = salted_join(profiles, count, ["root"], by="rep").withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(6)), F.col("nb")).cast("int"))
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"i": F.least("blk", "with"), "j": F.greatest("blk", "with")})
+    met = materialize(met.groupBy("root", "i", "j").applyInArrow(_profile_links(threshold), "rep binary, near binary, n long"))
+    degree = met.groupBy("rep").agg(F.sum("n").alias("n")).join(profiles.select("rep", "profile"), "rep")
+    inside = materialize(salted_join(told.select("key", "profile"), degree, ["profile"], by="key").select("key", "rep", "n"))
+    edges = inside.select(F.col("key").alias("a"), F.col("rep").alias("b")).union(met.select("rep", "near")).filter("a <> b").distinct()
+    return pairs, edges, inside.select("key", "n")
+
+
+def _texts_of(docs: DataFrame, owners: DataFrame, need: DataFrame, text: str) -> DataFrame:
+    """The texts of one document for each key that is needed; rows without id, one key, are dealt by their text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name")
+    names = owners.join(need, "key").select(name).distinct()
+    return salted_join(docs.select(name, F.col(text).cast("string").alias("text")), names, ["name"], by="text", how="left_semi", salts=4)
 
 
 def links(docs: DataFrame, signed: DataFrame, owners: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -268,25 +303,22 @@ def links(docs: DataFrame, signed: DataFrame, owners: DataFrame, text: str = "te
 
     owners: (key, doc_id), one document for each text, from which its shingles are taken.
     """
-    pairs, groups = candidates(signed)
     a, b = (signed.select(F.col("key").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    pairs = materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_tested(least_matches(threshold)), "a binary, b binary"))
+    tested = lambda p: p.join(a, "a").join(b, "b").mapInArrow(_tested(least_matches(threshold)), "a binary, b binary")
+    pairs, groups = candidates(signed)
+    pairs = materialize(tested(pairs))
     need = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(groups.select("key")).distinct())
-    ids = materialize(owners.join(need, "key").select("doc_id").distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    source = docs.select("doc_id", F.col(text).cast("string").alias("text"))
-    chosen = source.join(ids, source.doc_id.eqNullSafe(ids.doc_id), "left_semi")
-    sets = chosen.select("text").mapInArrow(_sets, "key binary, set array<long>").join(need, "key", "left_semi")
+    sets = _texts_of(docs, owners, need, text).mapInArrow(_sets, "key binary, set array<long>").join(need, "key", "left_semi")
     sets = materialize(sets.dropDuplicates(["key"]))
+    inner, edges, counted = _in_groups(groups, sets, threshold)
+    pairs = pairs.union(tested(inner))
     sa, sb = (sets.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    enough = both >= threshold * (F.size("set_a") + F.size("set_b") - both)
-    found = pairs.join(sa, "a").join(sb, "b").filter(enough).select("a", "b", F.lit(1).cast("long").alias("n"))
-    inside = materialize(_in_groups(groups, sets, signed, threshold))
+    found = pairs.join(sa, "a").join(sb, "b").filter(reaches(both, F.size("set_a"), F.size("set_b"), threshold)).select("a", "b")
     found = materialize(found)
-    degree = found.select(F.col("a").alias("key"), "n").union(found.select("b", "n")).union(inside.select("a", "n"))
-    degree = degree.groupBy("key").agg(F.sum("n").alias("n_links"))
-    return found.select("a", "b").union(inside.filter("a <> b").select("a", "b")), degree
+    one = F.lit(1).cast("long").alias("n")
+    degree = found.select(F.col("a").alias("key"), one).union(found.select("b", one)).union(counted)
+    return found.union(edges), degree.groupBy("key").agg(F.sum("n").alias("n_links"))
 
 
 def near_copies(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -294,7 +326,8 @@ def near_copies(docs: DataFrame, text: str = "text", threshold: float = THRESHOL
 
     Similarity: Jaccard of the sets of five consecutive words, words being `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z
     lower-cased; a shorter text is one shingle. n_links: different texts that reach the threshold with this one. A pair at
-    the threshold is missed with a chance of some 3e-6 (no common bucket). Texts without words, null ones too, are alone in their class. Rows without id count, but name no class. Repeated rows are copies.
+    the threshold is missed with a chance of some 3e-6 (no common bucket). Texts without words, null ones too, are alone in their
+    class. Rows without id count, but name no class. Repeated rows are copies.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     source = docs.select("doc_id", F.col(text).cast("string").alias("text"))
@@ -306,7 +339,8 @@ def near_copies(docs: DataFrame, text: str = "text", threshold: float = THRESHOL
     roots = components(found).withColumnRenamed("node", "key").join(degree, "key")
     named = texts.drop("sig").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = named.join(least, "root").select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    full = rows.filter("key is not null").select("doc_id", "key").join(named, "key")
+    named = salted_join(named, least, ["root"], by="key").select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    worded = rows.filter("key is not null").select("doc_id", "key")
+    full = salted_join(worded, named, ["key"], by="doc_id", salts=4)
     alone = rows.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return full.select("doc_id", "class_id", "n_copies", "n_links").unionByName(alone)

@@ -66,15 +66,18 @@ def test_query_documents(spark, sf_small):
 
 
 def test_large_groups_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(m, "BLOCK_TEXTS", 70)
+    monkeypatch.setattr(m, "BLOCK_SHINGLES", 9_000)
+    monkeypatch.setattr(m, "BLOCK_PROFILES", 40)
     rng = random.Random(9)
     rows = []
-    for edits, n in ((3, 260), (2, 150)):
+    for edits, n in ((3, 130), (2, 110), (8, 110)):
         base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
         for i in range(n):
             w = list(base)
-            for k in rng.sample(range(200), edits):
+            for k in rng.sample(range(200), min(edits, 3)):
                 w[k] = f"x{rng.randrange(10**6)}"
+            for k in range(0, 5 * edits, 10):  # edits that many texts have in common
+                w[k + 3] = rng.choice(["same", "same", w[k + 3], f"one{k % 20}", f"few{i % 9}"])
             rows.append((edits * 1000 + i, " ".join(w)))
     rows += [(9000 + i, " ".join(f"y{rng.randrange(10**6)}" for _ in range(100))) for i in range(50)] + [(9500 + i, t) for i, t in rows[:30]]
     assert compare(spark, rows) == brute(rows)
