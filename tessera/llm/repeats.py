@@ -1,10 +1,14 @@
 """Passages that repeat across documents, by a sparse suffix array.
 
-Suffixes are retained where a minimiser of ten words stands, at least one in any 25 words. They are sorted by their first 35
-words, and neighbours that agree on these mark a repeated stretch; stretches of a document that overlap form runs. A passage
-of fifty words or more contains such a suffix within its first sixteen words, so none is missed. Runs are then extended
-to the left and right, and decided, by comparing the fifty words at each place in and around them in the same way, so the
-result is exact but for collisions of 64-bit hashes.
+Suffixes are retained where a minimiser of ten words stands, at least one in any 25 words. They are sorted by a digest of
+their first 35 words, and neighbours that agree mark a repeated stretch; stretches of a document that overlap form runs. A
+passage of fifty words or more contains such a suffix within its first sixteen words, so none is missed.
+
+Runs are not extended pair by pair: how far a place goes on to the left and to the right with another document depends on
+which one, the neighbour in suffix order need not be the one with which both together reach fifty words, and trying all of a
+group's pairs grows with its square. Instead every fifty words in and around a run are sorted and compared with their
+neighbours in the same way, which says for each place whether any document shares it. The result is exact but for collisions of
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from .near import word_hashes
 MIN_WORDS = 50
 #: Words of a minimiser, and how many of them one is chosen from.
 GRAM, WINDOW = 10, 16
+#: Columns of a place; anon: the digest of a text without id.
+PLACE = ["key", "doc_id", "anon", "pos"]
 #: Words before the first minimiser of a passage, at most, and words that sort a suffix.
 SLACK = WINDOW - 1
 PREFIX = MIN_WORDS - SLACK
@@ -68,15 +74,17 @@ def _suffixes(batches):
         owner = np.searchsorted(np.cumsum(lens), at, side="right")
         pos = at - (np.cumsum(lens) - lens)[owner]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h.of(at, PREFIX).view(np.int64)), block.column("doc_id").take(pa.array(owner)), pa.array(pos.astype(np.int32))], names=["key", "doc_id", "pos"]
+            [pa.array(h.of(at, PREFIX).view(np.int64)), *(block.column(c).take(pa.array(owner)) for c in ("doc_id", "anon")), pa.array(pos.astype(np.int32))],
+            names=PLACE,
         )
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    """Ids to compare; rows without id are one document."""
-    if pa.types.is_integer(column.type):
-        return pc.fill_null(column.cast(pa.int64()), -(1 << 63)).to_numpy(zero_copy_only=False)
-    return pc.fill_null(column.cast(pa.string()), "").to_numpy(zero_copy_only=False)
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    """Ids to compare; rows without id are told apart by the digest of their text."""
+    ids, anon = batch.column("doc_id"), batch.column("anon")
+    if pa.types.is_integer(ids.type):
+        return pc.coalesce(ids.cast(pa.int64()), anon).to_numpy(zero_copy_only=False)
+    return pc.coalesce(ids.cast(pa.string()), anon.cast(pa.string())).to_numpy(zero_copy_only=False)
 
 
 def _neighbours(batches):
@@ -92,7 +100,7 @@ def _neighbours(batches):
     def rows(batch, keep, sure, edge):
         at = pa.array(np.flatnonzero(keep))
         return pa.RecordBatch.from_arrays(
-            [batch.column(c).take(at) for c in ("key", "doc_id", "pos")] + [pa.array(sure[keep]), pa.array(edge[keep])], names=["key", "doc_id", "pos", "sure", "edge"]
+            [batch.column(c).take(at) for c in PLACE] + [pa.array(sure[keep]), pa.array(edge[keep])], names=[*PLACE, "sure", "edge"]
         )
 
     for batch in batches:
@@ -100,7 +108,7 @@ def _neighbours(batches):
             continue
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        key, ids = batch.column("key").to_numpy(), _ids(batch.column("doc_id"))
+        key, ids = batch.column("key").to_numpy(), _ids(batch)
         starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
         stops = np.append(starts[1:], len(key))
         shared = ids[starts] != ids[stops - 1]
@@ -141,7 +149,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def _around(batches):
-    """The fifty words at every place in a run and around it: (key, doc_id, pos)."""
+    """The fifty words at every place in a run and around it."""
     for block in blocks(batches, "text"):
         docs = [words_of(t) for t in block.column("text").to_pylist()]
         words, lens = word_hashes(docs)
@@ -157,7 +165,8 @@ def _around(batches):
         owner = np.concatenate([*owners, np.zeros(0, np.int64)]).astype(np.int64)
         pos = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
         key = h.of(pos + begin[owner], MIN_WORDS).view(np.int64) if len(pos) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(key), block.column("doc_id").take(pa.array(owner)), pa.array(pos.astype(np.int32))], names=["key", "doc_id", "pos"])
+        named = [block.column(c).take(pa.array(owner)) for c in ("doc_id", "anon")]
+        yield pa.RecordBatch.from_arrays([pa.array(key), *named, pa.array(pos.astype(np.int32))], names=PLACE)
 
 
 def _spans(batches):
@@ -178,11 +187,11 @@ def shared(rows: DataFrame) -> DataFrame:
     Dealt by ranges of key and document, so a key that very many documents have is split among tasks.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
-    order = rows.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "pos")
-    marked = materialize(order.mapInArrow(_neighbours, f"key long, doc_id {kind}, pos int, sure boolean, edge boolean"))
-    ids = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    order = rows.repartitionByRange("key", "doc_id", "anon").sortWithinPartitions("key", "doc_id", "anon", "pos")
+    marked = materialize(order.mapInArrow(_neighbours, f"key long, doc_id {kind}, anon long, pos int, sure boolean, edge boolean"))
+    ids = F.coalesce(F.col("doc_id").cast("string"), F.col("anon").cast("string"))
     across = marked.filter("edge").groupBy("key").agg(F.min(ids).alias("lo"), F.max(ids).alias("hi")).filter("lo <> hi").select("key")
-    return marked.filter("sure").union(marked.filter("not sure").join(across, "key", "left_semi").select(*marked.columns)).select("doc_id", "pos")
+    return marked.filter("sure").union(marked.filter("not sure").join(across, "key", "left_semi").select(*marked.columns)).select("doc_id", "anon", "pos")
 
 
 def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -190,19 +199,22 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z lower-cased, counted from 0, end excluded. Where several repeated
     stretches overlap or touch, their union is one row; different documents may share its parts. Documents are told
-    apart by doc_id: rows that share an id count as one document, those without id too. Null, empty and shorter texts have
-    no passages; repeats within one document alone are none. Other columns are not read.
+    apart by doc_id: rows that share an id count as one document; rows without id by their text, and what they share is
+    returned without id. Null, empty and shorter texts have no passages; repeats within one document alone are none. Other columns are not read.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    source = docs.select("doc_id", F.col(text).cast("string").alias("text"))
+    whole = F.col(text).cast("string")
+    source = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64(whole)).alias("anon"), whole.alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    suffixes = materialize(source.mapInArrow(_suffixes, f"key long, doc_id {kind}, pos int"))
-    runs = materialize(shared(suffixes).groupBy("doc_id").agg(F.collect_set("pos").alias("positions")))
-    dealt = runs.withColumnRenamed("doc_id", "run_id")
-    held = source.join(dealt, F.col("doc_id").eqNullSafe(F.col("run_id")))
-    around = materialize(held.select("doc_id", "text", "positions").mapInArrow(_around, f"key long, doc_id {kind}, pos int"))
-    places = shared(around).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    place = f"key long, doc_id {kind}, anon long, pos int"
+    suffixes = materialize(source.mapInArrow(_suffixes, place))
+    runs = shared(suffixes).groupBy("doc_id", "anon").agg(F.collect_set("pos").alias("positions"))
+    runs = materialize(runs.withColumnsRenamed({"doc_id": "run_id", "anon": "run_anon"}))
+    same = F.col("doc_id").eqNullSafe(F.col("run_id")) & F.col("anon").eqNullSafe(F.col("run_anon"))
+    held = source.join(runs, same).select("doc_id", "anon", "text", "positions")
+    around = materialize(held.mapInArrow(_around, place))
+    places = shared(around).groupBy("doc_id", "anon").agg(F.collect_set("pos").alias("places"))
     spans = places.mapInArrow(_spans, f"doc_id {kind}, start_word long, end_word long")
     return spans.withColumn("n_words", F.col("end_word") - F.col("start_word"))
 

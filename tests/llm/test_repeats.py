@@ -56,3 +56,12 @@ def test_stretch_hashes():
 def test_empty_table(spark):
     assert m.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert m.repeated_passages(spark.createDataFrame([(None, "a " * 80), (None, "a " * 80)], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_id_are_told_apart_by_their_text(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    common = words(60)
+    rows = [(None, f"{words(9)} {common} {words(i)}") for i in range(20)] + [(1, common), (2, words(80))]
+    got = m.repeated_passages(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.start_word, r.end_word) for r in got) == [(0, 9, 69)] * 20 + [(1, 0, 60)]
