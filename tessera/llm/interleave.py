@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, blocks, map_texts, materialize
+from .common import ARROW_ROWS, blocks, map_texts, materialize, salted_join
 
 #: Samples in a row of an image; payloads are padded to a multiple of it.
 ROW = 576
 PAD = b"\xff"
 PNG = b"\x89PNG\r\n\x1a\n"
-SEQUENCE = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
+SEQUENCE = "array<struct<position:int,kind:string,text:string,chars:int,ref:string,caption:string>>"
 
 
 def pad(raw: bytes) -> bytes:
@@ -81,7 +81,7 @@ class _Reader(HTMLParser):
         text = " ".join("".join(self.run).split())
         self.run = []
         if text:
-            self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
+            self.items.append({"kind": "text", "text": text, "chars": len(text), "ref": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIP:
@@ -95,7 +95,7 @@ class _Reader(HTMLParser):
         elif tag in self.MEDIA:
             a = dict(attrs)
             if a.get("src"):
-                self.items.append({"kind": tag, "text": None, "ref": a["src"], "caption": a.get("alt") or None})
+                self.items.append({"kind": tag, "text": None, "chars": None, "ref": a["src"], "caption": a.get("alt") or None})
 
     def handle_endtag(self, tag):
         if tag in self.SKIP:
@@ -133,14 +133,20 @@ def sequences(pages: DataFrame, keep=("page_id",), text: str = "html") -> DataFr
     return map_texts(pages, lambda: lambda texts: {"sequence": [parse(t) for t in texts]}, f"sequence {SEQUENCE}", keep, text)
 
 
-def resolve(sequence_rows: DataFrame, media: DataFrame, key: str) -> DataFrame:
-    """One row per media reference: key, position, kind, ref, caption and the columns of the media with that ref.
+def resolve(rows: DataFrame, media: DataFrame) -> DataFrame:
+    """The rows with, in every item of their `sequence`, a field `media`: the columns of the media with the item's ref.
 
-    media: one row per `ref`. An equi-join on the reference; refs that `media` lacks stay with nulls.
-    A key need not be unique: rows stay as often as they stand.
+    media: one row per `ref`, and other columns. Items keep their order, positions and captions; text, and refs that `media`
+    lacks, get a null. Only references are joined, and a payload that very many items share is split among tasks; what is
+    found comes back to its row by the item's position. Rows need no unique key and stay as often as they stand.
     """
-    refs = sequence_rows.select(key, F.explode("sequence").alias("s")).select(key, "s.position", "s.kind", "s.ref", "s.caption")
-    return refs.filter(F.col("ref").isNotNull()).join(media, "ref", "left")
+    held = materialize(rows.withColumn("__row", F.monotonically_increasing_id()))
+    refs = held.select("__row", F.explode("sequence").alias("s")).select("__row", "s.position", "s.ref").filter(F.col("ref").isNotNull())
+    found = salted_join(refs, media, ["ref"], by="__row").select("__row", "position", F.struct(*[c for c in media.columns if c != "ref"]).alias("media"))
+    found = found.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("position", "media"))).alias("__found"))
+    joined = held.join(found, "__row", "left")
+    resolved = F.transform("sequence", lambda item: item.withField("media", F.try_element_at(F.col("__found"), item["position"])))
+    return joined.withColumn("sequence", resolved).drop("__row", "__found")
 
 
 def feature(payload: bytes) -> str:
@@ -203,16 +209,30 @@ def page_of(text: str | None) -> str:
 
 
 def media_of_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per document its media, resolved by digest: n_bytes, payload and media digests and feature; equal texts agree.
+    """Per document its sequence, and of its media, resolved by digest: sizes, payload and media digests and feature.
 
-    Null counts as empty text, whose payload is one row of padding. Repeated rows and ids stay. Only references and
-    features are shuffled; a digest that many rows share is one row on the other side of the join.
+    A document's sequence: its lines, by their lengths (the text itself stays in the document), then its media with a
+    caption; `sequence` holds every item with its position, `position` and `caption` are those of the media. Null counts
+    as empty text, whose payload is one row of padding. Equal texts agree; repeated rows and ids stay. Only light
+    sequences, references and features are shuffled.
     """
 
     def work(texts):
-        found = [[x for x in parse(page_of(t)) if x["ref"]] for t in texts]
-        return {"sequence": found}
-
-    refs = map_texts(docs, lambda: work, f"sequence {SEQUENCE}", ("doc_id",), text)
-    rows = resolve(refs, describe(pack(docs, text)), "doc_id")
-    return rows.select("doc_id", *[c.split()[0] for c in DESCRIBED.split(", ")[1:]], "position", "caption")
+        return {"sequence": [[x | {"text": None} for x in parse(page_of(t))] for t in texts]}
+
+    rows = resolve(map_texts(docs, lambda: work, f"sequence {SEQUENCE}", ("doc_id",), text), describe(pack(docs, text)))
+    own = F.filter("sequence", lambda item: item["ref"].isNotNull())[0]
+    rows = rows.withColumn("__own", own)
+    made = [F.col(f"__own.media.{c.split()[0]}") for c in DESCRIBED.split(", ")[1:]]
+    return rows.select("doc_id", *made, "__own.position", "__own.caption", "sequence")
+
+
+def page_sequences(pages: DataFrame) -> DataFrame:
+    """Per page how many items, texts and media its sequence has, the characters of its texts, and the sequence itself."""
+    rows = sequences(pages, ("page_id",))
+    texts = F.filter("sequence", lambda item: item["kind"] == "text")
+    chars = F.aggregate(texts, F.lit(0).cast("long"), lambda n, item: n + item["chars"])
+    return rows.select(
+        "page_id", F.size("sequence").cast("long").alias("n_items"), F.size(texts).cast("long").alias("n_texts"),
+        (F.size("sequence") - F.size(texts)).cast("long").alias("n_media"), chars.alias("n_chars"), "sequence",
+    )

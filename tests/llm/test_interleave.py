@@ -1,4 +1,7 @@
 import hashlib
+import html
+import re
+import struct
 import zlib
 
 import pytest
@@ -15,6 +18,29 @@ def test_round_trip():
         m.from_png(m.to_png(m.pad(b"q"))[:-20] + b"0" * 20)
 
 
+def plain_png(data: bytes) -> tuple[tuple, bytes]:
+    """Header and samples of a PNG by the format's own description."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, parts = 8, {}
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        parts[kind] = parts.get(kind, b"") + body
+        at += 12 + n
+    head = struct.unpack(">IIBBBBB", parts[b"IHDR"])
+    raw = zlib.decompress(parts[b"IDAT"])
+    lines = [raw[i : i + head[0] + 1] for i in range(0, len(raw), head[0] + 1)]
+    assert all(x[0] == 0 for x in lines)  # unfiltered
+    return head, b"".join(x[1:] for x in lines)
+
+
+def plain_feature(payload: bytes) -> str:
+    bands = [10000 * sum(16 * k <= x < 16 * k + 16 for x in payload) // len(payload) for k in range(16)]
+    rows, mean = len(payload) // 576, 1000 * sum(payload) // len(payload)
+    return f"rows={rows};min={min(payload)};max={max(payload)};mean={mean};bands={','.join(map(str, bands))}"
+
+
 def test_documents(spark):
     df = spark.createDataFrame([(i, t, "f") for i, t in enumerate(TEXTS)] + [(0, None, "f")], "doc_id long, text string, feature string")
     rows = m.media_of_documents(df).collect()
@@ -23,10 +49,38 @@ def test_documents(spark):
         raw = (TEXTS[r.doc_id] or "").encode()
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         png = m.to_png(payload)
+        head, samples = plain_png(png)
+        assert head == (576, len(payload) // 576, 8, 0, 0, 0, 0) and samples == payload
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-32:]))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(png).hexdigest()
-        assert r.media_bytes == len(png) and r.caption == f"{len(raw)} bytes" and r.feature == m.feature(payload)
-        assert r.position == len([x for x in (TEXTS[r.doc_id] or "").split("\n") if x.strip()])
+        assert r.media_bytes == len(png) and r.caption == f"{len(raw)} bytes" and r.feature == plain_feature(payload)
+        lines = [" ".join(x.split()) for x in (TEXTS[r.doc_id] or "").split("\n") if x.strip()]
+        assert [x.chars for x in r.sequence if x.kind == "text"] == [len(x) for x in lines] and r.position == len(lines)
+        assert [x.position for x in r.sequence] == list(range(len(lines) + 1)) and r.sequence[-1].media.payload_sha256 == r.payload_sha256
+        assert [x.media for x in r.sequence[:-1]] == [None] * len(lines)
+
+
+def test_page_query_against_a_plain_reading(spark, sf_small):
+    from tessera.llm.queries import media_pages
+
+    pages = {r.page_id: r.html or "" for r in spark.read.parquet(f"{sf_small}/pages.parquet").collect()}
+    block = "p|div|br|li|tr|h[1-6]|article|section|table|ul|ol|figure|blockquote|pre|header|footer"
+    seen = 0
+    for r in media_pages(spark, sf_small).collect():
+        h = re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>", "", pages[r.page_id])
+        h = re.sub(r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>", "", h)
+        runs = [html.unescape(re.sub(r"(?s)<[^>]*>", "", x)) for x in re.split(rf"(?is)</?(?:{block})\b[^>]*>", h)]
+        want = [" ".join(x.split()) for x in runs]
+        want = [x for x in want if x]
+        assert [x.text for x in r.sequence] == want and r.n_texts == len(want) == r.n_items and r.n_chars == sum(map(len, want))
+        seen += len(want)
+    assert seen > 100 and len(pages) > 10
+
+
+def test_a_payload_that_many_share(spark):
+    df = spark.createDataFrame([(i, "same" if i % 3 else f"own {i}") for i in range(600)], "doc_id long, text string")
+    rows = m.media_of_documents(df).collect()
+    assert len(rows) == 600 and len({r.media_sha256 for r in rows}) == 201
 
 
 def test_sequences_keep_order_and_captions(spark):
@@ -43,8 +97,10 @@ def test_sequences_keep_order_and_captions(spark):
     ]
     assert [x.position for x in by[1]] == list(range(7)) and by[2] == []
     media = spark.createDataFrame([("m1", 5), ("m3", 6)], "ref string, size int")
-    got = m.resolve(m.sequences(pages), media, "page_id").orderBy("position").collect()
-    assert [(r.position, r.ref, r.size) for r in got] == [(2, "m1", 5)] * 2 + [(4, "m2", None)] * 2 + [(6, "m3", 6)] * 2
+    got = [r for r in m.resolve(m.sequences(pages), media).collect() if r.page_id == 1]
+    assert len(got) == 2 and all([x.position for x in r.sequence] == list(range(7)) for r in got)
+    found = [(x.position, x.ref, x.caption, x.media and x.media.size) for x in got[0].sequence if x.ref]
+    assert found == [(2, "m1", "first", 5), (4, "m2", "A caption", None), (6, "m3", None, 6)] and got[0] == got[1]
 
 
 def test_empty_table(spark):
