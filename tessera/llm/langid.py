@@ -1,7 +1,7 @@
 """Language identification by a linear-chain conditional random field over the words of a text.
 
-Emissions sum the weights of affixes, character n-grams and the word itself; transitions are learned; forward-backward
-labels every word, so code-switched passages get their own language, and the document gets the one with most mass.
+Emissions sum the weights of affixes, character n-grams, the word itself and its entry in a lexicon of the learned languages;
+transitions are learned; forward-backward labels every word, so code-switched passages get their own language, and the document gets the one with most mass.
 """
 
 from __future__ import annotations
@@ -9,19 +9,21 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, blocks, bucket, map_texts
+from .common import ARROW_ROWS, bucket, map_texts
 
-#: Bounds of the fit: labelled documents, chosen by hash, and words taken from each, a run at a place given by hash.
-FIT_ROWS = 4000
-FIT_WORDS = 120
+#: Labelled rows that the fit takes, with their whole texts, chosen by hash.
+FIT_ROWS = 2000
+#: Times that a word must stand in them to enter the lexicon, and shares of its commonest language that entries tell apart.
+LEXICON_TIMES, LEXICON_SHARES = 3, (0.6, 0.95)
+#: Words of a training chain, about; a longer text is learned in several steps.
+STEP_WORDS = 40_000
 #: Weight rows that features hash to.
 HASHED = 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
-EPOCHS = 4
+EPOCHS = 3
 #: Words of a training chain come from so many documents, to show changes of language.
 CHAIN = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -58,9 +60,24 @@ def feature_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.searchsorted(own[order], np.arange(len(words)))
 
 
-def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
-    ids, starts = feature_ids(words)
-    return np.add.reduceat(weights[ids], starts, axis=0)
+def lexicon_of(sample: list[tuple[str, list[str]]], langs: list[str]) -> dict[str, int]:
+    """word -> entry: its commonest language and how far the others are behind; 0 is no entry."""
+    seen: dict[str, np.ndarray] = {}
+    for lang, words in sample:
+        k = langs.index(lang)
+        for w in words:
+            if w not in seen:
+                seen[w] = np.zeros(len(langs), np.int64)
+            seen[w][k] += 1
+    out = {}
+    for w, n in seen.items():
+        if n.sum() >= LEXICON_TIMES and (level := sum(n.max() >= share * n.sum() for share in LEXICON_SHARES)):
+            out[w] = 1 + len(LEXICON_SHARES) * int(n.argmax()) + level - 1
+    return out
+
+
+def entries(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
+    return np.array([lexicon.get(w, 0) for w in words], np.int64)
 
 
 def forward_backward(emit: np.ndarray, lens: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +120,12 @@ def posteriors(emit: np.ndarray, lens: np.ndarray, trans: np.ndarray) -> np.ndar
 
 
 class Model:
-    def __init__(self, langs: list[str], weights: np.ndarray, trans: np.ndarray):
-        self.langs, self.weights, self.trans = langs, weights, trans
+    def __init__(self, langs: list[str], weights: np.ndarray, trans: np.ndarray, lexicon: dict[str, int], own: np.ndarray):
+        self.langs, self.weights, self.trans, self.lexicon, self.own = langs, weights, trans, lexicon, own
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        ids, starts = feature_ids(words)
+        return np.add.reduceat(self.weights[ids], starts, axis=0) + self.own[entries(words, self.lexicon)]
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[str], np.ndarray]]:
         """(language, its mean probability, words, label probabilities) of each text."""
@@ -115,7 +136,7 @@ class Model:
         lens = np.array([len(c) for c in chains])
         if not len(at) or not self.langs:
             return [("und", 0.0, c, np.zeros((len(c), 0))) for c in chains]
-        post = posteriors(emissions(list(place), self.weights)[at], lens[lens > 0], self.trans)
+        post = posteriors(self.emissions(list(place))[at], lens[lens > 0], self.trans)
         out, start = [], 0
         for c in chains:
             own = post[start : start + len(c)]
@@ -126,69 +147,70 @@ class Model:
         return out
 
 
-def _sample(docs: DataFrame, rows: int, words: int) -> list[tuple[str, list[str]]]:
-    """(language, words) of at most `rows` documents outside the held-out third; at most `words` of each."""
-
-    def run(batches):
-        for block in blocks(batches, "text"):
-            langs, out = [], []
-            for h, lang, t in zip(*(block.column(c).to_pylist() for c in ("h", "lang", "text")), strict=True):
-                w = words_in(t)
-                if w:
-                    start = h % max(1, len(w) - words + 1)
-                    langs.append(lang)
-                    out.append(" ".join(w[start : start + words]))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.string())], names=["lang", "words"])
+def _sample(docs: DataFrame, rows: int) -> list[tuple[str, list[str]]]:
+    """(language, words) of at most `rows` rows outside the held-out third, whole texts, each with its own label.
 
+    Rows are known by a digest of all that is read of them, so repeated ids do not mix and equal rows count once.
+    """
     usable = docs.filter("lang is not null and text is not null").filter(bucket("doc_id", 3) != 1)
-    ids = usable.select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.lit(2)).alias("h")).orderBy("h", "doc_id").limit(rows)
-    chosen = usable.select("doc_id", "text").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id")
-    got = chosen.select("h", "lang", "text").mapInArrow(run, "lang string, words string")
-    return sorted((r.lang, r.words.split(" ")) for r in got.collect())
+    usable = usable.select("lang", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "lang", "text", F.lit(2)).alias("place"))
+    chosen = usable.select("place").distinct().orderBy("place").limit(rows)
+    got = usable.join(F.broadcast(chosen), "place", "left_semi").dropDuplicates(["place"]).select("lang", "text").toArrow()
+    texts = zip(got.column("lang").to_pylist(), got.column("text").to_pylist(), strict=True)
+    return [(lang, w) for lang, w in sorted((lang, words_in(t)) for lang, t in texts) if w]
 
 
-def fit(docs: DataFrame, rows: int = FIT_ROWS, words: int = FIT_WORDS, seed: int = 0) -> Model:
-    """Conditional likelihood, by AdaGrad over chains, on a bounded sample of labelled documents.
+def fit(docs: DataFrame, rows: int = FIT_ROWS, seed: int = 0) -> Model:
+    """Conditional likelihood, by AdaGrad over chains, on a bounded sample of labelled rows.
 
     Reads text and lang of documents outside the held-out third alone. Without any, the model has no language.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    sample = _sample(docs, rows, words)
+    sample = _sample(docs, rows)
     langs = sorted({lang for lang, _ in sample})
     k = len(langs)
-    weights, trans = np.zeros((HASHED, k), np.float32), np.zeros((k, k))
+    lexicon = lexicon_of(sample, langs)
+    m = Model(langs, np.zeros((HASHED, k), np.float32), np.zeros((k, k)), lexicon, np.zeros((1 + k * len(LEXICON_SHARES), k), np.float32))
     if k < 2:
-        return Model(langs, weights, trans)
-    seen_w, seen_t = np.full((HASHED, k), 1e-2, np.float32), np.full((k, k), 1.0)
+        return m
+    seen_w, seen_t, seen_o = np.full((HASHED, k), 1e-2, np.float32), np.full((k, k), 1.0), np.full(m.own.shape, 1e-1, np.float32)
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(sample))
-        for start in range(0, len(order), 32 * CHAIN):
-            rows_ = [sample[i] for i in order[start : start + 32 * CHAIN]]
-            chains = [rows_[i : i + CHAIN] for i in range(0, len(rows_), CHAIN)]
+        order = rng.permutation(len(sample)).tolist()
+        while order:
+            chains: list[list[tuple[str, list[str]]]] = []
+            held = 0
+            while order and len(chains) < 32 and held < STEP_WORDS:
+                chains.append([sample[order.pop()] for _ in range(min(CHAIN, len(order)))])
+                held += sum(len(ws) for _, ws in chains[-1])
             tokens = [w for c in chains for _, ws in c for w in ws]
-            gold = np.array([langs.index(lang) for c in chains for lang, ws in c for _ in ws])
+            gold = np.concatenate([np.full(len(ws), langs.index(lang)) for c in chains for lang, ws in c])
             lens = np.array([sum(len(ws) for _, ws in c) for c in chains])
             place: dict[str, int] = {}
             at = np.array([place.setdefault(w, len(place)) for w in tokens])
-            ids, starts = feature_ids(list(place))
-            post, pairs = forward_backward(np.add.reduceat(weights[ids], starts, axis=0)[at], lens, trans)
+            post, pairs = forward_backward(m.emissions(list(place))[at], lens, m.trans)
             step = -post
             step[np.arange(len(gold)), gold] += 1
             per_word = np.stack([np.bincount(at, step[:, j], len(place)) for j in range(k)], axis=1)
-            spread = np.repeat(per_word, np.diff(np.append(starts, len(ids))), axis=0)
-            touched, back = np.unique(ids, return_inverse=True)
-            grad = np.stack([np.bincount(back, spread[:, j], len(touched)) for j in range(k)], axis=1).astype(np.float32)
-            grad -= 1e-3 * weights[touched]
-            seen_w[touched] += grad**2
-            weights[touched] += 0.2 * grad / np.sqrt(seen_w[touched])
+            ids, starts = feature_ids(list(place))
+            _learn(m.weights, seen_w, ids, np.repeat(per_word, np.diff(np.append(starts, len(ids))), axis=0))
+            _learn(m.own, seen_o, entries(list(place), lexicon), per_word)
             inner = np.ones(len(gold), bool)
             inner[np.cumsum(lens) - 1] = False
             true = np.flatnonzero(inner)
-            grad_t = np.bincount(gold[true] * k + gold[true + 1], minlength=k * k).reshape(k, k) - pairs - 1e-2 * trans
+            grad_t = np.bincount(gold[true] * k + gold[true + 1], minlength=k * k).reshape(k, k) - pairs - 1e-2 * m.trans
             seen_t += grad_t**2
-            trans += 0.2 * grad_t / np.sqrt(seen_t)
-    return Model(langs, weights, trans)
+            m.trans += 0.2 * grad_t / np.sqrt(seen_t)
+    return m
+
+
+def _learn(weights: np.ndarray, seen: np.ndarray, ids: np.ndarray, steps: np.ndarray) -> None:
+    """A step of AdaGrad for the rows that occur."""
+    touched, back = np.unique(ids, return_inverse=True)
+    grad = np.stack([np.bincount(back, steps[:, j], len(touched)) for j in range(steps.shape[1])], axis=1).astype(np.float32)
+    grad -= 1e-3 * weights[touched]
+    seen[touched] += grad**2
+    weights[touched] += 0.2 * grad / np.sqrt(seen[touched])
 
 
 def identify(docs: DataFrame, keep=("doc_id",), text: str = "text", runs: bool = False, rows: int = FIT_ROWS) -> DataFrame:
@@ -199,7 +221,7 @@ def identify(docs: DataFrame, keep=("doc_id",), text: str = "text", runs: bool =
     of one language, array of (lang, words). Repeated rows stay; other columns are not read. Only a bounded sample moves.
     """
     model = fit(docs, rows)
-    shown = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.trans))
+    shown = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.trans, model.lexicon, model.own))
     schema = "lang_pred string, score double" + (", runs array<struct<lang:string,words:int>>" if runs else "")
 
     def make():

@@ -58,3 +58,58 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None), (1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in m.identify(df).collect()] == [("und", 0.0)] * 2
     assert m.identify(df.limit(0)).count() == 0
+
+
+def slow_label(model, text):
+    """(language, score) of a text by plain loops, in the order of the chain."""
+    words = m.words_in(text) if text else []
+    if not words or not model.langs:
+        return "und", 0.0
+    k = range(len(model.langs))
+    emit = []
+    for w in words:
+        row = model.weights[m.feature_ids([w])[0]].astype(float).sum(axis=0) + model.own[model.lexicon.get(w, 0)]
+        emit.append(np.exp(row - row.max()))
+    trans = np.exp(model.trans)
+    ahead = [[float(x) for x in emit[0]]]
+    for e in emit[1:]:
+        now = [e[j] * sum(ahead[-1][i] * trans[i][j] for i in k) for j in k]
+        ahead.append([x / sum(now) for x in now])
+    back = [1.0 for _ in k]
+    mass = [0.0 for _ in k]
+    for t in range(len(words) - 1, -1, -1):
+        p = [ahead[t][j] * back[j] for j in k]
+        for j in k:
+            mass[j] += p[j] / sum(p)
+        back = [sum(trans[i][j] * emit[t][j] * back[j] for j in k) for i in k]
+        back = [x / sum(back) for x in back]
+    best = max(k, key=lambda j: mass[j])
+    return model.langs[best], mass[best] / len(words)
+
+
+def test_query_against_plain_loops(spark, sf_small):
+    from tessera.llm.queries import op2_langid
+
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    model = m.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = op2_langid(spark, sf_small).collect()
+    assert len(rows) == len(texts) and sum(r.held_out for r in rows) == sum(zlib.crc32(str(i).encode()) % 3 == 1 for i in texts)
+    for r in rows:
+        if len(texts[r.doc_id] or "") < 20_000:
+            lang, score = slow_label(model, texts[r.doc_id])
+            assert abs(r.score - score) < 1e-3 and (r.lang_pred == lang or abs(score - 1 / 2) < 0.01), r.doc_id
+
+
+def test_sample_is_bounded_and_each_row_has_its_own_label(spark):
+    rows = [(7, f"text number {'abcdefghij'[i % 10]} {'qrst'[i % 4]}", "de" if i % 2 else "en") for i in range(300)]
+    rows += [(None, "no id at all", "fr")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(m._sample(df, 10)) == 10
+    got = m._sample(df, 1000)
+    assert {(lang, tuple(w)) for lang, w in got} == {(lang, tuple(m.words_in(t))) for _, t, lang in rows} and len(got) == 21
+
+
+def test_lexicon():
+    lex = m.lexicon_of([("a", ["x"] * 10 + ["y"]), ("b", ["y"] * 2 + ["z", "z", "x"]), ("a", ["z"])], ["a", "b"])
+    assert lex == {"x": 1, "y": 3, "z": 3}
