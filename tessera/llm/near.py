@@ -2,7 +2,7 @@
 
 Equal texts form one class first; links run between different texts. Texts that share a bucket with few others are
 paired with all of them. The texts of large buckets are dealt anew by longer keys. What is still crowded after that, groups
-of texts almost equal, is described by what each text has otherwise than one representative of its group. How many shingles
+of texts almost equal, is described by what each text has otherwise than most of its group. How many shingles
 two texts share then follows from how many each lacks, but for differences that both have. Differences that many texts have
 are part of a text's profile (its number of shingles, of lacking ones, and such differences); texts of one profile have the same
 links by these alone, so profiles are compared instead of texts. Pairs that need a rarer common difference to reach the
@@ -30,8 +30,8 @@ HASHES, BAND_ROWS = 96, 4
 REKEY_BANDS, REKEY_ROWS = 48, 6
 #: Texts in a bucket that are still all paired; beyond it the longer keys take over.
 BUCKET = 32
-#: Shingles in a block of a crowded group, on average at most, and profiles in a block of them.
-BLOCK_SHINGLES, BLOCK_PROFILES = 400_000, 2_048
+#: Texts in a block of a crowded group and shingles in it, on average at most, and profiles in a block of them.
+BLOCK_TEXTS, BLOCK_SHINGLES, BLOCK_PROFILES = 128, 400_000, 2_048
 #: Texts of a group that have a difference in common, from which on it belongs to their profiles.
 COMMON = 32
 #: Hashes compared between two tests, and the chance of reaching the threshold below which a pair is dropped.
@@ -212,11 +212,18 @@ def reaches(both, size_a, size_b, threshold: float):
     return both >= threshold * (size_a + size_b - both)
 
 
+def _usual(t: pa.Table) -> pa.Table:
+    """The shingles of most texts of one block: whichever set a group is described by, its links are the same."""
+    sets = [np.array(x, np.int64) for x in t.column("set").to_pylist()]
+    kinds, n = np.unique(np.concatenate(sets), return_counts=True)
+    return pa.table({"root": t.column("root").slice(0, 1), "set": pa.array([kinds[2 * n > len(sets)]], pa.list_(pa.int64()))})
+
+
 def _differences(t: pa.Table) -> pa.Table:
-    """Texts of a block of a group against its representative, the row without key: shingles lacking or added."""
+    """Texts of a block of a group against the usual shingles of the group, the row without key: those lacking or added."""
     keys = t.column("key").to_pylist()
     sets = [np.array(x, np.int64) for x in t.column("set").to_pylist()]
-    own = sets[keys.index(None)]
+    own = sets[keys.index(None)]  # one row of each block
     rows = [(k, np.setdiff1d(own, x, assume_unique=True), np.setdiff1d(x, own, assume_unique=True), len(x)) for k, x in zip(keys, sets, strict=True) if k is not None]
     return pa.table(
         {
@@ -261,10 +268,13 @@ def _profile_links(threshold: float):
 def _in_groups(groups: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of crowded groups: pairs (a, b) to be tested, edges (a, b) and link counts (key, n) of all pairs that need no test."""
     held = materialize(groups.join(sets, "key"))
-    blocks_of = F.ceil(F.sum(F.size("set").cast("long")) / BLOCK_SHINGLES).cast("int").alias("nb")
+    blocks_of = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.size("set").cast("long")) / BLOCK_SHINGLES)).cast("int").alias("nb")
     sizes = held.groupBy("root").agg(blocks_of)
-    dealt = salted_join(held, sizes, ["root"], by="key").select("root", "key", "set", F.pmod(F.xxhash64("key", F.lit(5)), F.col("nb")).cast("int").alias("blk"))
-    own = held.filter("key = root").join(sizes, "root").select("root", F.lit(None).cast("binary").alias("key"), "set", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("blk"))
+    dealt = salted_join(held, sizes, ["root"], by="key")
+    dealt = dealt.select("root", "key", "set", F.pmod(F.xxhash64("key", F.lit(5)), F.col("nb")).cast("int").alias("blk"))
+    first = dealt.join(dealt.groupBy("root").agg(F.min("blk").alias("blk")), ["root", "blk"])
+    usual = first.groupBy("root").applyInArrow(_usual, "root binary, set array<long>").join(sizes, "root")
+    own = usual.select("root", F.lit(None).cast("binary").alias("key"), "set", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("blk"))
     told = dealt.unionByName(own).groupBy("root", "blk").applyInArrow(_differences, "root binary, key binary, whole int, size int, lacks int, other array<long>")
     told = materialize(told)
     each = told.select("root", "key", F.explode("other").alias("e"))

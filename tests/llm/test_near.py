@@ -66,6 +66,7 @@ def test_query_documents(spark, sf_small):
 
 
 def test_large_groups_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK_TEXTS", 60)
     monkeypatch.setattr(m, "BLOCK_SHINGLES", 9_000)
     monkeypatch.setattr(m, "BLOCK_PROFILES", 40)
     rng = random.Random(9)
