@@ -22,6 +22,9 @@ from .common import map_texts
 #: Bytes that the encodings a worker keeps may take, about.
 CACHE_BYTES = 160 << 20
 NEVER = 1 << 40
+NO_MERGE = (NEVER, 0)
+#: Bytes of words that are merged without a heap.
+SHORT = 32
 
 # Letters and numbers of Unicode 16, and lower cases of Unicode 17, beyond Python's tables of Unicode 15.1. The
 # tokenizers library splits by the former and lower-cases by the latter.
@@ -45,12 +48,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
-def _class(regex, letter: str, more: list[tuple[int, int]]) -> str:
-    """A set of the regex library's characters of a general category, without those newer than the given tables."""
+def _newer(regex, letter: str, more: list[tuple[int, int]]) -> set[str]:
+    """The regex library's characters of a general category that are newer than the given tables."""
     known = {c for a, b in more for c in range(a, b + 1)}
     found = regex.findall(rf"\p{{{letter}}}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
-    newer = [ord(c) for c in found if unicodedata.category(c)[0] != letter and ord(c) not in known]
-    return rf"[\p{{{letter}}}--[{''.join(rf'\U{c:08X}' for c in newer)}]]" if newer else rf"\p{{{letter}}}"
+    return {c for c in found if unicodedata.category(c)[0] != letter and ord(c) not in known}
 
 
 def lower(chunk: str) -> str:
@@ -95,9 +97,14 @@ class WordBpe:
         import regex
 
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(pattern).findall
+        self.newer: set[str] = set()
         for letter, more in (("L", LETTERS_16), ("N", NUMBERS_16)):
-            pattern = pattern.replace(rf"\p{{{letter}}}", _class(regex, letter, more))
-        self.split = regex.compile(pattern, regex.V1).findall
+            newer = _newer(regex, letter, more)
+            self.newer |= newer
+            if newer:
+                pattern = pattern.replace(rf"\p{{{letter}}}", rf"[\p{{{letter}}}--[{''.join(rf'\U{ord(c):08X}' for c in sorted(newer))}]]")
+        self.split_newer = regex.compile(pattern, regex.V1).findall
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.cache: dict[str, tuple[int, str, str]] = {}
         self.held = 0
@@ -146,13 +153,24 @@ class WordBpe:
     def merge(self, word: str) -> list[int]:
         """Exact merging: the lowest rank first, the leftmost of equals.
 
-        Symbols are a linked list; a heap holds the pairs that may merge, by rank and place, and pairs that are no longer
-        there are passed over, so a word of n bytes takes n log n steps.
+        In a short word all ranks are looked through each time. In a longer one symbols are a linked list; a heap holds the
+        pairs that may merge, by rank and place, and pairs that are no longer there are passed over: n log n steps.
         """
         raw = word.encode("utf-8", "surrogatepass")
         ids = [self.inner[b] for b in raw[:-1]]
         ids.append(self.final[raw[-1]])
         n, get, made = len(ids), self.rank_of, self.made
+        if n <= SHORT:
+            ranks = [get(p, NO_MERGE)[0] for p in pairwise(ids)]
+            while ranks and (best := min(ranks)) < NEVER:
+                i = ranks.index(best)
+                ids[i : i + 2] = [made[best]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get((ids[i - 1], ids[i]), NO_MERGE)[0]
+                if i < len(ranks):
+                    ranks[i] = get((ids[i], ids[i + 1]), NO_MERGE)[0]
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r[0], i, a, b) for i, (a, b) in enumerate(pairwise(ids)) if (r := get((a, b)))]
         heapify(heap)
@@ -204,7 +222,7 @@ class WordBpe:
     def _learn(self, chunks: list[str]) -> None:
         """Encodings of chunks without white space into the cache."""
         parts = [
-            [c.lower()] if c.isascii() and c.isalpha() else self.split(lower(c))
+            [c.lower()] if c.isascii() and c.isalpha() else (self.split if self.newer.isdisjoint(low := lower(c)) else self.split_newer)(low)
             for c in chunks
         ]
         distinct = list({w for p in parts for w in p})

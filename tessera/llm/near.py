@@ -31,7 +31,7 @@ REKEY_BANDS, REKEY_ROWS = 48, 6
 #: Texts in a bucket that are still all paired; beyond it the longer keys take over.
 BUCKET = 32
 #: Texts in a block of a crowded group and shingles in it, on average at most, and profiles in a block of them.
-BLOCK_TEXTS, BLOCK_SHINGLES, BLOCK_PROFILES = 128, 400_000, 2_048
+BLOCK_TEXTS, BLOCK_SHINGLES, BLOCK_PROFILES = 128, 400_000, 512
 #: Texts of a group that have a difference in common, from which on it belongs to their profiles.
 COMMON = 32
 #: Hashes compared between two tests, and the chance of reaching the threshold below which a pair is dropped.

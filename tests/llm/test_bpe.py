@@ -88,7 +88,7 @@ def test_merging_by_heap_is_merging_by_rank():
     b = load(vocabulary_path())
     rng = random.Random(3)
     for _ in range(2000):
-        word = "".join(rng.choice("aeinorsthl") for _ in range(rng.randrange(1, 30)))
+        word = "".join(rng.choice("aeinorsthl") for _ in range(rng.randrange(1, 80)))
         ids = [b.inner[c] for c in word[:-1].encode()] + [b.final[ord(word[-1])]]
         while (found := [(b.ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in b.ranks]):
             _, i = min(found)
