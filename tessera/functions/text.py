@@ -184,3 +184,38 @@ def model_stem(col: Column) -> Column:
     low = F.lower(col)
     other = F.regexp_replace(F.element_at(F.split(low, "/"), -1), "[^a-z0-9]+", "-")
     return F.coalesce(_lookup(low, MODEL_ALIASES | {"gemini-3-flash-preview": "gemini-3-flash"}), F.regexp_replace(other, "^-+|-+$", ""))
+
+
+# Per category the other wordings of its question, each with a name and its words for increase and decrease.
+PARAPHRASES = {
+    "volume": [
+        ("rise_fall", "Does the loudness rise or fall as the audio progresses?", "rise", "fall"),
+        ("intensity_increase_decrease", "Does the sound intensity increase or decrease throughout the recording?", "increase", "decrease"),
+        ("intensity_increasing_decreasing", "Is the audio intensity increasing or decreasing over time?", "increasing", "decreasing"),
+    ],
+    "voice_pitch": [
+        ("tone_rise_fall", "Does the tone rise or fall over time?", "rise", "fall"),
+        ("frequency_upward_downward", "Does the sound frequency change upward or downward over time?", "upward", "downward"),
+        ("frequency_rise_decline", "Over time, does the frequency of the voice rise or decline?", "rise", "decline"),
+    ],
+    "speaking_speed": [
+        ("pace_faster_slower", "Does the pace of speech become faster or slower over time?", "faster", "slower"),
+        ("tempo_increase_decrease", "Does the speech tempo increase or decrease with time?", "increase", "decrease"),
+        ("delivery_accelerate_decelerate", "Does the pace of delivery accelerate or decelerate over time?", "accelerate", "decelerate"),
+    ],
+}
+
+
+def paraphrased_prompts(category: Column) -> Column:
+    """Array of (variant, prompt, increase_word, decrease_word): the other wordings of a category's question; else empty."""
+
+    def of(name: str, question: str, up: str, down: str) -> Column:
+        prompt = f'{question}\n\nAnswer with only one word: "{up}" or "{down}".'
+        values = {"variant": name, "prompt": prompt, "increase_word": up, "decrease_word": down}
+        return F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
+
+    kind = "array<struct<variant:string,prompt:string,increase_word:string,decrease_word:string>>"
+    out = F.array().cast(kind)
+    for name, variants in PARAPHRASES.items():
+        out = F.when(category == name, F.array(*[of(*v) for v in variants])).otherwise(out)
+    return out

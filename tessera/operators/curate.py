@@ -6,22 +6,19 @@ sequential random generator, the constraints do not.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order, normalize_text
+from ..sources.folders import work_dir
 from .scoring import n_if
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """Written to the folder in spark.checkpoint.dir and read back, where that is set."""
-    path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        return df.cache()
-    df.write.parquet(to := f"{path}/{uuid.uuid4().hex}")
+    """Written to the shared folder and read back: lineage ends here."""
+    df.write.parquet(to := work_dir(df.sparkSession, "round"))
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 

@@ -115,7 +115,8 @@ def _log(spark, sf):
 
 
 _LOG = f"""r AS (SELECT CAST(annotator AS VARCHAR) AS annotator, category, CAST(item AS VARCHAR) AS item, CASE WHEN annotator % 5 = 0 THEN 'not_assigned' WHEN line = 7 THEN 'bad_label' WHEN line = 6 THEN 'negative' WHEN item % 9 = 0 THEN 'unknown_item' END AS reject_reason,
-  CASE WHEN line = 7 THEN 'X' ELSE label END = truth AS is_correct, CASE WHEN line = 6 THEN -response_time ELSE response_time END AS response_time, replay FROM ({ANNOTATION_ROWS}))"""
+  CASE WHEN line = 7 THEN 'X' ELSE label END = truth AS is_correct, CASE WHEN line = 6 THEN -response_time ELSE response_time END AS response_time, replay,
+  CASE WHEN line = 7 THEN 'X' ELSE label END AS label, shipped AS submitted_at FROM ({ANNOTATION_ROWS}))"""
 
 
 @query(f"WITH {_LOG} SELECT category, coalesce(reject_reason, 'accepted') AS reason, count(*) AS n, CAST(count(*) FILTER (is_correct AND reject_reason IS NULL) AS BIGINT) AS n_correct FROM r GROUP BY 1, 2")
@@ -126,18 +127,26 @@ def r1_stream_submissions(spark, sf):
     return back.groupBy("category", F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), F.sum((F.col("is_correct") & F.col("reject_reason").isNull()).cast("long")).alias("n_correct")).withColumn("n_correct", F.coalesce("n_correct", F.lit(0)))
 
 
-def _accepted(spark, sf):
-    return A.stream_submissions(spark, *_log(spark, sf)).filter("reject_reason is null")
+def _accepted(spark, sf, files=None):
+    return A.stream_submissions(spark, *_log(spark, sf), files=files).filter("reject_reason is null")
 
 
-@query(f"WITH {_LOG} SELECT annotator, category, item FROM r WHERE reject_reason IS NULL GROUP BY ALL")
+@query(f"""WITH {_LOG}, k AS (SELECT *, row_number() OVER (PARTITION BY annotator, category, item ORDER BY submitted_at, label, response_time, replay) AS nth
+  FROM r WHERE reject_reason IS NULL)
+SELECT annotator, category, item, label, round(response_time, 2) AS response_time, replay, CASE WHEN nth = 1 THEN 'kept' ELSE 'repeated' END AS outcome FROM k""")
 def r2_stream_dedup(spark, sf):
-    out, at = S.work_dir(spark, "dedup"), S.work_dir(spark, "checkpoint")
-    A.run_to(A.stream_dedup(_accepted(spark, sf)), out, at)
-    return spark.read.parquet(out).select("annotator", "category", "item")
+    store, refused, at = (S.work_dir(spark, n) for n in ("first", "repeated", "checkpoint"))
+    A.stream_dedup(_accepted(spark, sf), store, refused, at).awaitTermination()
+    own = ["annotator", "category", "item", "label", F.round("response_time", 2).alias("response_time"), "replay"]
+    schema = "annotator string, category string, item string, label string, response_time double, replay long"
+    kept, late = (spark.read.schema(schema).parquet(p) for p in (store, refused))
+    return kept.select(*own, F.lit("kept").alias("outcome")).union(late.select(*own, F.lit("repeated").alias("outcome")))
 
 
-@query(f"WITH {_LOG} SELECT category, annotator, count(*) AS n_rows, round(avg(CAST(is_correct AS INT)), 6) AS accuracy, round(avg(response_time) + 1e-7, 4) AS mean_time, round(avg(replay), 6) AS mean_replay FROM r WHERE reject_reason IS NULL GROUP BY 1, 2")
+SUMMARY = f"WITH {_LOG} SELECT category, annotator, count(*) AS n_rows, round(avg(CAST(is_correct AS INT)), 6) AS accuracy, round(avg(response_time) + 1e-7, 4) AS mean_time, round(avg(replay), 6) AS mean_replay FROM r WHERE reject_reason IS NULL GROUP BY 1, 2"
+
+
+@query(SUMMARY)
 def r3_stream_summary(spark, sf):
     out, at = S.work_dir(spark, "summary"), S.work_dir(spark, "checkpoint")
     A.run_to(A.stream_summary(_accepted(spark, sf)), out, at, "complete")
@@ -145,10 +154,20 @@ def r3_stream_summary(spark, sf):
     return rounded(back.withColumn("mean_time", F.round(F.col("mean_time") + 1e-7, 4)))
 
 
+@query(SUMMARY)
+def r3_stream_summary_updates(spark, sf):
+    """The same in update mode, from files taken one by one: the last row of each key counts."""
+    out, at = S.work_dir(spark, "summary"), S.work_dir(spark, "checkpoint")
+    A.run_to(A.stream_summary(_accepted(spark, sf, files=1)), out, at, "update")
+    schema = "category string, annotator string, n_rows long, accuracy double, mean_time double, mean_replay double, batch long"
+    back = A.latest(spark.read.schema(schema).parquet(out), ["category", "annotator"])
+    return rounded(back.withColumn("mean_time", F.round(F.col("mean_time") + 1e-7, 4)))
+
+
 @query()
 def r4_stream_agreement(spark, sf):
     store, at, out = (S.work_dir(spark, n) for n in ("store", "checkpoint", "agreement"))
-    q = A.stream_agreement(A.stream_dedup(_accepted(spark, sf)), store, at, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    q = A.stream_agreement(_accepted(spark, sf), store, at, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
     q.awaitTermination()
     found = spark.read.schema("item string, n_labels long, majority string, agreement double, batch int").parquet(out)
     last = found.groupBy("item").agg(F.max("batch").alias("batch"))

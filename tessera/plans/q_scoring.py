@@ -127,6 +127,26 @@ def f13_build_prompt(spark, sf):
     return adapt(spark, sf, PREDICTIONS).select("clip_id", T.build_prompt(c).alias("prompt"), T.build_prompt(c, True, True).alias("swapped"), T.build_format_prompt(c, "ternary").alias("ternary"))
 
 
+_ASKED = "CASE event_id % 4 WHEN 0 THEN 'volume' WHEN 1 THEN 'voice_pitch' WHEN 2 THEN 'speaking_speed' ELSE 'echo' END"
+_WORDINGS = ", ".join(
+    "('{}', '{}', '{}', '{}', '{}')".format(category, *variant) for category, variants in T.PARAPHRASES.items() for variant in variants
+)
+
+
+@query(f"""SELECT event_id, asked, variant, question || chr(10) || chr(10) || 'Answer with only one word: "' || up || '" or "' || down || '".' AS prompt
+FROM (SELECT event_id, {_ASKED} AS asked FROM events) JOIN (VALUES {_WORDINGS}) v(category, variant, question, up, down) ON asked = category""")
+def f13_paraphrased_prompts(spark, sf):
+    asked = table(spark, sf, "events").select("event_id", F.expr(_ASKED).alias("asked"))
+    return asked.select("event_id", "asked", F.explode(T.paraphrased_prompts(F.col("asked"))).alias("p")).select("event_id", "asked", "p.variant", "p.prompt")
+
+
+@query("""SELECT event_id, 'What is the speaker''s ' || event_type || ' in this audio?' || chr(10) || chr(10) || 'Options:' || chr(10) || 'A. low' || chr(10) || 'B. high'
+  || chr(10) || chr(10) || 'Answer with only the option letter.' AS prompt FROM events""")
+def f13_option_prompts(spark, sf):
+    shape = T.build_option_prompt("%s", ["low", "high"])
+    return table(spark, sf, "events").select("event_id", F.format_string(shape, "event_type").alias("prompt"))
+
+
 @query("""SELECT vec_id, list_position(v, list_max(v)) - 1 AS best, round(exp(v[1] - list_max(v)) / list_sum([exp(x - list_max(v)) for x in v]), 6) AS p_first
 FROM (SELECT vec_id, [round(CAST(embedding[1] AS DOUBLE), 1), round(CAST(embedding[2] AS DOUBLE), 1), round(CAST(embedding[3] AS DOUBLE), 1)] AS v FROM embeddings)""")
 def f14_f15_options(spark, sf):

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import wave
 from collections.abc import Sequence
 
@@ -15,14 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions import dsp
 from ..operators.scoring import n_if
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder of spark.checkpoint.dir; where it is unset, as in tests, in a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tessera_work", None)
-    if root is None:
-        root = spark._tessera_work = tempfile.mkdtemp(prefix="tessera-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+from .folders import work_dir  # noqa: F401
 
 
 def path_part(at: int, path: Column | None = None) -> Column:
@@ -41,10 +32,16 @@ def read_predictions(spark: SparkSession, paths: str | Sequence[str], schema: St
     return df.withColumns({k: path_part(v) for k, v in added.items() if v is not None}) if any(v is not None for v in added.values()) else df
 
 
-def read_manifest(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str, sep: str = ",") -> DataFrame:
-    """Rows of CSV or TSV files with a header line, which may begin with a byte order mark, and file and line for first-wins rules."""
-    df = spark.read.schema(schema).csv(paths, header=True, sep=sep, multiLine=True, escape='"', enforceSchema=True, ignoreLeadingWhiteSpace=False)
-    return df.withColumns({"file": F.input_file_name(), "line": F.monotonically_increasing_id()})
+def read_manifest(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """Rows of CSV or TSV files with a header line, which may begin with a byte order mark; file and line serve first-wins rules.
+
+    line: the row's number in its file, from 1, whatever the partitions. multi_line: fields may hold line ends, and a file is
+    read by one task; without, large files are split among tasks.
+    """
+    df = spark.read.schema(schema).csv(paths, header=True, sep=sep, multiLine=multi_line, escape='"', enforceSchema=True, ignoreLeadingWhiteSpace=False)
+    named = df.select("*", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__row"))
+    order = Window.partitionBy("file").orderBy("__at", "__row")
+    return named.withColumn("line", F.row_number().over(order).cast("long")).drop("__at", "__row")
 
 
 def read_speaker_info(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..operators import labels as L
 from ..operators.scoring import share
@@ -14,13 +15,14 @@ from ..operators.scoring import share
 SUBMISSION = "annotator string, category string, item string, label string, response_time double, replay long, submitted_at timestamp"
 
 
-def stream_submissions(spark: SparkSession, path: str, items: DataFrame, assignments: DataFrame, labels: tuple[str, str] = ("A", "R")) -> DataFrame:
+def stream_submissions(spark: SparkSession, path: str, items: DataFrame, assignments: DataFrame, labels: tuple[str, str] = ("A", "R"), files: int | None = None) -> DataFrame:
     """New submissions with truth, is_correct and reject_reason (null where accepted).
 
     path: folder of JSON lines. items, static: item, truth. assignments, static: annotator, category. Checked in order:
-    category not assigned, label outside the domain, negative time or replay, unknown item.
+    category not assigned, label outside the domain, negative time or replay, unknown item. files: how many a batch takes.
     """
-    s = spark.readStream.schema(SUBMISSION).json(path)
+    source = spark.readStream.schema(SUBMISSION)
+    s = (source.option("maxFilesPerTrigger", files) if files else source).json(path)
     s = s.join(items.select("item", "truth"), "item", "left").join(assignments.select("annotator", "category", F.lit(True).alias("assigned")).distinct(), ["annotator", "category"], "left")
     reason = (
         F.when(F.col("assigned").isNull(), "not_assigned").when(~F.coalesce(F.col("label").isin(*labels), F.lit(False)), "bad_label")
@@ -29,10 +31,48 @@ def stream_submissions(spark: SparkSession, path: str, items: DataFrame, assignm
     return s.withColumns({"reject_reason": reason, "is_correct": F.col("label") == F.col("truth")}).drop("assigned")
 
 
-def stream_dedup(df: DataFrame, delay: str | None = None) -> DataFrame:
-    """The first submission of each (annotator, category, item). With `delay` the keys seen are kept within a watermark of that length."""
-    keys = ["annotator", "category", "item"]
-    return df.withWatermark("submitted_at", delay).dropDuplicatesWithinWatermark(keys) if delay else df.dropDuplicates(keys)
+#: Parts of a store of submissions, by item; a batch reads only the parts that it touches.
+PARTS = 64
+KEYS = ("annotator", "category", "item")
+
+
+def _parts(batch: DataFrame) -> tuple[DataFrame, list[int]]:
+    dealt = batch.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(PARTS)).cast("int"))
+    return dealt, [r.part for r in dealt.select("part").distinct().collect()]
+
+
+def _earlier(spark: SparkSession, store: str, schema: StructType, parts: list[int], n: int) -> DataFrame:
+    """What batches before the n-th have stored in these parts."""
+    kinds = StructType([*schema.fields, StructField("batch", LongType()), StructField("part", IntegerType())])
+    return spark.read.schema(kinds).parquet(store).filter(F.col("part").isin(parts) & (F.col("batch") < n))
+
+
+def _open(spark: SparkSession, store: str, schema: StructType) -> None:
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{store}/batch=-1/part=-1")
+
+
+def stream_dedup(df: DataFrame, store: str, refused: str, checkpoint: str) -> StreamingQuery:
+    """The first submission of each (annotator, category, item) goes to `store`; all later ones to `refused`, as `repeated`.
+
+    First by submitted_at within a batch (then label, time and replays), and by batch across batches. What is known lies in
+    the store, in parts by item; a batch reads the parts that it touches, and a repeated batch replaces itself.
+    """
+    spark, schema = df.sparkSession, df.schema
+    _open(spark, store, schema)
+
+    def step(batch: DataFrame, n: int) -> None:
+        dealt, parts = _parts(batch)
+        known = _earlier(batch.sparkSession, store, schema, parts, n).select(*KEYS).distinct().withColumn("known", F.lit(True))
+        first = Window.partitionBy(*KEYS).orderBy(F.col("submitted_at").asc_nulls_last(), "label", "response_time", "replay")
+        told = dealt.withColumn("at", F.row_number().over(first)).join(known, [*KEYS], "left")
+        again = F.col("known").isNotNull() | (F.col("at") > 1)
+        out = told.withColumn("again", again).select(*schema.names, "part", "again").persist()
+        out.filter("not again").drop("again").write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={n}")
+        late = out.filter("again").drop("again", "part").withColumn("refused_reason", F.lit("repeated"))
+        late.write.mode("overwrite").parquet(f"{refused}/batch={n}")
+        out.unpersist()
+
+    return df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_summary(df: DataFrame) -> DataFrame:
@@ -43,15 +83,17 @@ def stream_summary(df: DataFrame) -> DataFrame:
 def stream_agreement(df: DataFrame, store: str, checkpoint: str, on_result: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """After every batch, consensus of the items that it touched, over all labels of these items so far.
 
-    Each batch is appended to Parquet at `store` under its own number, so a repeated batch replaces itself; `on_result` gets the
-    items' consensus and the number.
+    Each batch is appended to Parquet at `store` under its own number and in parts by item, so a repeated batch replaces itself
+    and only the touched parts are read again; `on_result` gets the items' consensus and the number.
     """
+    schema = df.schema
+    _open(df.sparkSession, store, schema)
 
     def step(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch={n}")
-        seen = spark.read.parquet(store)
-        touched = spark.read.parquet(f"{store}/batch={n}").select("item").distinct()
+        dealt, parts = _parts(batch)
+        dealt.write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={n}")
+        seen = _earlier(batch.sparkSession, store, schema, parts, n + 1)
+        touched = seen.filter(F.col("batch") == n).select("item").distinct()
         own = L.last_labels(seen.join(touched, "item", "left_semi"), "annotator", "item", "label", ["submitted_at"])
         on_result(L.item_consensus(own, "item", "label"), n)
 
@@ -59,9 +101,18 @@ def stream_agreement(df: DataFrame, store: str, checkpoint: str, on_result: Call
 
 
 def run_to(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what there is and stop; complete and update results are written batch by batch to Parquet."""
+    """Process what there is and stop. In update mode every batch's changed rows stay under its number: see latest()."""
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     else:
-        q = df.writeStream.outputMode(mode).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        to = (lambda n: f"{path}/batch={n}") if mode == "update" else lambda n: path
+        sink = df.writeStream.outputMode(mode).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(to(n)))
+        q = sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def latest(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of the rows that update batches wrote, with their number in `batch`, the last one of each key."""
+    rest = [c for c in updates.columns if c not in keys and c != "batch"]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return last.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])

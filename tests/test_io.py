@@ -55,8 +55,36 @@ def test_stream_takes_new_files_once(spark, tmp_path):
         os.makedirs(src, exist_ok=True)
         with open(f"{src}/{name}.json", "w") as f:
             f.write("\n".join(map(json.dumps, rows)))
-        A.run_to(A.stream_dedup(A.stream_submissions(spark, src, items, assigned).filter("reject_reason is null")), out, at)
-        return sorted((r.item, r.label) for r in spark.read.parquet(out).collect())
+        accepted = A.stream_submissions(spark, src, items, assigned).filter("reject_reason is null")
+        A.stream_dedup(accepted, out, f"{tmp_path}/refused", at).awaitTermination()
+        kept, late = (spark.read.schema("item string, label string, refused_reason string").parquet(p) for p in (out, f"{tmp_path}/refused"))
+        return sorted((r.item, r.label) for r in kept.collect()), sorted((r.item, r.label, r.refused_reason) for r in late.collect())
 
-    assert add("a", row(), row(item="i9"), row(annotator="x"), row(label="Q"), row(replay=-1)) == [("i1", "A")]
-    assert add("b", row(label="R"), row(item="i2")) == [("i1", "A"), ("i2", "A")]
+    first = [row(submitted_at="2024-01-01T00:00:09"), row(label="R")]  # the earlier one is second in the file
+    assert add("a", *first, row(item="i9"), row(annotator="x"), row(label="Q"), row(replay=-1)) == ([("i1", "R")], [("i1", "A", "repeated")])
+    late = [("i1", "A", "repeated"), ("i1", "R", "repeated")]
+    assert add("b", row(label="R", submitted_at="2023-01-01T00:00:00"), row(item="i2")) == ([("i1", "R"), ("i2", "A")], late)
+
+
+def test_update_mode_keeps_keys_that_a_batch_leaves_out(spark, tmp_path):
+    items, assigned = spark.createDataFrame([("i1", "A")], "item string, truth string"), spark.createDataFrame([("a", "c"), ("b", "c")], "annotator string, category string")
+    (tmp_path / "src").mkdir()
+    for name, who in (("1", "a"), ("2", "b"), ("3", "b")):
+        (tmp_path / f"src/{name}.json").write_text(json.dumps({"annotator": who, "category": "c", "item": "i1", "label": "A", "response_time": 1.0, "replay": 0}))
+        summary = A.stream_summary(A.stream_submissions(spark, f"{tmp_path}/src", items, assigned))
+        A.run_to(summary, f"{tmp_path}/out", f"{tmp_path}/at", "update")
+    last = A.latest(spark.read.parquet(f"{tmp_path}/out"), ["category", "annotator"]).collect()
+    assert sorted((r.annotator, r.n_rows) for r in last) == [("a", 1), ("b", 2)]
+
+
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("id,text\n" + "".join(f"{i},t{i}\n" for i in range(5000)))
+    (tmp_path / "n.csv").write_text("id,text\n7,x\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = S.read_manifest(spark, f"{tmp_path}/*.csv", "id long, text string", multi_line=False).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r.line for r in rows if r.file.endswith("m.csv")) == list(range(1, 5001)) and all(r.line == r.id + 1 for r in rows if r.file.endswith("m.csv"))
+    assert [r.line for r in rows if r.file.endswith("n.csv")] == [1]
