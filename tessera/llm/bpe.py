@@ -23,6 +23,8 @@ from .common import map_texts
 CACHE_BYTES = 160 << 20
 NEVER = 1 << 40
 NO_MERGE = (NEVER, 0)
+#: Below this character all tables agree.
+OLD = "\u0530"
 #: Bytes of words that are merged without a heap.
 SHORT = 32
 
@@ -57,7 +59,8 @@ def _newer(regex, letter: str, more: list[tuple[int, int]]) -> set[str]:
 
 def lower(chunk: str) -> str:
     """As the library does: composed, and lower case without regard to the end of a word."""
-    return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower().translate(LOWER_17)
+    low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+    return low if max(low) < OLD else low.translate(LOWER_17)
 
 
 class WordBpe:
@@ -222,7 +225,7 @@ class WordBpe:
     def _learn(self, chunks: list[str]) -> None:
         """Encodings of chunks without white space into the cache."""
         parts = [
-            [c.lower()] if c.isascii() and c.isalpha() else (self.split if self.newer.isdisjoint(low := lower(c)) else self.split_newer)(low)
+            [c.lower()] if c.isascii() and c.isalpha() else (self.split if max(low := lower(c)) < OLD or self.newer.isdisjoint(low) else self.split_newer)(low)
             for c in chunks
         ]
         distinct = list({w for p in parts for w in p})

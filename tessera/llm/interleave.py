@@ -142,7 +142,7 @@ def resolve(rows: DataFrame, media: DataFrame) -> DataFrame:
     """
     held = materialize(rows.withColumn("__row", F.monotonically_increasing_id()))
     refs = held.select("__row", F.explode("sequence").alias("s")).select("__row", "s.position", "s.ref").filter(F.col("ref").isNotNull())
-    found = salted_join(refs, media, ["ref"], by="__row").select("__row", "position", F.struct(*[c for c in media.columns if c != "ref"]).alias("media"))
+    found = salted_join(refs, media, ["ref"], by="__row", salts=4).select("__row", "position", F.struct(*[c for c in media.columns if c != "ref"]).alias("media"))
     found = found.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("position", "media"))).alias("__found"))
     joined = held.join(found, "__row", "left")
     resolved = F.transform("sequence", lambda item: item.withField("media", F.try_element_at(F.col("__found"), item["position"])))
