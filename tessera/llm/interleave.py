@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, blocks, map_texts, materialize, salted_join
+from .common import ARROW_ROWS, blocks, map_texts, materialize
 
 #: Samples in a row of an image; payloads are padded to a multiple of it.
 ROW = 576
@@ -137,12 +137,12 @@ def resolve(rows: DataFrame, media: DataFrame) -> DataFrame:
     """The rows with, in every item of their `sequence`, a field `media`: the columns of the media with the item's ref.
 
     media: one row per `ref`, and other columns. Items keep their order, positions and captions; text, and refs that `media`
-    lacks, get a null. Only references are joined, and a payload that very many items share is split among tasks; what is
-    found comes back to its row by the item's position. Rows need no unique key and stay as often as they stand.
+    lacks, get a null. Only references are joined. `media` should be a stored table: then Spark itself splits a payload that
+    very many items share among tasks. What is found comes back to its row by the item's position. Rows need no unique key and stay as often as they stand.
     """
     held = materialize(rows.withColumn("__row", F.monotonically_increasing_id()))
     refs = held.select("__row", F.explode("sequence").alias("s")).select("__row", "s.position", "s.ref").filter(F.col("ref").isNotNull())
-    found = salted_join(refs, media, ["ref"], by="__row", salts=4).select("__row", "position", F.struct(*[c for c in media.columns if c != "ref"]).alias("media"))
+    found = refs.join(media, "ref").select("__row", "position", F.struct(*[c for c in media.columns if c != "ref"]).alias("media"))
     found = found.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("position", "media"))).alias("__found"))
     joined = held.join(found, "__row", "left")
     resolved = F.transform("sequence", lambda item: item.withField("media", F.try_element_at(F.col("__found"), item["position"])))
@@ -220,7 +220,7 @@ def media_of_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     def work(texts):
         return {"sequence": [[x | {"text": None} for x in parse(page_of(t))] for t in texts]}
 
-    rows = resolve(map_texts(docs, lambda: work, f"sequence {SEQUENCE}", ("doc_id",), text), describe(pack(docs, text)))
+    rows = resolve(map_texts(docs, lambda: work, f"sequence {SEQUENCE}", ("doc_id",), text), materialize(describe(pack(docs, text))))
     own = F.filter("sequence", lambda item: item["ref"].isNotNull())[0]
     rows = rows.withColumn("__own", own)
     made = [F.col(f"__own.media.{c.split()[0]}") for c in DESCRIBED.split(", ")[1:]]
