@@ -22,6 +22,37 @@ def _saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+def _matches(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on keys whose nulls are equal; the right side's keys are left out."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"__right_{k}" for k in keys])
+
+
+def hash_ranks(df: DataFrame, by: Sequence[str], hashed: Column, key: str, digits: int = 3) -> DataFrame:
+    """Adds __at, the place from 1 in the order of a hash and then of key within a group, and __size, the group's rows.
+
+    A group is cut at the first hex digits of the hash, so that no task sees more of it than its 16 ** digits-th part: places
+    within a part, plus the rows of the parts before it. Null group values are a group. Needs keys that seldom repeat.
+    """
+    cut = df.withColumn("__hash", hashed).withColumn("__part", F.substring("__hash", 1, digits))
+    within = F.row_number().over(Window.partitionBy(*by, "__part").orderBy("__hash", key))
+    parts, group = cut.groupBy(*by, "__part").agg(F.count("*").alias("__n")), Window.partitionBy(*by)
+    before = F.sum("__n").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*by, "__part", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__n").over(group).alias("__size"))
+    placed = _matches(cut.withColumn("__within", within), parts, [*by, "__part"])
+    return placed.withColumn("__at", F.col("__before") + F.col("__within")).drop("__hash", "__part", "__within", "__before")
+
+
+def ordered_places(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Adds the place from 0 in an order over all rows, which must not tie: places within ranges of a written table, and the rows before each."""
+    ranged = _saved(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranged.withColumn(name, within).join(sizes.select("__range", before.alias("__before")), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
+
+
 def text_key(col: Column) -> Column:
     return F.sha2(normalize_text(col), 256)
 
@@ -69,14 +100,17 @@ def balanced_group_search(speakers: DataFrame, speaker: str, gender: str, accent
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, k: int, seed: object) -> DataFrame:
-    """k rows per group in hash order, numbered by key (item_no), with group_size; a group of fewer raises."""
+    """k rows per group in hash order, numbered by key (item_no), with group_size; a group of fewer raises.
+
+    A partition passes on only its first k of each group (Spark does so for k up to spark.sql.optimizer.windowGroupLimitThreshold).
+    """
     w = Window.partitionBy(group)
-    size = F.count("*").over(w)
     at = F.row_number().over(w.orderBy(hash_order(seed, F.col(group), F.col(key)), key))
-    ranked = df.withColumns({"group_size": size, "__at": at})
-    short = F.when(F.col("group_size") < k, F.raise_error(F.concat(F.lit("too few rows in group "), F.col(group).cast("string"))).cast("int")).otherwise(F.col("__at"))
-    picked = ranked.withColumn("__at", short).filter(F.col("__at") <= k).drop("__at")
-    return picked.withColumn("item_no", F.row_number().over(w.orderBy(key)))
+    picked = df.withColumn("__at", at).filter(F.col("__at") <= k).drop("__at")
+    sizes = df.groupBy(group).agg(F.count("*").alias("group_size"))
+    short = F.raise_error(F.concat(F.lit("too few rows in group "), F.coalesce(F.col(group).cast("string"), F.lit("null")))).cast("boolean")
+    sizes = sizes.filter(F.when(F.col("group_size") < k, short).otherwise(True))
+    return _matches(picked, sizes, [group]).withColumn("item_no", F.row_number().over(w.orderBy(key)))
 
 
 def exclude_overlapping_text(train: DataFrame, held_out: DataFrame, text: str) -> DataFrame:
@@ -146,29 +180,28 @@ def dedup_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Data
 def disjoint_partition(df: DataFrame, speaker: str, key: str, n_train: int, n_test: int, attempts: int, seed: object) -> DataFrame:
     """(key, speaker, split, attempt): speakers split by a coin of weight n_test / (n_train + n_test), rows sampled on each side.
 
-    The first attempt in which both sides have enough rows counts; without one it raises. Only row counts per speaker,
-    a small table, meet the attempts.
+    The first attempt in which both sides have enough rows counts; without one it raises. Only row counts per speaker meet
+    the attempts, each in its own partition. A partition passes on only the first rows of each side.
     """
-    spark = df.sparkSession
     sizes = df.groupBy(speaker).agg(F.count("*").alias("n"))
     coin = F.conv(F.substring(hash_order(seed, F.col("attempt"), F.col(speaker)), 1, 8), 16, 10).cast("double") / 4294967296.0
     test = coin < n_test / (n_train + n_test)
-    tries = spark.range(attempts).withColumnRenamed("id", "attempt").crossJoin(F.broadcast(sizes)).withColumn("test", test)
+    tries = sizes.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)).cast("array<long>"))).withColumn("test", test)
     room = tries.groupBy("attempt").agg(F.sum(F.when(F.col("test"), F.col("n")).otherwise(0)).alias("on_test"), F.sum(F.when(~F.col("test"), F.col("n")).otherwise(0)).alias("on_train"))
     first = room.filter((F.col("on_test") >= n_test) & (F.col("on_train") >= n_train)).agg(F.min("attempt").alias("attempt"))
     first = first.select(F.coalesce("attempt", F.raise_error(F.lit("no attempt has room on both sides")).cast("long")).alias("attempt"))
     sides = df.select(speaker, key).crossJoin(F.broadcast(first)).withColumn("split", F.when(test, "test").otherwise("train"))
     at = F.row_number().over(Window.partitionBy("split").orderBy(hash_order(seed, F.col("split"), F.col(key)), key))
-    return sides.withColumn("at", at).filter(F.col("at") <= F.when(F.col("split") == "test", n_test).otherwise(n_train)).drop("at")
+    return sides.withColumn("at", at).filter((F.col("at") <= max(n_test, n_train)) & (F.col("at") <= F.when(F.col("split") == "test", n_test).otherwise(n_train))).drop("at")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, val_ratio: float, seed: object) -> DataFrame:
     """Adds split: per label max(1, round half even of n * ratio) rows to val, n - 1 at most; none at ratio 0."""
-    w = Window.partitionBy(label)
-    n = F.count("*").over(w)
-    at = F.row_number().over(w.orderBy(hash_order(seed, F.col(key)), key))
-    want = F.least(F.greatest(F.lit(1), F.bround(n * val_ratio).cast("int")), n - 1) if val_ratio > 0 else F.lit(0)
-    return df.withColumn("split", F.when(at <= want, "val").otherwise("train"))
+    if val_ratio <= 0:
+        return df.withColumn("split", F.lit("train"))
+    ranked, n = hash_ranks(df, [label], hash_order(seed, F.col(key)), key), F.col("__size")
+    want = F.least(F.greatest(F.lit(1), F.bround(n * val_ratio).cast("long")), n - 1)
+    return ranked.withColumn("split", F.when(F.col("__at") <= want, "val").otherwise("train")).drop("__at", "__size")
 
 
 def fewshot_contexts(queries: DataFrame, train: DataFrame, query: str, key: str, category: str, label: str, shots: int, seed: object) -> DataFrame:
@@ -177,15 +210,14 @@ def fewshot_contexts(queries: DataFrame, train: DataFrame, query: str, key: str,
     Train rows are numbered per (category, label) in hash order; a query takes the number its own hash gives and others at
     even distances from it, all different. An equi-join on (category, label, number), so no query meets all train rows.
     """
-    w = Window.partitionBy(category, label)
     t = train.select(F.col(category), F.col(label), F.col(key).alias("train_key"))
-    t = t.withColumns({"idx": F.row_number().over(w.orderBy(hash_order(seed, F.col("train_key")), "train_key")) - 1, "size": F.count("*").over(w)})
-    sizes = t.groupBy(category, label).agg(F.max("size").alias("size")).withColumn("k", F.least(F.col("size"), F.lit(shots)))
-    q = queries.select(F.col(query), F.col(category)).join(F.broadcast(sizes), category)
+    sizes = t.groupBy(category, label).agg(F.count("*").alias("size")).withColumn("k", F.least(F.col("size"), F.lit(shots)))
+    t = hash_ranks(t, [category, label], hash_order(seed, F.col("train_key")), "train_key").withColumn("idx", (F.col("__at") - 1).cast("int")).drop("__at", "__size")
+    q = queries.select(F.col(query), F.col(category)).join(sizes, category)
     start = F.conv(F.substring(hash_order(seed, F.col(query), F.col(label)), 1, 8), 16, 10).cast("long") % F.col("size")
     q = q.withColumn("start", start).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     q = q.withColumn("idx", ((F.col("start") + F.col("i") * F.greatest(F.lit(1), F.floor(F.col("size") / F.col("k")).cast("int"))) % F.col("size")).cast("int"))
-    got = q.join(t.drop("size"), [category, label, "idx"]).select(query, category, label, "train_key")
+    got = q.join(t, [category, label, "idx"]).select(query, category, label, "train_key")
     return got.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(hash_order(seed, F.col(query), F.col("train_key")), "train_key")))
 
 
@@ -195,11 +227,10 @@ def annotation_subset(manifest: DataFrame, speaker: str, source: str, conditions
     conditions: at (from 0), tier, curve. manifest: speaker, source, tier, curve, direction.
     """
     first = manifest.groupBy(speaker).agg(F.min(source).alias(source))
-    i = F.row_number().over(Window.partitionBy().orderBy(speaker)) - 1
     n = conditions.agg(F.count("*").alias("n_conditions"))
-    first = first.withColumn("i", i).crossJoin(F.broadcast(n)).withColumn("at", F.col("i") % F.col("n_conditions"))
+    first = ordered_places(first, [speaker], "i").crossJoin(F.broadcast(n)).withColumn("at", F.col("i") % F.col("n_conditions"))
     wanted = first.join(F.broadcast(conditions), "at").withColumn("direction", F.when(F.col("i") % 2 == 0, "up").otherwise("down")).drop("at", "i", "n_conditions")
-    return manifest.join(F.broadcast(wanted), [speaker, source, "tier", "curve", "direction"], "left_semi")
+    return manifest.join(wanted, [speaker, source, "tier", "curve", "direction"], "left_semi")
 
 
 def union_origins(augmented: DataFrame, sources: DataFrame, categories: DataFrame, constant: str) -> DataFrame:
@@ -258,7 +289,7 @@ def check_release(rows: DataFrame, expected: DataFrame, category: str, key: str,
     unsafe = F.col(path).startswith("/") | F.col(path).rlike(r"(^|/)\.\.(/|$)") | F.col(path).contains("\\")
     s = rows.groupBy(category).agg(F.count("*").alias("n"), n_if(bad_label).alias("bad_label"), n_if(unsafe).alias("unsafe_path"))
     again = lambda k, n: rows.groupBy(category, k).agg(F.count("*").alias("c")).groupBy(category).agg(n_if(F.col("c") > 1).alias(n))
-    j = s.join(again(key, "duplicate_key"), category).join(again(path, "shared_path"), category).join(F.broadcast(expected), category, "full")
+    j = s.join(again(key, "duplicate_key"), category).join(again(path, "shared_path"), category).join(expected, category, "full")
     j = j.withColumn("wrong_count", F.when(~F.col("n").eqNullSafe(F.col("n_expected")), F.coalesce("n", F.lit(0))))
     kinds = F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).cast("long").alias("n_found")) for k in ("bad_label", "unsafe_path", "duplicate_key", "shared_path", "wrong_count")])
     return j.select(category, F.explode(kinds).alias("r")).select(category, "r.*").filter("n_found > 0 or rule = 'wrong_count' and n_found is not null")

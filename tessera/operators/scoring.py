@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,7 +103,7 @@ def validate_predictions(df: DataFrame, expected: DataFrame, file: str, clip: st
         F.sum("n").alias("n"), F.sum("bad").alias("invalid_gold"), F.coalesce(F.sum(F.when(F.col(clip).isNull(), F.col("n"))), F.lit(0)).alias("missing_id"),
         n_if((F.col("n") > 1) & F.col(clip).isNotNull()).alias("duplicate_id"),
     )
-    j = per_file.join(F.broadcast(expected), file, "full")
+    j = per_file.join(expected, file, "full")
     wrong = F.when(~F.col("n").eqNullSafe(F.col("n_expected")), F.coalesce("n", F.lit(0))).otherwise(F.lit(None)).cast("long")
     kinds = F.array(
         *[F.struct(F.lit(k).alias("violation"), F.when(F.col(k) > 0, F.col(k)).cast("long").alias("n_found")) for k in ("invalid_gold", "missing_id", "duplicate_id")],
@@ -111,9 +113,46 @@ def validate_predictions(df: DataFrame, expected: DataFrame, file: str, clip: st
 
 
 def id_digest(df: DataFrame, file: str, clip: str) -> DataFrame:
-    """SHA-256 of the sorted ids of a file joined by newlines, and their number. One file's ids must fit in a row."""
-    ids = F.sort_array(F.collect_list(F.col(clip).cast("string")))
-    return df.groupBy(file).agg(F.count(clip).alias("n"), F.sha2(F.array_join(ids, "\n"), 256).alias("id_sha256"))
+    """SHA-256 of the sorted ids of a file joined by newlines, and their number; null ids are left out.
+
+    This digest, as recorded elsewhere, can only be taken in order, so one task reads a file's ids, a batch at a time from a
+    sort that spills; `id_set_digest` compares sets without an order over the whole file.
+    """
+    schema = type(df.schema)([df.schema[file]]).add("n", "long").add("id_sha256", "string")
+
+    def digests(batches):
+        now, taken, n = None, None, 0
+        row = lambda: pa.RecordBatch.from_pylist([{file: now, "n": n, "id_sha256": taken.hexdigest()}], schema=pa.schema([kind, ("n", pa.int64()), ("id_sha256", pa.string())]))
+        for batch in batches:
+            kind = batch.schema.field(0)
+            for name, clip_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if taken is None or name != now:
+                    if taken is not None:
+                        yield row()
+                    now, taken, n = name, hashlib.sha256(), 0
+                if clip_id is not None:
+                    taken.update((b"\n" if n else b"") + clip_id.encode())
+                    n += 1
+        if taken is not None:
+            yield row()
+
+    ids = df.select(file, F.col(clip).cast("string").alias("__id")).repartition(file).sortWithinPartitions(file, "__id")
+    return ids.mapInArrow(digests, schema)
+
+
+def id_set_digest(df: DataFrame, by: Sequence[str], clip: Column, digits: int = 3) -> DataFrame:
+    """(by, n, id_sha256): number and digest of the ids of a group, with how often each occurs; null ids are left out.
+
+    Ids are cut into 16 ** digits ranges by the first hex digits of their SHA-256; a range's lines `id=times`, sorted, are
+    digested, then the lines `range:digest` of a group. No row or task holds more of a group than one range of distinct ids.
+    """
+    text = clip.cast("string")
+    times = df.select(*by, text.alias("__id")).filter("__id is not null").groupBy(*by, "__id").agg(F.count("*").alias("k"))
+    line = F.struct("__id", F.concat_ws("=", "__id", F.col("k").cast("string")).alias("line"))
+    digest = lambda lines: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(lines)), lambda x: x["line"]), "\n"), 256)
+    ranges = times.groupBy(*by, F.substring(F.sha2("__id", 256), 1, digits).alias("__range")).agg(F.sum("k").alias("n"), digest(line).alias("d"))
+    line = F.struct("__range", F.concat_ws(":", "__range", "d").alias("line"))
+    return ranges.groupBy(*by).agg(F.sum("n").alias("n"), digest(line).alias("id_sha256"))
 
 
 def compare_to_reference(metrics: DataFrame, expected: DataFrame, keys: Sequence[str], names: Sequence[str], tol: float = 1e-12) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .scoring import share
+from .scoring import id_set_digest, share
 
 DOUBLES = ArrayType(DoubleType())
 
@@ -73,11 +73,14 @@ def alignment_summary(cosines: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def check_feature_sets(features: DataFrame, model: str, category: str, clip: str, gold: str, base: object, vec: str = "vec") -> DataFrame:
-    """(model, category, same_ids, same_labels, same_shape, finite): every model's set against the base model's."""
-    row = F.struct(F.col(clip).cast("string").alias("c"), F.col(gold).cast("string").alias("g"))
-    g = features.groupBy(model, category).agg(F.array_sort(F.collect_list(row)).alias("r"), F.min(F.size(vec)).alias("lo"), F.max(F.size(vec)).alias("hi"), F.max(F.exists(vec, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))).cast("int")).alias("bad"))
-    digest = lambda f: F.sha2(F.array_join(F.transform("r", f), "\n"), 256)
-    g = g.select(model, category, digest(lambda x: x["c"]).alias("ids"), digest(lambda x: F.concat_ws("=", x["c"], x["g"])).alias("labels"), "lo", "hi", "bad")
+    """(model, category, same_ids, same_labels, same_shape, finite): every model's set against the base model's.
+
+    Sets are compared by digests of ranges of their ids (`id_set_digest`), rows without id left out.
+    """
+    sets = lambda c, name: id_set_digest(features, [model, category], c).select(model, category, F.col("id_sha256").alias(name))
+    labelled = F.when(F.col(clip).isNotNull(), F.concat_ws("=", F.col(clip).cast("string"), F.col(gold).cast("string")))
+    g = features.groupBy(model, category).agg(F.min(F.size(vec)).alias("lo"), F.max(F.size(vec)).alias("hi"), F.max(F.exists(vec, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))).cast("int")).alias("bad"))
+    g = g.join(sets(F.col(clip), "ids"), [model, category], "left").join(sets(labelled, "labels"), [model, category], "left")
     b = g.filter(F.col(model) == base).select(category, F.col("ids").alias("bi"), F.col("labels").alias("bl"), F.col("lo").alias("bs"))
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
     return g.join(b, category, "left").select(model, category, same("ids", "bi").alias("same_ids"), same("labels", "bl").alias("same_labels"), (same("lo", "bs") & same("hi", "bs")).alias("same_shape"), (F.col("bad") == 0).alias("finite"))
@@ -129,7 +132,7 @@ def train_probes(features: DataFrame, by: Sequence[str], vec: str = "vec", gold:
 def score_probes(features: DataFrame, probes: DataFrame, by: Sequence[str], vec: str = "vec", gold: str = "gold") -> DataFrame:
     """Per group accuracy, per-class accuracy (null if absent), balanced accuracy and n; a logit of 0 or more is class 1."""
     scaled = F.zip_with(F.zip_with(vec, "mean", lambda x, m: x.cast("double") - m), "std", lambda x, s: x / s)
-    j = features.join(F.broadcast(probes), list(by)).withColumn("pred", (dot(scaled, F.col("weights")) + F.col("bias") >= 0).cast("int"))
+    j = features.join(probes, list(by)).withColumn("pred", (dot(scaled, F.col("weights")) + F.col("bias") >= 0).cast("int"))
     right = F.col("pred") == F.col(gold)
     g = j.groupBy(*by).agg(F.count("*").alias("n_test"), share(right).alias("accuracy"), share(right, F.col(gold) == 1).alias("accuracy_up"), share(right, F.col(gold) == 0).alias("accuracy_down"))
     known = F.array_compact(F.array("accuracy_up", "accuracy_down"))

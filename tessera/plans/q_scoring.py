@@ -208,6 +208,13 @@ def m6_id_digest(spark, sf):
     return S.id_digest(adapt(spark, sf, PREDICTIONS), "model", "clip_id")
 
 
+@query(f"""WITH i AS (SELECT model, category, CAST(clip_id % 5003 AS VARCHAR) AS id, count(*) AS k FROM ({PREDICTIONS}) GROUP BY ALL),
+  r AS (SELECT model, category, substr(sha256(id), 1, 3) AS part, sum(k) AS n, sha256(string_agg(id || '=' || k, chr(10) ORDER BY id)) AS d FROM i GROUP BY ALL)
+  SELECT model, category, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(part || ':' || d, chr(10) ORDER BY part)) AS id_sha256 FROM r GROUP BY ALL""")
+def m6_id_set_digest(spark, sf):
+    return S.id_set_digest(adapt(spark, sf, PREDICTIONS), ["model", "category"], F.col("clip_id") % 5003)
+
+
 @query(f"""WITH {SCORED}, a AS (SELECT model, avg(coalesce(CAST(pred = gold AS INT), 0)) AS accuracy, count(*) AS n_rows FROM s GROUP BY model)
   SELECT model, 'accuracy' AS metric, round(accuracy, 6) AS actual, round(accuracy + 0.25, 6) AS recorded FROM a WHERE model % 2 = 1
   UNION ALL SELECT model, 'n_rows', n_rows, n_rows + 1 FROM a WHERE model = 2""")

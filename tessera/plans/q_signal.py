@@ -198,7 +198,7 @@ def v6_standardize(spark, sf):
 
 @query()
 def v7_train_probes(spark, sf):
-    p = V.train_probes(adapt(spark, sf, FEATURES).filter("pair % 4 <> 0"), ["model", "category"], epochs=50)
+    p = V.train_probes(adapt(spark, sf, FEATURES).filter("pair % 4 <> 0"), ["model", "category"])
     return rounded(p.select("model", "category", "n_train", "bias", F.col("weights")[0].alias("first_weight")))
 
 

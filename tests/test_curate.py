@@ -92,3 +92,20 @@ def test_balanced_search_passes_on_few_rows_of_a_partition(spark):
     df = spark.range(3000).select(F.col("id").alias("s"), F.when(F.col("id") % 3 == 0, "F").otherwise("M").alias("g"), (F.col("id") % 4).cast("string").alias("a"))
     got = C.balanced_group_search(df.repartition(6), "s", "g", "a", 10, 8, 1).collect()
     assert sorted(tuple(r) for r in got) == balanced_by_hand([tuple(r) for r in df.collect()], 10, 8, 1)
+
+
+def test_hash_ranks_are_the_places_within_a_group(spark):
+    rows = [(None if k % 4 == 0 else "ab"[k % 2], k) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, k long").repartition(7)
+    got = {(r.g, r.k): (r["__at"], r["__size"]) for r in C.hash_ranks(df, ["g"], C.hash_order(5, F.col("k")), "k", 1).collect()}
+    for g in (None, "a", "b"):
+        own = sorted((k for x, k in rows if x == g), key=in_hash_order(5))
+        assert [got[g, k] for k in own] == [(i + 1, len(own)) for i in range(len(own))]
+    assert len(got) == 400
+
+
+def test_ordered_places_number_all_rows(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 1009).alias("k")).repartition(6)
+    got = sorted((r.k, r.i) for r in C.ordered_places(df, ["k"], "i").collect())
+    assert [i for _, i in got] == list(range(500))
+    assert C.ordered_places(df.limit(0), ["k"], "i").count() == 0

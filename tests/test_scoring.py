@@ -1,8 +1,10 @@
+import hashlib
 import math
 import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.operators import labels as L
 from tessera.operators import scoring as S
@@ -77,3 +79,17 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(i % 3, i % 7 != 0) for i in range(300)], "g int, ok boolean")
     a, b = (sorted(S.bootstrap_ci(df.repartition(n), ["g"], "ok", 2000).collect()) for n in (1, 7))
     assert a == b and all(r.ci_low <= r.accuracy <= r.ci_high for r in a)
+
+
+def test_id_digests_in_order_and_by_ranges(spark):
+    ids = [f"c{i % 90}" for i in range(200)]
+    df = spark.createDataFrame([("x", c) for c in ids] + [(None, "a"), ("x", None), ("only null", None)], "file string, clip string")
+    got = {r.file: (r.n, r.id_sha256) for r in S.id_digest(df.repartition(5), "file", "clip").collect()}
+    sha = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    assert got == {"x": (200, sha(sorted(ids))), None: (1, sha(["a"])), "only null": (0, sha([]))}
+    ranges = {}
+    for c in sorted(set(ids)):
+        ranges.setdefault(hashlib.sha256(c.encode()).hexdigest()[:3], []).append(f"{c}={ids.count(c)}")
+    by_range = {r.file: (r.n, r.id_sha256) for r in S.id_set_digest(df.repartition(5), ["file"], F.col("clip")).collect()}
+    assert by_range["x"] == (200, sha([f"{k}:{sha(v)}" for k, v in sorted(ranges.items())]))
+    assert S.id_digest(df.limit(0), "file", "clip").count() == 0
