@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import io as S
 from ..streaming import annotations as A
 from .adapters import ANNOTATION_ROWS, FEATURES, PREDICTIONS, adapt, table
-from .q_signal import clips
+from .q_signal import WAVES, clips
 from .registry import query, rounded
 
 
@@ -39,30 +39,23 @@ def s3_read_speaker_info(spark, sf):
     return rounded(S.read_speaker_info(spark, path))
 
 
-@query()
+@query(f"""WITH w AS (SELECT clip_id, [trunc(greatest(-32768.0, least(32767.0, v * 32768))) / 32768 for v in x] AS s FROM ({WAVES}))
+  SELECT clip_id, CAST(2000 AS BIGINT) AS rate, CAST(1 AS BIGINT) AS channels, round(len(s) / 2000.0, 6) AS duration_sec, CAST(len(s) AS BIGINT) AS n_samples, round(list_sum([v * v for v in s]), 4) AS energy FROM w""")
 def s4_s5_waveforms(spark, sf):
-    """Clips as WAV files and back."""
-    import io
-    import wave
-
-    import pandas as pd
-
+    """Clips as WAV files in the work folder, and read back."""
     path = S.work_dir(spark, "waves")
+    S.write_waveforms(clips(spark, sf), path, 2000)
+    back = S.read_waveforms(spark, path + "/*.wav")
+    energy = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v)
+    clip = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long")
+    return rounded(back.select(clip.alias("clip_id"), "rate", "channels", "duration_sec", F.size("samples").alias("n_samples"), F.round(energy, 4).alias("energy")))
 
-    def write(batches):
-        for pdf in batches:
-            out = []
-            for x in pdf["pcm"]:
-                with wave.open(buf := io.BytesIO(), "wb") as w:
-                    w.setparams((1, 2, 2000, 0, "NONE", ""))
-                    w.writeframes(x)
-                out.append(buf.getvalue())
-            yield pd.DataFrame({"clip_id": pdf["clip_id"], "content": out})
 
+@query()
+def s5_encode_waveform(spark, sf):
+    """Clips as PCM bytes in a column."""
     pcm = clips(spark, sf).select("clip_id", S.encode_waveform("samples").alias("pcm"))
-    pcm.mapInPandas(write, "clip_id long, content binary").select("content").write.parquet(path)
-    waves = spark.read.parquet(path)
-    return waves.select(F.length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    return pcm.select("clip_id", F.length("pcm").cast("long").alias("n_bytes"), F.sha2("pcm", 256).alias("sha256"))
 
 
 @query(f"SELECT model, category, count(*) AS n_rows, CAST(0 AS BIGINT) AS not_finite, CAST(0 AS BIGINT) AS duplicate_ids, string_agg(DISTINCT source, ',' ORDER BY source) AS layers FROM ({FEATURES}) GROUP BY 1, 2".replace("string_agg(DISTINCT source, ',' ORDER BY source)", "array_to_string(list_sort(list(DISTINCT CAST(source AS VARCHAR))), ',')"))

@@ -11,23 +11,34 @@ from .registry import query, rounded
 
 
 def clips(spark, sf):
-    """Waveforms: the events of a user in time order, scaled to -1 to 1 and repeated to a few hundred samples at 2 kHz."""
-    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
-    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
+    """Waveforms: the events of a user in time order, scaled to -1 to 1 and repeated to a few hundred samples at 2 kHz.
+
+    A clip takes a user's events from one block of 16,384 event ids, so however many a user has, no clip holds more.
+    """
+    e = table(spark, sf, "events").select("user_id", F.floor(F.col("event_id") / 16384).alias("block"), "ts", "event_id", "value")
+    g = e.groupBy("user_id", "block").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
     x = F.transform("s", lambda r: F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r["value"] / 100.0 - 0.5)))
     x = F.flatten(F.array_repeat(x, 60))
-    c = g.select(F.col("user_id").alias("clip_id"), x.alias("samples"), F.lit(2000).alias("rate"))
-    mode = F.element_at(F.array(*[F.lit(m) for m in ("linear", "quad_first_flat", "quad_last_flat", "jump")]), (F.col("clip_id") % 4 + 1).cast("int"))
-    return c.withColumns({"onset_sec": F.lit(0.05), "offset_sec": 0.1 + F.size("samples") / 4000.0, "direction": F.when(F.col("clip_id") % 2 == 0, "up").otherwise("down"), "curve": mode})
+    c = g.select((F.col("user_id") * 1048576 + F.col("block")).alias("clip_id"), "user_id", x.alias("samples"), F.lit(2000).alias("rate"))
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("linear", "quad_first_flat", "quad_last_flat", "jump")]), (F.col("user_id") % 4 + 1).cast("int"))
+    c = c.withColumns({"onset_sec": F.lit(0.05), "offset_sec": 0.1 + F.size("samples") / 4000.0, "direction": F.when(F.col("user_id") % 2 == 0, "up").otherwise("down"), "curve": mode})
+    return c.drop("user_id")
+
+
+#: The same clips in DuckDB: clip_id, user_id, and samples x.
+WAVES = """SELECT clip_id, user_id, flatten([v for i in range(60)]) AS x FROM (SELECT user_id * 1048576 + CAST(floor(event_id / 16384) AS BIGINT) AS clip_id, user_id,
+  list(greatest(-1.0, least(1.0, value / 100.0 - 0.5)) ORDER BY ts, event_id) AS v FROM events GROUP BY 1, 2)"""
 
 
 def _rendered(df):
-    """Rendered clips in short: their length, energy and first samples."""
+    """Rendered clips in short: length, energy, first samples, and a sum with weights from 1 to 97 by place, which no sample escapes."""
     energy = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v)
-    return rounded(df.select("clip_id", "n_samples", "clipped_ratio", energy.alias("energy"), F.slice("samples", 1, 8).alias("head")))
+    weighted = F.aggregate(F.transform("samples", lambda v, i: v * (i % 97 + 1)), F.lit(0.0), lambda a, v: a + v)
+    head = F.transform(F.slice("samples", 1, 8), lambda v: F.round(v, 6) + F.lit(0.0))
+    return rounded(df.select("clip_id", "n_samples", F.round("clipped_ratio", 6).alias("clipped_ratio"), F.round(energy, 4).alias("energy"), F.round(weighted, 4).alias("weighted"), head.alias("head")))
 
 
-@query("""WITH e AS (SELECT user_id, list(greatest(-1.0, least(1.0, value / 100.0 - 0.5)) ORDER BY ts, event_id) AS v FROM events GROUP BY 1), x AS (SELECT user_id, flatten([v for i in range(60)]) AS x FROM e),
+@query(f"""WITH x AS (SELECT clip_id AS user_id, x FROM ({WAVES})),
   y AS (SELECT user_id, len(x) AS n, [x[i] - CASE WHEN i > 1 THEN 0.5 * x[i - 1] ELSE 0 END for i in range(1, len(x) + 1)] AS y FROM x), f AS (SELECT user_id, y, unnest(range(0, CAST(floor((greatest(n, 50) - 50) / 20) AS BIGINT) + 1)) AS k FROM y)
   SELECT user_id AS clip_id, k AS frame, round(sqrt(list_sum([a * a for a in y[k * 20 + 1:k * 20 + 50]]) / 50), 6) AS rms FROM f""")
 def w1_frame_rms(spark, sf):
@@ -93,15 +104,27 @@ def w7_parameter_schedule(spark, sf):
     return rounded(W.parameter_schedule(adapt(spark, sf, BOUNDED), "clip_id"))
 
 
-def _effect(number, name, amount, **params):
+#: Gain in DuckDB: 12 dB in steps of 100 samples between sample 100 and the middle plus 200, or over all where that is empty.
+_GAIN = f"""WITH w AS (SELECT clip_id, user_id, x, len(x) AS n, least(len(x), CAST(200 + len(x) / 2 AS BIGINT)) AS stop FROM ({WAVES})),
+  s AS (SELECT *, CASE WHEN stop > 100 THEN 100 ELSE 0 END AS a, CASE WHEN stop > 100 THEN stop ELSE n END AS b, CASE user_id % 2 WHEN 0 THEN -12.0 ELSE 12.0 END AS v0 FROM w),
+  k AS (SELECT *, CAST(ceil((b - a) / 100.0) AS BIGINT) AS steps FROM s),
+  r AS (SELECT clip_id, user_id, n, a, b, v0, steps, unnest(range(0, n)) AS i, unnest(x) AS x FROM k),
+  t AS (SELECT *, CASE WHEN i < a THEN 0.0 WHEN i >= b OR steps = 1 THEN 1.0 ELSE floor((i - a) / 100) / CAST(steps - 1 AS DOUBLE) END AS t FROM r),
+  g AS (SELECT *, CASE user_id % 4 WHEN 0 THEN t WHEN 1 THEN t * t WHEN 2 THEN 1 - (1 - t) * (1 - t) ELSE CASE WHEN t >= 0.5 THEN 1.0 ELSE 0.0 END END AS p FROM t),
+  y AS (SELECT clip_id, i, n, x * pow(10, (v0 - 2 * v0 * p) / 20) AS y FROM g)
+  SELECT clip_id, max(n) AS n_samples, round(avg(CAST(abs(y) > 1 AS INT)), 6) AS clipped_ratio, round(sum(y * y ORDER BY i), 4) AS energy, round(sum(y * (i % 97 + 1) ORDER BY i), 4) AS weighted,
+  list(round(y, 6) + 0.0 ORDER BY i) FILTER (i < 8) AS head FROM y GROUP BY 1"""
+
+
+def _effect(number, name, amount, sql=None, **params):
     def run(spark, sf):
         return _rendered(W.render(clips(spark, sf).withColumn("amount", F.lit(float(amount))), name, **params))
 
     run.__name__ = f"w{number}_{name}"
-    return query()(run)
+    return query(sql)(run)
 
 
-_effect(8, "gain", 12)
+_effect(8, "gain", 12, _GAIN)
 _effect(9, "noise", 0.07)
 _effect(10, "sample_hold", 1000)
 _effect(11, "quantize", 6)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
+import re
+import uuid
 import wave
 from collections.abc import Sequence
 
@@ -69,6 +72,27 @@ def read_waveforms(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(decode, schema)
 
 
+def write_waveforms(df: DataFrame, path: str, rate: int, key: str = "clip_id", samples: str = "samples", width: int = 2) -> int:
+    """One mono PCM WAV file per row, `key`.wav in a folder that driver and executors share; the number of rows.
+
+    A file is written beside and then renamed, so a task that runs again leaves the same files. Keys must be safe names.
+    """
+    folder = re.sub("^file:/*", "/", path)
+    os.makedirs(folder, exist_ok=True)
+
+    def write(batches):
+        for pdf in batches:
+            for k, x in zip(pdf[key], pdf[samples], strict=True):
+                to = os.path.join(folder, f"{k}.wav")
+                with wave.open(part := f"{to}.{uuid.uuid4().hex}", "wb") as w:
+                    w.setparams((1, width, rate, 0, "NONE", ""))
+                    w.writeframes(dsp.to_pcm(x, width))
+                os.replace(part, to)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return df.select(key, samples).mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+
 def encode_waveform(samples: Column | str, width: int = 2) -> Column:
     """PCM bytes of samples of -1 to 1."""
 
