@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, interleave, langid, licenses, near, pii, ppm, repeats, toxicity
+from . import bpe, collocations, decontaminate, interleave, langid, licenses, near, pii, ppm, repeats, shards, toxicity, whitening
 from .common import bucket
 
 
@@ -65,6 +65,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave.media_of_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts count as empty, null languages as `und`; equal rows all count; an empty table gives none."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null vectors and those with null or non-finite entries are dropped; repeated rows and ids stay; an empty table gives none."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts count as empty; rows of one id share a shard, each with a slot of its own; an empty table gives none."""
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
 def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ordered sequences of all raw web pages, by the same reader as in op10_media."""
     return interleave.page_sequences(table(spark, sf_dir, "pages"))
@@ -76,7 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: DuckDB SQL for those that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.SQL, "op11_collocations": collocations.SQL}
 
 
 def oracle_sql() -> dict[str, str]:
