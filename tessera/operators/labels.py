@@ -75,11 +75,16 @@ def pairwise(last: DataFrame, annotator: str, item: str, label: str, positive: s
     a = last.select(F.col(item).alias("i"), F.col(annotator).alias("a"), F.col(label).alias("la"), yes.alias("pa"))
     b = last.select(F.col(item).alias("i"), F.col(annotator).alias("b"), F.col(label).alias("lb"), yes.alias("pb"))
     s = a.join(b, "i").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"), n_if(F.col("la") == F.col("lb")).alias("same"), F.sum("pa").alias("pa"), F.sum("pb").alias("pb"))
+    return pair_scores(s)
+
+
+def pair_scores(sums: DataFrame) -> DataFrame:
+    """(a, b, n_shared, agreement, kappa) from sums over shared items: n_shared, same, and the positive labels pa and pb of either."""
     n = F.col("n_shared").cast("double")
     chance = (F.col("pa") * F.col("pb") + (n - F.col("pa")) * (n - F.col("pb"))) / (n * n)
     agreement = F.col("same") / n
     kappa = F.when(chance >= 1.0, 1.0).otherwise(F.try_divide(agreement - chance, 1.0 - chance))
-    return s.select("a", "b", "n_shared", agreement.alias("agreement"), kappa.alias("kappa"))
+    return sums.select("a", "b", "n_shared", agreement.alias("agreement"), kappa.alias("kappa"))
 
 
 def mean_of_annotators(df: DataFrame, by: Sequence[str], annotator: str, right: str) -> DataFrame:

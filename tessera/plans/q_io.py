@@ -128,12 +128,10 @@ def _accepted(spark, sf, files=None):
   FROM r WHERE reject_reason IS NULL)
 SELECT annotator, category, item, label, round(response_time, 2) AS response_time, replay, CASE WHEN nth = 1 THEN 'kept' ELSE 'repeated' END AS outcome FROM k""")
 def r2_stream_dedup(spark, sf):
-    store, refused, at = (S.work_dir(spark, n) for n in ("first", "repeated", "checkpoint"))
-    A.stream_dedup(_accepted(spark, sf), store, refused, at).awaitTermination()
-    own = ["annotator", "category", "item", "label", F.round("response_time", 2).alias("response_time"), "replay"]
-    schema = "annotator string, category string, item string, label string, response_time double, replay long"
-    kept, late = (spark.read.schema(schema).parquet(p) for p in (store, refused))
-    return kept.select(*own, F.lit("kept").alias("outcome")).union(late.select(*own, F.lit("repeated").alias("outcome")))
+    path, at = S.work_dir(spark, "first"), S.work_dir(spark, "checkpoint")
+    A.stream_dedup(_accepted(spark, sf), path, at).awaitTermination()
+    back = spark.read.schema(f"{A.SUBMISSION}, outcome string").parquet(path)
+    return back.select("annotator", "category", "item", "label", F.round("response_time", 2).alias("response_time"), "replay", "outcome")
 
 
 SUMMARY = f"WITH {_LOG} SELECT category, annotator, count(*) AS n_rows, round(avg(CAST(is_correct AS INT)), 6) AS accuracy, round(avg(response_time) + 1e-7, 4) AS mean_time, round(avg(replay), 6) AS mean_replay FROM r WHERE reject_reason IS NULL GROUP BY 1, 2"
@@ -157,11 +155,35 @@ def r3_stream_summary_updates(spark, sf):
     return rounded(back.withColumn("mean_time", F.round(F.col("mean_time") + 1e-7, 4)))
 
 
-@query()
+_KEPT = f"""{_LOG}, k AS (SELECT annotator, item, label FROM r WHERE reject_reason IS NULL
+  QUALIFY row_number() OVER (PARTITION BY annotator, category, item ORDER BY submitted_at, label, response_time, replay) = 1)"""
+
+
+def _kept(spark, sf):
+    """The first submissions, deduplicated by one stream and read by another."""
+    path, at = S.work_dir(spark, "first"), S.work_dir(spark, "checkpoint")
+    A.stream_dedup(_accepted(spark, sf), path, at).awaitTermination()
+    return A.stream_kept(spark, path)
+
+
+@query(f"""WITH {_KEPT}, c AS (SELECT item, label, count(*) AS c FROM k GROUP BY 1, 2), n AS (SELECT item, sum(c) AS n, sum(c * (c - 1)) AS same FROM c GROUP BY 1),
+  m AS (SELECT item, label FROM c QUALIFY row_number() OVER (PARTITION BY item ORDER BY c DESC, label) = 1)
+SELECT n.item, CAST(n AS BIGINT) AS n_labels, label AS majority, round(CASE WHEN n = 1 THEN 1.0 ELSE CAST(same AS DOUBLE) / (n * (n - 1)) END, 6) AS agreement FROM n JOIN m ON n.item = m.item""")
 def r4_stream_agreement(spark, sf):
-    store, at, out = (S.work_dir(spark, n) for n in ("store", "checkpoint", "agreement"))
-    q = A.stream_agreement(_accepted(spark, sf), store, at, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
-    q.awaitTermination()
-    found = spark.read.schema("item string, n_labels long, majority string, agreement double, batch int").parquet(out)
-    last = found.groupBy("item").agg(F.max("batch").alias("batch"))
-    return rounded(found.join(last, ["item", "batch"]).drop("batch"))
+    """Consensus of items after every submission, in update mode: the last row of each item counts."""
+    out, at = S.work_dir(spark, "agreement"), S.work_dir(spark, "checkpoint")
+    A.run_to(A.stream_agreement(_kept(spark, sf)), out, at, "update")
+    return rounded(A.latest(spark.read.schema("item string, n_labels long, majority string, agreement double, batch long").parquet(out), ["item"]))
+
+
+@query(f"""WITH {_KEPT}, p AS (SELECT x.annotator AS a, y.annotator AS b, count(*) AS n, sum(CAST(x.label = y.label AS INT)) / count(*)::DOUBLE AS agreement,
+  avg(CAST(x.label = 'A' AS INT)) AS pa, avg(CAST(y.label = 'A' AS INT)) AS pb FROM k x JOIN k y ON x.item = y.item AND x.annotator < y.annotator GROUP BY 1, 2),
+  e AS (SELECT *, pa * pb + (1 - pa) * (1 - pb) AS chance FROM p)
+SELECT a, b, n AS n_shared, round(agreement, 6) AS agreement, round(CASE WHEN chance >= 1 THEN 1.0 ELSE (agreement - chance) / (1 - chance) END, 6) AS kappa FROM e""")
+def r4_stream_pair_agreement(spark, sf):
+    """Agreement and kappa of all pairs of annotators, kept by three streams: first submissions, their pairs, sums of pairs."""
+    pairs, out = S.work_dir(spark, "pairs"), S.work_dir(spark, "agreement")
+    A.run_to(A.stream_pairs(_kept(spark, sf), "A", 2), pairs, S.work_dir(spark, "checkpoint"))
+    told = spark.readStream.schema("item string, a string, b string, same long, pa long, pb long").parquet(pairs)
+    A.run_to(A.stream_pair_agreement(told), out, S.work_dir(spark, "checkpoint"), "update")
+    return rounded(A.latest(spark.read.schema("a string, b string, n_shared long, agreement double, kappa double, batch long").parquet(out), ["a", "b"]))

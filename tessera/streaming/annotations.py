@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators import labels as L
 from ..operators.scoring import share
@@ -31,48 +33,56 @@ def stream_submissions(spark: SparkSession, path: str, items: DataFrame, assignm
     return s.withColumns({"reject_reason": reason, "is_correct": F.col("label") == F.col("truth")}).drop("assigned")
 
 
-#: Parts of a store of submissions, by item; a batch reads only the parts that it touches.
-PARTS = 64
-KEYS = ("annotator", "category", "item")
+#: Groups that the keys of a state are dealt to. A checkpoint holds state by group, so the number stays as it is.
+PARTS = 256
+#: Pairs in a frame that a task hands on.
+PAIR_ROWS = 50_000
 
 
-def _parts(batch: DataFrame) -> tuple[DataFrame, list[int]]:
-    dealt = batch.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(PARTS)).cast("int"))
-    return dealt, [r.part for r in dealt.select("part").distinct().collect()]
+def _keyed_state(spark: SparkSession) -> None:
+    """State by keys needs a store that reads and writes single keys: a batch costs what it touches, whatever is held."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _earlier(spark: SparkSession, store: str, schema: StructType, parts: list[int], n: int) -> DataFrame:
-    """What batches before the n-th have stored in these parts."""
-    kinds = StructType([*schema.fields, StructField("batch", LongType()), StructField("part", IntegerType())])
-    return spark.read.schema(kinds).parquet(store).filter(F.col("part").isin(parts) & (F.col("batch") < n))
+class FirstSubmission(StatefulProcessor):
+    """Tells the first submission of (annotator, category, item) from later ones. State of a part: a map of those seen."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "annotator string, category string, item string", "seen boolean")
 
-def _open(spark: SparkSession, store: str, schema: StructType) -> None:
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{store}/batch=-1/part=-1")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["submitted_at", "label", "response_time", "replay"], na_position="last", kind="stable")
+        any_seen, known, outcome = self.seen.exists(), set(), []
+        for what in zip(batch["annotator"], batch["category"], batch["item"], strict=True):
+            late = what in known or any_seen and self.seen.containsKey(what)
+            if not late:
+                self.seen.updateValue(what, (True,))
+            known.add(what)
+            outcome.append("repeated" if late else "kept")
+        yield batch.assign(outcome=outcome)
 
+    def close(self) -> None:
+        pass
 
-def stream_dedup(df: DataFrame, store: str, refused: str, checkpoint: str) -> StreamingQuery:
-    """The first submission of each (annotator, category, item) goes to `store`; all later ones to `refused`, as `repeated`.
 
-    First by submitted_at within a batch (then label, time and replays), and by batch across batches. What is known lies in
-    the store, in parts by item; a batch reads the parts that it touches, and a repeated batch replaces itself.
+def stream_dedup(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Every submission once in Parquet at `path`, in folders by `outcome`: the first of each (annotator, category, item) as
+    `kept`, all later ones as `repeated`.
+
+    First by submitted_at within a batch (then label, time and replays), and by batch across batches. What has been seen is
+    state, dealt to parts by a hash of all three and looked up by key: no earlier output is read, and no item or annotator makes
+    a part. A part's rows of one batch are held together. annotator, category and item are never null in accepted rows.
     """
-    spark, schema = df.sparkSession, df.schema
-    _open(spark, store, schema)
+    _keyed_state(df.sparkSession)
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64("annotator", "category", "item"), F.lit(PARTS)).cast("int"))
+    told = dealt.groupBy("__part").transformWithStateInPandas(FirstSubmission(), StructType([*df.schema.fields, StructField("outcome", StringType())]), "Append", "None")
+    return told.writeStream.format("parquet").partitionBy("outcome").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def step(batch: DataFrame, n: int) -> None:
-        dealt, parts = _parts(batch)
-        known = _earlier(batch.sparkSession, store, schema, parts, n).select(*KEYS).distinct().withColumn("known", F.lit(True))
-        first = Window.partitionBy(*KEYS).orderBy(F.col("submitted_at").asc_nulls_last(), "label", "response_time", "replay")
-        told = dealt.withColumn("at", F.row_number().over(first)).join(known, [*KEYS], "left")
-        again = F.col("known").isNotNull() | (F.col("at") > 1)
-        out = told.withColumn("again", again).select(*schema.names, "part", "again").persist()
-        out.filter("not again").drop("again").write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={n}")
-        late = out.filter("again").drop("again", "part").withColumn("refused_reason", F.lit("repeated"))
-        late.write.mode("overwrite").parquet(f"{refused}/batch={n}")
-        out.unpersist()
 
-    return df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_kept(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """What stream_dedup() has kept at `path`, as a stream: every row once, as the files that its log names."""
+    source = spark.readStream.schema(f"{SUBMISSION}, truth string, reject_reason string, is_correct boolean, outcome string")
+    return (source.option("maxFilesPerTrigger", files) if files else source).parquet(path).filter("outcome = 'kept'").drop("outcome")
 
 
 def stream_summary(df: DataFrame) -> DataFrame:
@@ -80,24 +90,80 @@ def stream_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("category", "annotator").agg(F.count("*").alias("n_rows"), share(F.col("is_correct")).alias("accuracy"), F.avg("response_time").alias("mean_time"), F.avg("replay").alias("mean_replay"))
 
 
-def stream_agreement(df: DataFrame, store: str, checkpoint: str, on_result: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """After every batch, consensus of the items that it touched, over all labels of these items so far.
+def stream_agreement(kept: DataFrame, labels: tuple[str, str] = ("A", "R")) -> DataFrame:
+    """Consensus of the items that a batch touches, for update mode: n_labels, majority (ties by name), agreement of pairs.
+
+    kept: one row for each annotator and item. Counts of the two labels are all the state, and are combined before the shuffle.
+    """
+    low, high = sorted(labels)
+    c = kept.filter(F.col("label").isin(low, high)).groupBy("item").agg(L.n_if(F.col("label") == low).alias("x"), L.n_if(F.col("label") == high).alias("y"))
+    n, same = F.col("x") + F.col("y"), F.col("x") * (F.col("x") - 1) + F.col("y") * (F.col("y") - 1)
+    agreement = F.when(n == 1, 1.0).otherwise(F.try_divide(same.cast("double"), n * (n - 1)))
+    return c.select("item", n.alias("n_labels"), F.when(F.col("x") >= F.col("y"), low).otherwise(high).alias("majority"), agreement.alias("agreement"))
+
+
+class PairLabels(StatefulProcessor):
+    """Pairs of every new label of an item with the labels of one slice of its annotators.
 
-    Each batch is appended to Parquet at `store` under its own number and in parts by item, so a repeated batch replaces itself
-    and only the touched parts are read again; `on_result` gets the items' consensus and the number.
+    State of a part: (item, slice) -> labels. All new labels of an item come to each of its slices, those of the slice marked as
+    own. Two new ones pair where the greater annotator is at home.
     """
-    schema = df.schema
-    _open(df.sparkSession, store, schema)
-
-    def step(batch: DataFrame, n: int) -> None:
-        dealt, parts = _parts(batch)
-        dealt.write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={n}")
-        seen = _earlier(batch.sparkSession, store, schema, parts, n + 1)
-        touched = seen.filter(F.col("batch") == n).select("item").distinct()
-        own = L.last_labels(seen.join(touched, "item", "left_semi"), "annotator", "item", "label", ["submitted_at"])
-        on_result(L.item_consensus(own, "item", "label"), n)
-
-    return df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.labels = handle.getMapState("labels", "item string, slice int", "annotators array<string>, positives array<int>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        waiting, size, any_held = [], 0, self.labels.exists()
+        for (item, part), new in pd.concat(list(rows)).groupby(["item", "slice"], sort=False):
+            at = (item, int(part))
+            known = self.labels.getValue(at) if any_held and self.labels.containsKey(at) else ((), ())
+            own = new[new["own"]]
+            held = np.array([*known[0], *own["annotator"]], object)
+            yes = np.array([*known[1], *own["positive"]], np.int64)
+            if len(own):
+                self.labels.updateValue(at, (held.tolist(), yes.tolist()))
+            is_old = np.arange(len(held)) < len(known[0])
+            for who, positive in zip(new["annotator"], new["positive"], strict=True):
+                after = (held > who).astype(bool)
+                other = np.flatnonzero((is_old | after) & (held != who).astype(bool))
+                after = after[other]
+                pair = {
+                    "a": np.where(after, who, held[other]), "b": np.where(after, held[other], who), "same": (yes[other] == positive).astype(np.int64),
+                    "pa": np.where(after, positive, yes[other]), "pb": np.where(after, yes[other], positive),
+                }
+                waiting.append(pair | {"item": np.full(len(other), item, object)})
+                size += len(other)
+                if size >= PAIR_ROWS:
+                    yield _stacked(waiting)
+                    waiting, size = [], 0
+        if size:
+            yield _stacked(waiting)
+
+    def close(self) -> None:
+        pass
+
+
+def _stacked(parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in ("item", "a", "b", "same", "pa", "pb")})
+
+
+def stream_pairs(kept: DataFrame, positive: str, slices: int = 4) -> DataFrame:
+    """(item, a, b, same, pa, pb) with a < b, once for every two annotators of an item, when the later of their labels comes.
+
+    kept: one row for each annotator and item. A new label meets the labels of its item and nothing else. These lie in `slices`
+    by annotator, to each of which new labels of the item go, so the pairs of a frequent item are made by as many tasks.
+    """
+    _keyed_state(kept.sparkSession)
+    home = F.pmod(F.xxhash64("annotator"), F.lit(slices)).cast("int")
+    told = kept.select("item", "annotator", F.coalesce(F.col("label") == positive, F.lit(False)).cast("int").alias("positive"), home.alias("__home"))
+    told = told.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("own", F.col("slice") == F.col("__home")).drop("__home")
+    told = told.withColumn("__part", F.pmod(F.xxhash64("item", "slice"), F.lit(PARTS)).cast("int"))
+    return told.groupBy("__part").transformWithStateInPandas(PairLabels(), "item string, a string, b string, same long, pa long, pb long", "Append", "None")
+
+
+def stream_pair_agreement(pairs: DataFrame) -> DataFrame:
+    """Agreement and kappa of the pairs of annotators that a batch touches, for update mode. pairs: rows of stream_pairs()."""
+    return L.pair_scores(pairs.groupBy("a", "b").agg(F.count("*").alias("n_shared"), F.sum("same").alias("same"), F.sum("pa").alias("pa"), F.sum("pb").alias("pb")))
 
 
 def run_to(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
