@@ -12,21 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order, normalize_text
-from ..sources.folders import work_dir
 from .scoring import n_if
-
-
-def _saved(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: lineage ends here."""
-    df.write.parquet(to := work_dir(df.sparkSession, "round"))
-    return df.sparkSession.read.schema(df.schema).parquet(to)
-
-
-def _matches(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """A join on keys whose nulls are equal; the right side's keys are left out."""
-    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
-    return left.join(named, on, how).drop(*[f"__right_{k}" for k in keys])
+from .spread import least_by_hash, matches, ordered_places, saved
 
 
 def hash_ranks(df: DataFrame, by: Sequence[str], hashed: Column, key: str, digits: int = 3) -> DataFrame:
@@ -40,19 +27,10 @@ def hash_ranks(df: DataFrame, by: Sequence[str], hashed: Column, key: str, digit
     parts, group = cut.groupBy(*by, "__part").agg(F.count("*").alias("__n")), Window.partitionBy(*by)
     before = F.sum("__n").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select(*by, "__part", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__n").over(group).alias("__size"))
-    placed = _matches(cut.withColumn("__within", within), parts, [*by, "__part"])
+    placed = matches(cut.withColumn("__within", within), parts, [*by, "__part"])
     return placed.withColumn("__at", F.col("__before") + F.col("__within")).drop("__hash", "__part", "__within", "__before")
 
 
-def ordered_places(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Adds the place from 0 in an order over all rows, which must not tie: places within ranges of a written table, and the rows before each."""
-    ranged = _saved(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return ranged.withColumn(name, within).join(sizes.select("__range", before.alias("__before")), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
-
-
 def text_key(col: Column) -> Column:
     return F.sha2(normalize_text(col), 256)
 
@@ -90,7 +68,7 @@ def balanced_group_search(speakers: DataFrame, speaker: str, gender: str, accent
     accents = even_targets(speakers, accent, n).select(F.lit("a").alias("kind"), F.col(accent).alias("label"), "target")
     draws = speakers.select(F.explode(F.sequence(F.lit(0), F.lit(iters - 1)).cast("array<long>")).alias("trial"), speaker, gender, accent)
     w = Window.partitionBy("trial").orderBy(hash_order(seed, F.col("trial"), F.col(speaker)), speaker)
-    picked = _saved(draws.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= n))
+    picked = saved(draws.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= n))
     counts = picked.select("trial", F.explode(F.array(F.struct(F.lit("g").alias("kind"), F.col(gender).alias("label")), F.struct(F.lit("a").alias("kind"), F.col(accent).alias("label")))).alias("x"))
     counts = counts.groupBy("trial", "x.kind", "x.label").agg(F.count("*").alias("c"))
     grid = spark.range(iters).withColumnRenamed("id", "trial").crossJoin(F.broadcast(genders.union(accents)))
@@ -102,15 +80,14 @@ def balanced_group_search(speakers: DataFrame, speaker: str, gender: str, accent
 def sample_per_group(df: DataFrame, group: str, key: str, k: int, seed: object) -> DataFrame:
     """k rows per group in hash order, numbered by key (item_no), with group_size; a group of fewer raises.
 
-    A partition passes on only its first k of each group (Spark does so for k up to spark.sql.optimizer.windowGroupLimitThreshold).
+    Selected and numbered without bringing a group into one task, however large it or k is. Keys are unique within a group.
     """
-    w = Window.partitionBy(group)
-    at = F.row_number().over(w.orderBy(hash_order(seed, F.col(group), F.col(key)), key))
-    picked = df.withColumn("__at", at).filter(F.col("__at") <= k).drop("__at")
+    picked = least_by_hash(df, [group], hash_order(seed, F.col(group), F.col(key)), key, k)
     sizes = df.groupBy(group).agg(F.count("*").alias("group_size"))
     short = F.raise_error(F.concat(F.lit("too few rows in group "), F.coalesce(F.col(group).cast("string"), F.lit("null")))).cast("boolean")
     sizes = sizes.filter(F.when(F.col("group_size") < k, short).otherwise(True))
-    return _matches(picked, sizes, [group]).withColumn("item_no", F.row_number().over(w.orderBy(key)))
+    numbered = ordered_places(picked, [key], "item_no", [group]).withColumn("item_no", (F.col("item_no") + 1).cast("int"))
+    return matches(numbered, sizes, [group]).select(*df.columns, "group_size", "item_no")
 
 
 def exclude_overlapping_text(train: DataFrame, held_out: DataFrame, text: str) -> DataFrame:
@@ -131,12 +108,12 @@ def unique_text_quota_sample(cands: DataFrame, speaker: str, key: str, text: str
     c = cands.select(speaker, key, text_key(F.col(text)).alias("t"))
     order = [hash_order(seed, F.col(speaker), F.col(key)), F.col(key)]
     c = c.withColumn("dup", F.row_number().over(Window.partitionBy(speaker, "t").orderBy(*order))).filter("dup = 1").drop("dup")
-    c = _saved(c.withColumn("at", F.row_number().over(Window.partitionBy(speaker).orderBy(*order))))
+    c = saved(c.withColumn("at", F.row_number().over(Window.partitionBy(speaker).orderBy(*order))))
     slots = targets.filter("target > 0").select(speaker, F.explode(F.sequence(F.lit(1), F.col("target").cast("int"))).alias("slot")).withColumn("at", F.col("slot"))
     for _ in range(max_rounds):
         held = slots.join(c, [speaker, "at"], "left")
         w = Window.partitionBy("t").orderBy("slot", speaker)
-        held = _saved(held.withColumn("won", F.col("t").isNotNull() & (F.row_number().over(w) == 1)))
+        held = saved(held.withColumn("won", F.col("t").isNotNull() & (F.row_number().over(w) == 1)))
         state = held.agg(n_if(F.col("t").isNull()).alias("out"), n_if(~F.col("won")).alias("lost")).first()
         if state.out:
             raise ValueError("a speaker has too few texts that nobody else took")
@@ -164,10 +141,10 @@ def greedy_quota(cands: Mapping[str, Sequence[tuple[object, str]]], targets: Map
 
 
 def capped_balanced_sample(df: DataFrame, stratum: str, speaker: str, key: str, target: int, cap: int, seed: object) -> DataFrame:
-    """Up to `target` rows per stratum, at most `cap` of a speaker, in hash order."""
-    order = [hash_order(seed, F.col(key)), F.col(key)]
-    own = df.withColumn("__s", F.row_number().over(Window.partitionBy(stratum, speaker).orderBy(*order))).filter(F.col("__s") <= cap)
-    return own.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).filter(F.col("__r") <= target).drop("__s", "__r")
+    """Up to `target` rows per stratum, at most `cap` of a speaker, in hash order; both by radix selection."""
+    hashed = hash_order(seed, F.col(key))
+    own = saved(least_by_hash(df, [stratum, speaker], hashed, key, cap))
+    return least_by_hash(own, [stratum], hashed, key, target)
 
 
 def dedup_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -181,7 +158,7 @@ def disjoint_partition(df: DataFrame, speaker: str, key: str, n_train: int, n_te
     """(key, speaker, split, attempt): speakers split by a coin of weight n_test / (n_train + n_test), rows sampled on each side.
 
     The first attempt in which both sides have enough rows counts; without one it raises. Only row counts per speaker meet
-    the attempts, each in its own partition. A partition passes on only the first rows of each side.
+    the attempts, each in its own partition. Each side's rows are found by radix selection.
     """
     sizes = df.groupBy(speaker).agg(F.count("*").alias("n"))
     coin = F.conv(F.substring(hash_order(seed, F.col("attempt"), F.col(speaker)), 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -191,8 +168,8 @@ def disjoint_partition(df: DataFrame, speaker: str, key: str, n_train: int, n_te
     first = room.filter((F.col("on_test") >= n_test) & (F.col("on_train") >= n_train)).agg(F.min("attempt").alias("attempt"))
     first = first.select(F.coalesce("attempt", F.raise_error(F.lit("no attempt has room on both sides")).cast("long")).alias("attempt"))
     sides = df.select(speaker, key).crossJoin(F.broadcast(first)).withColumn("split", F.when(test, "test").otherwise("train"))
-    at = F.row_number().over(Window.partitionBy("split").orderBy(hash_order(seed, F.col("split"), F.col(key)), key))
-    return sides.withColumn("at", at).filter((F.col("at") <= max(n_test, n_train)) & (F.col("at") <= F.when(F.col("split") == "test", n_test).otherwise(n_train))).drop("at")
+    sides = saved(sides)
+    return least_by_hash(sides, ["split"], hash_order(seed, F.col("split"), F.col(key)), key, F.when(F.col("split") == "test", n_test).otherwise(n_train))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, val_ratio: float, seed: object) -> DataFrame:

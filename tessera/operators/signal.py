@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import dsp
 from ..functions.text import stable_seed, step_progress
+from .spread import matches, ordered_places, spread_join
 
 DOUBLES = ArrayType(DoubleType())
 #: Clips in an Arrow batch: waveforms are large.
@@ -46,20 +47,39 @@ def speech_threshold(frames: DataFrame, head: int, clip: str = "clip", frame: st
     return g.withColumn("threshold", F.greatest(1.8 * F.col("noise_floor"), 0.003 * F.col("peak"), F.lit(5e-5)))
 
 
-def active_segments(frames: DataFrame, min_run: int, clip: str = "clip", frame: str = "frame", active: str = "active") -> DataFrame:
-    """(clip, start, stop): runs of consecutive active frames, of `min_run` at least; stop excluded."""
-    w = Window.partitionBy(clip).orderBy(frame)
-    on = frames.filter(F.col(active)).withColumn("island", F.col(frame) - F.row_number().over(w))
-    g = on.groupBy(clip, "island").agg(F.min(frame).alias("start"), (F.max(frame) + 1).alias("stop"))
-    return g.filter(F.col("stop") - F.col("start") >= min_run).select(clip, "start", "stop")
+#: Frames of a clip that one window orders. A clip is cut at multiples of it, so its length does not matter.
+SPAN = 65_536
+
+
+def frames_in_order(df: DataFrame, clip: str, order: Sequence[str], frame: str = "frame") -> DataFrame:
+    """Adds the number of each row within its clip, from 0, in an order that does not tie; a clip may be cut into many ranges."""
+    return ordered_places(df, order, frame, [clip])
+
+
+def active_segments(frames: DataFrame, min_run: int, clip: str = "clip", frame: str = "frame", active: str = "active", span: int = SPAN) -> DataFrame:
+    """(clip, start, stop): runs of consecutive active frames, of `min_run` at least; stop excluded.
+
+    Runs are found within spans of a clip. Those that touch an end of their span, two of it at most, are stitched to their
+    neighbours in an order over these alone.
+    """
+    on = frames.filter(F.col(active)).select(clip, frame, F.floor(F.col(frame) / span).alias("__span"))
+    w = Window.partitionBy(clip, "__span").orderBy(frame)
+    parts = on.withColumn("__run", F.col(frame) - F.row_number().over(w)).groupBy(clip, "__span", "__run")
+    parts = parts.agg(F.min(frame).alias("start"), (F.max(frame) + 1).alias("stop"))
+    edge = (F.col("start") == F.col("__span") * span) | (F.col("stop") == (F.col("__span") + 1) * span)
+    along = Window.partitionBy(clip).orderBy("start")
+    touching = parts.filter(edge).withColumn("__new", (~F.lag("stop").over(along).eqNullSafe(F.col("start"))).cast("int"))
+    whole = touching.withColumn("__chain", F.sum("__new").over(along)).groupBy(clip, "__chain").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    runs = parts.filter(~edge).select(clip, "start", "stop").union(whole.select(clip, "start", "stop"))
+    return runs.filter(F.col("stop") - F.col("start") >= min_run)
 
 
 def speech_bounds(frames: DataFrame, head: int, min_run: int, hop_sec: float, frame_sec: float, clip: str = "clip", frame: str = "frame", value: str = "rms") -> DataFrame:
     """Per clip: detected, onset, offset and duration in seconds, runs, and the threshold's parts; nulls where undetected."""
     t = speech_threshold(frames, head, clip, frame, value)
-    marked = frames.join(t.select(clip, "threshold"), clip).withColumn("active", F.col(value) >= F.col("threshold"))
+    marked = spread_join(frames, t.select(clip, "threshold"), [clip], F.col(frame)).withColumn("active", F.col(value) >= F.col("threshold"))
     runs = active_segments(marked, min_run, clip, frame).groupBy(clip).agg(F.min("start").alias("a"), F.max("stop").alias("b"), F.count("*").alias("n_segments"))
-    j = t.join(runs, clip, "left")
+    j = matches(t, runs, [clip], "left")
     onset, offset = F.col("a") * hop_sec, (F.col("b") - 1) * hop_sec + frame_sec
     return j.select(
         clip, F.col("a").isNotNull().alias("detected"), onset.alias("onset_sec"), offset.alias("offset_sec"), (offset - onset).alias("duration_sec"),
@@ -138,10 +158,13 @@ def render(clips: DataFrame, effect: str, key: str = "clip_id", **params) -> Dat
 
 
 def clip_stats(manifest: DataFrame, keys: Sequence[str] = ("direction", "curve", "tier")) -> DataFrame:
-    """(scope, key, n_rows, mean_clipped_ratio) overall and by each key, in one pass."""
-    g = manifest.groupingSets([[]] + [[F.col(k)] for k in keys], *keys).agg(F.count("*").alias("n_rows"), F.avg("clipped_ratio").alias("mean_clipped_ratio"))
-    scope = F.coalesce(*[F.when(F.col(k).isNotNull(), F.lit(f"by_{k}")) for k in keys], F.lit("overall"))
-    return g.select(scope.alias("scope"), F.coalesce(*keys, F.lit("all")).alias("key"), "n_rows", "mean_clipped_ratio")
+    """(scope, key, n_rows, mean_clipped_ratio) overall and by each key, in one pass; a null key counts as `unknown`."""
+    g = manifest.groupingSets([[]] + [[F.col(k)] for k in keys], *keys).agg(F.grouping_id(*keys).alias("__set"), F.count("*").alias("n_rows"), F.avg("clipped_ratio").alias("mean_clipped_ratio"))
+    # a bit of the id is 0 for the column that a row is grouped by, the first column's the highest
+    alone = {k: (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i)) for i, k in enumerate(keys)}
+    scope = F.coalesce(*[F.when(F.col("__set") == n, F.lit(f"by_{k}")) for k, n in alone.items()], F.lit("overall"))
+    key = F.coalesce(*[F.when(F.col("__set") == n, F.coalesce(F.col(k).cast("string"), F.lit("unknown"))) for k, n in alone.items()], F.lit("all"))
+    return g.select(scope.alias("scope"), key.alias("key"), "n_rows", "mean_clipped_ratio")
 
 
 def sine_sources(freqs: DataFrame, hz: str, rate: int = 48_000, head: float = 0.75, active: float = 2.1, tail: float = 0.75) -> DataFrame:
@@ -159,11 +182,12 @@ def sine_sources(freqs: DataFrame, hz: str, rate: int = 48_000, head: float = 0.
 def segment_mean_pool(frames: DataFrame, k: int = 16, clip: str = "clip", frame: str = "frame", value: str = "value") -> DataFrame:
     """(clip, segment, value): means of k equal segments of a clip's frames, numbered from 0; an empty segment takes the frame where it would begin.
 
-    Long form: one row per frame, numbered from 0; each is dealt only to the segments that may hold it.
+    Long form: one row per frame, numbered from 0; each is dealt only to the segments that may hold it. Frames of a clip are
+    counted and averaged where they are before they move, so a clip of any length spreads over many tasks.
     """
-    n = F.count("*").over(Window.partitionBy(clip))
+    sizes = frames.groupBy(clip).agg(F.count("*").alias("n"))
     low, high = F.floor(F.col(frame) * k / F.col("n")), F.least(F.floor((F.col(frame) + 1) * k / F.col("n")), F.lit(k - 1))
-    t = frames.withColumn("n", n).withColumn("segment", F.explode(F.sequence(low, high)))
+    t = spread_join(frames, sizes, [clip], F.col(frame)).withColumn("segment", F.explode(F.sequence(low, high)))
     a, b = F.floor(F.col("segment") * F.col("n") / k), F.floor((F.col("segment") + 1) * F.col("n") / k)
     at = F.col(frame)
     inside = F.when(b > a, (at >= a) & (at < b)).otherwise(at == F.least(a, F.col("n") - 1))

@@ -79,8 +79,8 @@ def largest_shift(acc: DataFrame, base: str) -> DataFrame:
 
 
 def category_leaders(acc: DataFrame) -> DataFrame:
-    """Best model per (category, variant); the least model on ties."""
-    m = acc.groupBy("category", "variant").agg(F.max(F.struct(F.round("accuracy", 12).alias("a"), (-F.col("model")).alias("k"), "accuracy", "model")).alias("m"))
+    """Best model per (category, variant); the least model on ties. Models may be names or numbers; a null accuracy is the worst."""
+    m = acc.groupBy("category", "variant").agg(F.min(F.struct(F.col("accuracy").isNull().alias("none"), (-F.round("accuracy", 12)).alias("a"), "model", "accuracy")).alias("m"))
     return m.select("category", "variant", F.col("m.model").alias("model"), F.col("m.accuracy").alias("accuracy"))
 
 

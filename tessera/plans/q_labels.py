@@ -169,6 +169,15 @@ def t7_category_leaders(spark, sf):
     return rounded(C.category_leaders(acc(spark, sf, "model", "category", "variant")))
 
 
+_NAMED = "'model-' || (5 - model)"
+
+
+@query(f"WITH {_acc('model', 'category', 'variant')}, named AS (SELECT category, variant, {_NAMED} AS model, accuracy FROM acc) SELECT category, variant, model, round(accuracy, 6) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY category, variant ORDER BY round(accuracy, 12) DESC, model) AS k FROM named) WHERE k = 1")
+def t7_named_leaders(spark, sf):
+    """Leaders among models with names, as models have outside these tables."""
+    return rounded(C.category_leaders(acc(spark, sf, "model", "category", "variant").withColumn("model", F.expr(_NAMED))))
+
+
 _X = f"{_acc('model', 'category', 'tier')}, x AS (SELECT model, category AS actual, CASE tier WHEN 'low' THEN 'view' WHEN 'mid' THEN 'click' ELSE 'purchase' END AS asked, accuracy FROM acc)"
 
 

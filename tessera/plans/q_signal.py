@@ -46,12 +46,18 @@ def w1_frame_rms(spark, sf):
     return rounded(r.select("clip_id", F.posexplode("rms").alias("frame", "rms")))
 
 
+def _frames(spark, sf):
+    """FRAMES, its frames numbered over ranges of the written events, not in a window per clip."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("clip"), "ts", "event_id", F.col("value").alias("rms"))
+    return W.frames_in_order(e, "clip", ["ts", "event_id"]).select("clip", "frame", "rms")
+
+
 _TH = f"""f AS ({FRAMES}), t AS (SELECT clip, quantile_cont(rms, 0.5) FILTER (frame < 4) AS noise_floor, max(rms) AS peak FROM f GROUP BY 1), th AS (SELECT *, greatest(1.8 * noise_floor, 0.003 * peak, 5e-5) AS threshold FROM t)"""
 
 
 @query(f"WITH {_TH} SELECT clip, round(noise_floor, 6) AS noise_floor, round(peak, 6) AS peak, round(threshold, 6) AS threshold FROM th")
 def w2_speech_threshold(spark, sf):
-    return rounded(W.speech_threshold(adapt(spark, sf, FRAMES), 4))
+    return rounded(W.speech_threshold(_frames(spark, sf), 4))
 
 
 _RUN = "i AS (SELECT clip, frame, frame - row_number() OVER (PARTITION BY clip ORDER BY frame) AS g FROM {0}), s AS (SELECT clip, min(frame) AS start, max(frame) + 1 AS stop FROM i GROUP BY clip, g HAVING count(*) >= 2)"
@@ -59,7 +65,7 @@ _RUN = "i AS (SELECT clip, frame, frame - row_number() OVER (PARTITION BY clip O
 
 @query(f"WITH f AS ({FRAMES}), a AS (SELECT * FROM f WHERE rms >= 40), {_RUN.format('a')} SELECT * FROM s")
 def w3_active_segments(spark, sf):
-    return W.active_segments(adapt(spark, sf, FRAMES).withColumn("active", F.col("rms") >= 40), 2)
+    return W.active_segments(_frames(spark, sf).withColumn("active", F.col("rms") >= 40), 2)
 
 
 _BOUNDS = f"""{_TH}, a AS (SELECT f.* FROM f JOIN th ON f.clip = th.clip AND rms >= threshold), {_RUN.format('a')}, r AS (SELECT clip, min(start) AS a, max(stop) AS b, count(*) AS n FROM s GROUP BY 1),
@@ -67,7 +73,7 @@ _BOUNDS = f"""{_TH}, a AS (SELECT f.* FROM f JOIN th ON f.clip = th.clip AND rms
 
 
 def _bounds(spark, sf):
-    return W.speech_bounds(adapt(spark, sf, FRAMES), 4, 2, 0.01, 0.025)
+    return W.speech_bounds(_frames(spark, sf), 4, 2, 0.01, 0.025)
 
 
 @query(f"WITH {_BOUNDS} SELECT clip, detected, round(onset_sec, 6) AS onset_sec, round(offset_sec, 6) AS offset_sec, round(duration_sec, 6) AS duration_sec, n_segments, round(noise_floor, 6) AS noise_floor, round(peak, 6) AS peak, round(threshold, 6) AS threshold FROM b")
@@ -138,6 +144,15 @@ def w15_clip_stats(spark, sf):
     return rounded(W.clip_stats(adapt(spark, sf, BOUNDED)))
 
 
+_SOME = f"SELECT CASE WHEN clip_id % 5 > 0 THEN direction END AS direction, CASE WHEN clip_id % 7 > 0 THEN curve END AS curve, tier, clipped_ratio FROM ({BOUNDED})"
+
+
+@query(f"WITH b AS ({_SOME}) SELECT 'overall' AS scope, 'all' AS key, count(*) AS n_rows, round(avg(clipped_ratio), 6) AS mean_clipped_ratio FROM b " + " ".join(f"UNION ALL SELECT 'by_{k}', coalesce({k}, 'unknown'), count(*), round(avg(clipped_ratio), 6) FROM b GROUP BY {k}" for k in ("direction", "curve", "tier")))
+def w15_clip_stats_unknown(spark, sf):
+    """Clips of which some lack a direction or a curve."""
+    return rounded(W.clip_stats(adapt(spark, sf, _SOME)))
+
+
 @query()
 def w16_sine_sources(spark, sf):
     f = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("clip_id"), (700.0 + F.col("s_suppkey") % 10 * 150).alias("hz"))
@@ -149,13 +164,13 @@ def w16_sine_sources(spark, sf):
 @query(f"""WITH f AS (SELECT *, count(*) OVER (PARTITION BY clip) AS n FROM ({FRAMES})), s AS (SELECT f.*, k, CAST(floor(k * n / 16) AS BIGINT) AS a, CAST(floor((k + 1) * n / 16) AS BIGINT) AS b FROM f, range(16) r(k))
   SELECT clip, k AS segment, round(avg(rms), 6) AS value FROM s WHERE CASE WHEN b > a THEN frame >= a AND frame < b ELSE frame = least(a, n - 1) END GROUP BY 1, 2""")
 def w17_segment_mean_pool(spark, sf):
-    return rounded(W.segment_mean_pool(adapt(spark, sf, FRAMES), 16, value="rms"))
+    return rounded(W.segment_mean_pool(_frames(spark, sf), 16, value="rms"))
 
 
 @query(f"""WITH f AS (SELECT *, count(*) OVER (PARTITION BY clip) AS n FROM ({FRAMES})), s AS (SELECT f.*, k, CAST(floor(k * n / 4) AS BIGINT) AS a, CAST(floor((k + 1) * n / 4) AS BIGINT) AS b FROM f, range(4) r(k))
   SELECT clip, k AS segment, round(avg(rms), 6) AS value FROM s WHERE CASE WHEN b > a THEN frame >= a AND frame < b ELSE frame = least(a, n - 1) END GROUP BY 1, 2""")
 def w17_segment_pool_arrays(spark, sf):
-    a = adapt(spark, sf, FRAMES).groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "rms"))), lambda x: F.array(x["rms"])).alias("frames"))
+    a = _frames(spark, sf).groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "rms"))), lambda x: F.array(x["rms"])).alias("frames"))
     return rounded(W.segment_pool_arrays(a, "frames", 4).select("clip", F.posexplode("pooled").alias("segment", "value")))
 
 
