@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from .scoring import id_set_digest, share
+from .spread import saved, spread_join
 
 DOUBLES = ArrayType(DoubleType())
 
@@ -94,39 +97,147 @@ def standardize(features: DataFrame, by: Sequence[str], vec: str = "vec") -> Dat
     return g.select(*by, F.transform("o", lambda x: x["m"]).alias("mean"), F.transform("o", lambda x: F.when(x["s"] < 1e-6, 1.0).otherwise(x["s"])).alias("std"))
 
 
-def adamw(x: np.ndarray, y: np.ndarray, epochs: int = 200, batch: int = 512, rate: float = 1e-3, decay: float = 1e-4, seed: int = 1234) -> tuple[np.ndarray, float]:
-    """Logistic weights and bias by AdamW over shuffled batches, from zero."""
-    rng, (n, d) = np.random.default_rng(seed), x.shape
-    w, m, v, t = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1), 0
-    ones = np.column_stack([x, np.ones(n)])
-    for _ in range(epochs):
-        order = rng.permutation(n)
-        for start in range(0, n, batch):
-            at = order[start : start + batch]
-            g = ones[at].T @ (1 / (1 + np.exp(-np.clip(ones[at] @ w, -30, 30))) - y[at]) / len(at)
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w * (1 - rate * decay) - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
+#: Bytes of sums that the driver holds at once: fits of so many groups go on side by side, the next ones after them.
+FIT_BYTES = 64 << 20
+#: Tasks that add up what tasks have added up.
+GATHER = 4
 
 
-def train_probes(features: DataFrame, by: Sequence[str], vec: str = "vec", gold: str = "gold", key: str = "clip_id", **options) -> DataFrame:
-    """(by, weights, bias, mean, std, n_train): one logistic probe per group on standardised vectors.
+def _add_up(df: DataFrame, columns: Sequence[str], part: Callable[[pa.RecordBatch], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    """For each group number the sum over all rows of what `part` makes of batches; group -> flat vector.
 
-    A group, one fit, is trained by one task and must fit in its memory; there are as many tasks as groups. Rows are put in
-    key order first, so partitions do not matter.
+    A task adds up its own rows. Its sums go to a few tasks, which add them again, so the driver gets a few sums of each group and
+    not one from every task.
     """
-    schema = type(features.schema)([features.schema[b] for b in by]).add("weights", DOUBLES).add("bias", "double").add("mean", DOUBLES).add("std", DOUBLES).add("n_train", "long")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        x = np.stack(pdf[vec].to_list()).astype(float)
-        mean, std = x.mean(axis=0), x.std(axis=0)
-        std = np.where(std < 1e-6, 1.0, std)
-        w, b = adamw((x - mean) / std, pdf[gold].to_numpy(float), **options)
-        return pd.DataFrame([(*(pdf[c].iloc[0] for c in by), w, b, mean, std, len(pdf))], columns=[*by, "weights", "bias", "mean", "std", "n_train"])
-
-    return features.select(*by, key, vec, gold).groupBy(*by).applyInPandas(run, schema)
+    schema = "g int, v array<double>"
+    told = lambda held: pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(pa.float64()))], names=["g", "v"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for g, v in part(batch).items():
+                held[g] = held[g] + v if g in held else v
+        if held:
+            yield told(held)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for g, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v = v.values.to_numpy()
+                held[g] = held[g] + v if g in held else v
+        if held:
+            yield told(held)
+
+    out: dict[int, np.ndarray] = {}
+    for r in df.select(*columns).mapInArrow(own, schema).repartition(GATHER).mapInArrow(again, schema).toLocalIterator():
+        out[r.g] = out[r.g] + np.array(r.v) if r.g in out else np.array(r.v)
+    return out
+
+
+def _grouped(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, vectors, gold) of a batch of g, vec and gold."""
+    if batch.num_rows:
+        g = batch.column(0).to_numpy()
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)
+        y = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+        for one in np.unique(g):
+            at = g == one
+            yield int(one), x[at], y[at]
+
+
+@dataclass
+class Fit:
+    """One group's fit: weights with the bias last, those that the next pass tries, and the penalised loss of the former."""
+
+    n: float
+    mean: np.ndarray
+    std: np.ndarray
+    weights: np.ndarray
+    tried: np.ndarray
+    loss: float = np.inf
+    done: bool = False
+
+    def step(self, sums: np.ndarray, decay: float, near: float) -> None:
+        """Take the tried weights if they lower the loss and go on by Newton's rule; else try half the way."""
+        d = len(self.weights)
+        loss = sums[0] / self.n + decay / 2 * float(self.tried @ self.tried)
+        if loss > self.loss * (1 + 1e-12):
+            self.tried = (self.weights + self.tried) / 2
+            self.done = float(np.abs(self.tried - self.weights).max()) <= near
+            return
+        self.weights, self.loss = self.tried, loss
+        gradient = sums[1 : d + 1] / self.n + decay * self.weights
+        move = np.linalg.solve(sums[d + 1 :].reshape(d, d) / self.n + decay * np.eye(d), gradient)
+        self.tried = self.weights - move
+        if float(np.abs(move).max()) <= near:
+            self.weights, self.done = self.tried, True
+
+
+def fit_logistic(rows: DataFrame, fits: dict[int, Fit], decay: float, near: float, rounds: int) -> None:
+    """Newton steps for all fits side by side until the last one moves by `near` at most. rows: g, vec, gold.
+
+    A pass gives each group's loss, gradient and Gram sums at its tried weights. Groups that are done are left out of the next.
+    """
+    for _ in range(rounds):
+        if not (left := {g: f for g, f in fits.items() if not f.done}):
+            return
+        at = {g: (f.mean, f.std, f.tried) for g, f in left.items()}
+
+        def part(batch: pa.RecordBatch, at=at) -> dict[int, np.ndarray]:
+            out = {}
+            for g, x, y in _grouped(batch):
+                if g in at:
+                    mean, std, w = at[g]
+                    z = np.column_stack([(x - mean) / std, np.ones(len(x))])
+                    logit = z @ w
+                    p = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
+                    loss = float((np.logaddexp(0, logit) - y * logit).sum())
+                    out[g] = np.concatenate([[loss], z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+            return out
+
+        for g, sums in _add_up(rows, ["g", "vec", "gold"], part).items():
+            left[g].step(sums, decay, near)
+    if any(not f.done for f in fits.values()):
+        raise ArithmeticError(f"probes not settled after {rounds} rounds")
+
+
+def train_probes(features: DataFrame, by: Sequence[str], vec: str = "vec", gold: str = "gold", decay: float = 1e-4, near: float = 1e-6, rounds: int = 200) -> DataFrame:
+    """(by, weights, bias, mean, std, n_train, loss): one logistic probe per group on standardised vectors.
+
+    weights: the only minimum of the mean log loss plus decay / 2 times the squared weights and bias, by Newton steps whose sums
+    are made where the rows lie; no group comes into one task, and partitions do not matter beyond rounding. The last step moves
+    by `near` at most, and the error falls with its square.
+    Groups are fitted side by side, as many as FIT_BYTES of sums allow, then the next ones; the driver holds one result for each
+    group. Rows without vector or gold, or with non-finite entries, are left out; vectors of a group have one length.
+    """
+    spark = features.sparkSession
+    fine = F.col(vec).isNotNull() & F.col(gold).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    kept = features.filter(fine).select(*by, F.col(vec).cast("array<double>").alias("__vec"), F.col(gold).cast("int").alias("__gold"))
+    groups = kept.groupBy(*by).agg(F.max(F.size("__vec")).alias("__d")).orderBy(*by).collect()
+    named = [features.schema[b] for b in by]
+    made = spark.createDataFrame([], "weights array<double>, bias double, mean array<double>, std array<double>, n_train long, loss double").schema
+    found, start = [], 0
+    while start < len(groups):
+        size, stop = 0, start
+        while stop < len(groups) and (stop == start or size + 8 * (groups[stop]["__d"] + 2) ** 2 <= FIT_BYTES):
+            size, stop = size + 8 * (groups[stop]["__d"] + 2) ** 2, stop + 1
+        numbers = spark.createDataFrame([(*r[:-1], i) for i, r in enumerate(groups[start:stop], start)], StructType([*named, StructField("__g", IntegerType())]))
+        rows = spread_join(kept, numbers, by, F.xxhash64("__vec"))
+        rows = saved(rows.select(F.col("__g").alias("g"), F.col("__vec").alias("vec"), F.col("__gold").alias("gold")))
+        moments = lambda batch: {g: np.concatenate([[len(x)], x.sum(axis=0)]) for g, x, _ in _grouped(batch)}
+        means = {g: (v[0], v[1:] / v[0]) for g, v in _add_up(rows, ["g", "vec", "gold"], moments).items()}
+        spreads = _add_up(rows, ["g", "vec", "gold"], lambda batch, means=means: {g: ((x - means[g][1]) ** 2).sum(axis=0) for g, x, _ in _grouped(batch)})
+        fits = {}
+        for g, (n, mean) in means.items():
+            std = np.sqrt(spreads[g] / n)
+            zero = np.zeros(len(mean) + 1)
+            fits[g] = Fit(n, mean, np.where(std < 1e-6, 1.0, std), zero, zero)
+        fit_logistic(rows, fits, decay, near, rounds)
+        for g, f in fits.items():
+            found.append((*groups[g][:-1], f.weights[:-1].tolist(), float(f.weights[-1]), f.mean.tolist(), f.std.tolist(), int(f.n), float(f.loss)))
+        start = stop
+    return spark.createDataFrame(found, StructType([*named, *made.fields]))
 
 
 def score_probes(features: DataFrame, probes: DataFrame, by: Sequence[str], vec: str = "vec", gold: str = "gold") -> DataFrame:

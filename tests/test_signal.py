@@ -131,11 +131,58 @@ def test_vectors(spark):
     assert math.isclose(got["a", "b"], 0.5**0.5) and got["a", "z"] is None
 
 
-def test_probe_learns(spark):
-    x = rng.normal(size=(400, 4))
-    y = (x[:, 0] - x[:, 1] > 0).astype(int)
-    f = spark.createDataFrame([(i, "m", int(y[i]), x[i].tolist()) for i in range(400)], "clip_id int, model string, gold int, vec array<double>")
-    a, b = (V.train_probes(f.repartition(n), ["model"], rate=0.05, epochs=60) for n in (1, 5))
-    assert a.collect() == b.collect()
-    m = V.score_probes(f, a, ["model"]).first()
-    assert m.accuracy > 0.95 and m.balanced_accuracy == (m.accuracy_up + m.accuracy_down) / 2
+def newton(x, y, decay):
+    """The minimum in one place, from the whole group: weights, bias and loss."""
+    mean, std = x.mean(axis=0), x.std(axis=0)
+    z, w = np.column_stack([(x - mean) / np.where(std < 1e-6, 1, std), np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    loss = lambda w: np.mean(np.logaddexp(0, z @ w) - y * (z @ w)) + decay / 2 * w @ w
+    for _ in range(300):
+        p = 1 / (1 + np.exp(-(z @ w)))
+        move = np.linalg.solve((z.T * (p * (1 - p))) @ z / len(x) + decay * np.eye(len(w)), z.T @ (p - y) / len(x) + decay * w)
+        rate = 1.0
+        while loss(w - rate * move) > loss(w) and rate > 1e-9:
+            rate /= 2
+        w = w - rate * move
+    return w, loss(w)
+
+
+def test_probes_equal_a_fit_in_one_place(spark, monkeypatch):
+    x = rng.normal(size=(600, 4)) * [1, 5, 0.1, 1] + [3, 0, 0, 1]
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=600) > 3).astype(int)
+    x[:, 3] = 2.5  # no spread
+    groups = {"m": slice(0, 400), None: slice(400, 560), "apart": slice(560, 600)}
+    sep = x[groups["apart"]]
+    y[groups["apart"]] = sep[:, 0] > np.median(sep[:, 0])  # can be told apart without error
+    rows = [(i, g, int(y[i]), x[i].tolist()) for g, s in groups.items() for i in range(600)[s]]
+    odd = [(601, "m", None, [0.0] * 4), (602, "m", 1, None), (603, "m", 1, [float("nan")] * 4), (604, "m", 1, [])]
+    f = spark.createDataFrame(rows + odd, "clip_id int, model string, gold int, vec array<double>")
+    for parts, size in ((1, V.FIT_BYTES), (3, 1)):  # side by side, and one after the other
+        monkeypatch.setattr(V, "FIT_BYTES", size)
+        got = {r.model: r for r in V.train_probes(f.repartition(parts), ["model"]).collect()}
+        assert set(got) == set(groups)
+        for g, s in groups.items():
+            w, loss = newton(x[s], y[s], 1e-4)
+            assert np.abs(np.r_[got[g].weights, got[g].bias] - w).max() < 1e-6 and abs(got[g].loss - loss) < 1e-9 and got[g].n_train == len(x[s])
+    assert V.train_probes(f.filter("clip_id > 600"), ["model"]).count() == 0
+    m = V.score_probes(f.filter("clip_id < 400"), V.train_probes(f, ["model"]), ["model"]).first()
+    assert m.accuracy > 0.85 and m.balanced_accuracy == (m.accuracy_up + m.accuracy_down) / 2
+
+
+def test_the_probe_queries_against_loops(spark, sf_check):
+    from tessera.plans import catalog
+
+    rows = spark.read.parquet(f"{sf_check}/embeddings.parquet").collect()
+    own = {}
+    for r in rows:
+        own.setdefault((r.vec_id // 2 % 3, r.vec_id // 6 % 4), []).append((r.vec_id // 24 % 5 == 0, 1 - r.vec_id % 2, r.embedding))
+    got = {(r.model, r.category): r for r in catalog.queries()["v7_train_probes"](spark, sf_check).collect()}
+    held = {(r.model, r.category): r for r in catalog.queries()["v7_held_out"](spark, sf_check).collect()}
+    assert set(got) == set(own)
+    for g, all_rows in own.items():
+        x, y = (np.array([r[i] for r in all_rows if not r[0]], float) for i in (2, 1))
+        w, loss = newton(x, y, 1e-4)
+        assert got[g].n_train == len(x) and abs(got[g].loss - loss) < 2e-6 and abs(got[g].bias - w[-1]) < 2e-6 and abs(got[g].first_weight - w[0]) < 2e-6
+        std = np.where(x.std(axis=0) < 1e-6, 1, x.std(axis=0))
+        test = [(np.array(v, float), y) for out, y, v in all_rows if out]
+        right = [int((((v - x.mean(axis=0)) / std) @ w[:-1] + w[-1] >= 0) == bool(y)) for v, y in test]
+        assert held[g].n_test == len(test) and abs(held[g].accuracy - np.mean(right)) < 2e-6
