@@ -27,6 +27,8 @@ ROUNDS = 60
 TOLERANCE, LOOSEST = 1e-14, 1e-12
 #: Rows of an Arrow batch.
 VECTOR_ROWS = 2000
+#: Tasks that add up what tasks have added up.
+GATHER = 4
 #: Entries of 2**45 or more would not be whole after the scaling; such rows are dropped as those with non-finite entries are.
 LARGEST = float(1 << 45)
 
@@ -53,8 +55,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _gathered(df: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum over all rows of the matrices that `of` makes of blocks of x, added up in Spark.
 
-    A task adds up its own rows. The rows of these sums are dealt by their number and added again, so that the driver gets the
-    matrix once and not once for each task.
+    A task adds up its own rows. The rows of these sums go to a few tasks and are added again, so that the driver gets a few
+    matrices and not one from each task that read vectors.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(VECTOR_ROWS))
 
@@ -79,8 +81,11 @@ def _gathered(df: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarr
             yield told(list(held), list(held.values()))
 
     schema = "row int, v array<double>"
-    sums = df.select("x").mapInArrow(part, schema).repartition("row").mapInArrow(add, schema).toArrow()
-    return _matrix(sums.column("v").combine_chunks())[np.argsort(sums.column("row").to_numpy())]
+    sums = df.select("x").mapInArrow(part, schema).repartition(GATHER).mapInArrow(add, schema).toArrow()
+    rows, values = sums.column("row").to_numpy(), _matrix(sums.column("v").combine_chunks())
+    out = np.zeros((rows.max() + 1, values.shape[1]))
+    np.add.at(out, rows, values)
+    return out
 
 
 def totals(df: DataFrame) -> tuple[int, list[int]]:
