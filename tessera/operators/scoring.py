@@ -96,22 +96,71 @@ def constant_attributes(df: DataFrame, file: str, cols: Sequence[str]) -> DataFr
     return g.select(file, F.explode(rows).alias("r")).select(file, "r.*").filter("value is not null")
 
 
-def validate_predictions(df: DataFrame, expected: DataFrame, file: str, clip: str, gold: str = "gold_label") -> DataFrame:
-    """(file, violation, n): invalid gold labels, missing and duplicate ids, and counts other than expected (file, n_expected)."""
-    per_clip = df.groupBy(file, clip).agg(F.count("*").alias("n"), n_if(T.normalize_label(F.col(gold)).isNull()).alias("bad"))
+#: Parsers that a run manifest may name, and whether rows of their files carry words for the answers.
+PARSERS = {"main-unique-direction-v1": False, "synonym-unique-direction-v1": True}
+
+
+def validate_predictions(df: DataFrame, expected: DataFrame, file: str, clip: str, gold: str = "gold_label", words: str | None = None) -> DataFrame:
+    """(file, violation, n_found): invalid gold labels, missing and duplicate ids, and counts other than expected (file, n_expected).
+
+    words: a boolean column, whether a row carries words for the answers; `expected` then names each file's parser too. Rows that
+    do not go with it are parser_mismatch, all rows of a file whose parser is none of PARSERS unknown_parser.
+    """
+    worded = F.coalesce(F.col(words), F.lit(False)) if words else F.lit(False)
+    per_clip = df.groupBy(file, clip).agg(F.count("*").alias("n"), n_if(T.normalize_label(F.col(gold)).isNull()).alias("bad"), n_if(worded).alias("worded"))
     per_file = per_clip.groupBy(file).agg(
         F.sum("n").alias("n"), F.sum("bad").alias("invalid_gold"), F.coalesce(F.sum(F.when(F.col(clip).isNull(), F.col("n"))), F.lit(0)).alias("missing_id"),
-        n_if((F.col("n") > 1) & F.col(clip).isNotNull()).alias("duplicate_id"),
+        n_if((F.col("n") > 1) & F.col(clip).isNotNull()).alias("duplicate_id"), F.sum("worded").alias("worded"),
     )
     j = per_file.join(expected, file, "full")
     wrong = F.when(~F.col("n").eqNullSafe(F.col("n_expected")), F.coalesce("n", F.lit(0))).otherwise(F.lit(None)).cast("long")
+    counted = {k: F.col(k) for k in ("invalid_gold", "missing_id", "duplicate_id")}
+    if words:
+        known = F.coalesce(*[F.when(F.col("parser") == p, F.col("n") - F.col("worded") if needed else F.col("worded")) for p, needed in PARSERS.items()])
+        counted |= {"parser_mismatch": known, "unknown_parser": F.when(known.isNull(), F.col("n"))}
     kinds = F.array(
-        *[F.struct(F.lit(k).alias("violation"), F.when(F.col(k) > 0, F.col(k)).cast("long").alias("n_found")) for k in ("invalid_gold", "missing_id", "duplicate_id")],
+        *[F.struct(F.lit(k).alias("violation"), F.when(c > 0, c).cast("long").alias("n_found")) for k, c in counted.items()],
         F.struct(F.lit("wrong_count").alias("violation"), wrong.alias("n_found")),
     )
     return j.select(file, F.explode(kinds).alias("v")).select(file, "v.*").filter("n_found is not null")
 
 
+def check_manifest(manifest: DataFrame, path: str = "path") -> DataFrame:
+    """(path, violation) of a run manifest: repeated, empty or unsafe paths (absolute, or with a part `..`), and paths whose
+    results, the same name with the ending .json, would fall on those of another one."""
+    each = manifest.groupBy(path).agg(F.count("*").alias("__n"))
+    target = F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", ""), F.lit(".json"))
+    shared = each.select(target.alias("__target")).groupBy("__target").agg(F.count("*").alias("__sharing"))
+    j = each.withColumn("__target", target).join(shared, "__target", "left")
+    empty = F.coalesce(F.trim(path) == "", F.lit(True))
+    unsafe = F.col(path).startswith("/") | F.array_contains(F.split(path, "/"), "..")
+    kinds = {"repeated_path": F.col("__n") > 1, "empty_path": empty, "unsafe_path": ~empty & unsafe, "colliding_output": ~empty & (F.col("__sharing") > 1)}
+    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))
+    return j.select(path, F.explode(found).alias("violation"))
+
+
+def check_options(df: DataFrame, key: str, scores: str, order: Sequence[str], labels: Sequence[str], gold: str, stored_option: str, stored_label: str) -> DataFrame:
+    """(key, violation) of answers by option: scores that do not cover exactly the options with finite values, gold labels outside
+    the domain, stored options or labels other than the best option and its label (null where nothing is stored), repeated keys.
+
+    Where scores are invalid, what is stored is not judged.
+    """
+    best = T.argmax_option(F.col(scores), order)
+    named = F.create_map(*[x for k, v in zip(order, labels, strict=True) for x in (F.lit(k), F.lit(v))])
+    keys = F.map_keys(scores)
+    whole = (F.size(keys) == len(order)) & F.forall(keys, lambda k: k.isin(*order))
+    finite = F.forall(F.map_values(scores), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    fine = F.coalesce(whole & finite, F.lit(False))
+    differs = lambda c, v: fine & F.col(c).isNotNull() & (F.col(c) != v)
+    kinds = {
+        "invalid_scores": ~fine, "invalid_gold": ~F.coalesce(F.col(gold).isin(*labels), F.lit(False)),
+        "stored_option": differs(stored_option, best), "stored_label": differs(stored_label, F.element_at(named, best)),
+    }
+    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))
+    repeated = df.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1").select(key, F.lit("duplicate_id").alias("violation"))
+    return df.select(key, F.explode(found).alias("violation")).union(repeated)
+
+
 def id_digest(df: DataFrame, file: str, clip: str) -> DataFrame:
     """SHA-256 of the sorted ids of a file joined by newlines, and their number; null ids are left out.
 

@@ -102,6 +102,18 @@ def cross_attribute_matrix(acc: DataFrame) -> DataFrame:
     return acc.groupBy("actual", "asked").agg(F.avg("accuracy").alias("mean_accuracy"), F.count("accuracy").alias("n_models"))
 
 
+def cross_attribute_coverage(acc: DataFrame, grid: DataFrame) -> DataFrame:
+    """(scope, key, n_found, n_possible): how much of a grid (model, actual, asked) has an accuracy, by actual attribute and by model."""
+    j = grid.distinct().join(acc.filter("accuracy is not null").select("model", "actual", "asked", F.lit(1).alias("found")).distinct(), ["model", "actual", "asked"], "left")
+    count = lambda k: j.groupBy(F.col(k).cast("string").alias("key")).agg(F.count("found").alias("n_found"), F.count("*").alias("n_possible")).select(F.lit(f"by_{k}").alias("scope"), "*")
+    return count("actual").union(count("model"))
+
+
+def cross_attribute_gaps(acc: DataFrame, grid: DataFrame) -> DataFrame:
+    """(model, actual, asked) of a grid that have no accuracy."""
+    return grid.distinct().join(acc.filter("accuracy is not null"), ["model", "actual", "asked"], "left_anti")
+
+
 def extreme_pairs(matrix: DataFrame, k: int) -> DataFrame:
     """The k best and the k worst pairs, ties by name; `side` tells which."""
     key = F.round("mean_accuracy", 12)
@@ -115,6 +127,11 @@ def generalization(records: DataFrame, base: DataFrame) -> DataFrame:
     return j.withColumns({"in_domain": F.col("train_category") == F.col("test_category"), "delta": F.col("accuracy") - F.col("base_accuracy")})
 
 
+def generalization_matrix(rows: DataFrame, categories: Sequence[str], value: str = "accuracy") -> DataFrame:
+    """Per scope and trained category the mean of a value for each tested category, a column each; an empty cell is null."""
+    return rows.groupBy("scope", "train_category").agg(*[F.avg(F.when(F.col("test_category") == c, F.col(value))).alias(c) for c in categories])
+
+
 def generalization_means(rows: DataFrame) -> DataFrame:
     """(level, scope, train_category, in_domain): mean accuracy and delta at three levels; nulls are skipped."""
     sets = [["scope", "train_category", "in_domain"], ["scope", "in_domain"], ["scope", "train_category"]]

@@ -75,18 +75,30 @@ def alignment_summary(cosines: DataFrame, group: Sequence[str]) -> DataFrame:
     return cosines.filter("a < b").groupBy(*group).agg(F.avg("cosine").alias("mean_cosine"), F.avg(F.abs("cosine")).alias("mean_abs_cosine"), F.count("cosine").alias("n_pairs"))
 
 
-def check_feature_sets(features: DataFrame, model: str, category: str, clip: str, gold: str, base: object, vec: str = "vec") -> DataFrame:
+def check_feature_sets(features: DataFrame, model: str, category: str, clip: str, gold: str, base: object, vec: str = "vec", prompt: str | None = None, source: str | None = None) -> DataFrame:
     """(model, category, same_ids, same_labels, same_shape, finite): every model's set against the base model's.
 
-    Sets are compared by digests of ranges of their ids (`id_set_digest`), rows without id left out.
+    prompt adds same_prompts: the prompt of every id as in the base model's set. source adds same_sources: the set of sources as
+    in the base model's first category, as all sets should hold the same ones. Sets are compared by digests of ranges of their
+    ids (`id_set_digest`), rows without id left out.
     """
-    sets = lambda c, name: id_set_digest(features, [model, category], c).select(model, category, F.col("id_sha256").alias(name))
-    labelled = F.when(F.col(clip).isNotNull(), F.concat_ws("=", F.col(clip).cast("string"), F.col(gold).cast("string")))
+    sets = lambda c, name, df=features: id_set_digest(df, [model, category], c).select(model, category, F.col("id_sha256").alias(name))
+    with_id = lambda c: F.when(F.col(clip).isNotNull(), F.concat_ws("=", F.col(clip).cast("string"), F.col(c).cast("string")))
     g = features.groupBy(model, category).agg(F.min(F.size(vec)).alias("lo"), F.max(F.size(vec)).alias("hi"), F.max(F.exists(vec, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))).cast("int")).alias("bad"))
-    g = g.join(sets(F.col(clip), "ids"), [model, category], "left").join(sets(labelled, "labels"), [model, category], "left")
-    b = g.filter(F.col(model) == base).select(category, F.col("ids").alias("bi"), F.col("labels").alias("bl"), F.col("lo").alias("bs"))
-    same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
-    return g.join(b, category, "left").select(model, category, same("ids", "bi").alias("same_ids"), same("labels", "bl").alias("same_labels"), (same("lo", "bs") & same("hi", "bs")).alias("same_shape"), (F.col("bad") == 0).alias("finite"))
+    found = {"same_ids": sets(F.col(clip), "same_ids"), "same_labels": sets(with_id(gold), "same_labels")}
+    if prompt:
+        found["same_prompts"] = sets(with_id(prompt), "same_prompts")
+    for df in found.values():
+        g = g.join(df, [model, category], "left")
+    b = g.filter(F.col(model) == base).select(category, *[F.col(c).alias(f"base_{c}") for c in [*found, "lo", "hi"]])
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"base_{c}"))
+    out = g.join(b, category, "left").select(model, category, *[same(c).alias(c) for c in found], (same("lo") & same("hi") & F.col("lo").eqNullSafe(F.col("hi"))).alias("same_shape"), (F.col("bad") == 0).alias("finite"))
+    if not source:
+        return out
+    held = sets(F.col(source), "held", features.select(model, category, source).distinct())
+    first = held.filter(F.col(model) == base).agg(F.min_by("held", category).alias("first"))
+    told = held.crossJoin(F.broadcast(first)).select(model, category, F.col("held").eqNullSafe(F.col("first")).alias("same_sources"))
+    return out.join(told, [model, category], "left").withColumn("same_sources", F.coalesce("same_sources", F.lit(False)))
 
 
 def standardize(features: DataFrame, by: Sequence[str], vec: str = "vec") -> DataFrame:

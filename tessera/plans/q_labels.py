@@ -204,6 +204,27 @@ def t9_extreme_pairs(spark, sf):
     return rounded(C.extreme_pairs(C.cross_attribute_matrix(_cross(spark, sf)), 4))
 
 
+_GRID = "gr AS (SELECT m.model, a.actual, q.asked FROM (SELECT DISTINCT model FROM x) m, (SELECT DISTINCT actual FROM x) a, (SELECT DISTINCT asked FROM x) q), y AS (SELECT * FROM x WHERE NOT (model = 2 AND actual = 'click') AND NOT (model = 4 AND asked = 'view'))"
+
+
+def _gaps(spark, sf):
+    """The accuracies with some pairs taken out, and the whole grid."""
+    x = _cross(spark, sf)
+    grid = x.select("model").distinct().crossJoin(F.broadcast(x.select("actual").distinct())).crossJoin(F.broadcast(x.select("asked").distinct()))
+    return x.filter("not (model = 2 and actual = 'click') and not (model = 4 and asked = 'view')"), grid
+
+
+@query(f"""WITH {_X}, {_GRID}, j AS (SELECT gr.*, y.accuracy FROM gr LEFT JOIN y ON gr.model = y.model AND gr.actual = y.actual AND gr.asked = y.asked)
+  SELECT 'by_actual' AS scope, actual AS key, count(accuracy) AS n_found, count(*) AS n_possible FROM j GROUP BY actual UNION ALL SELECT 'by_model', CAST(model AS VARCHAR), count(accuracy), count(*) FROM j GROUP BY model""")
+def t9_coverage(spark, sf):
+    return C.cross_attribute_coverage(*_gaps(spark, sf))
+
+
+@query(f"WITH {_X}, {_GRID} SELECT model, actual, asked FROM gr EXCEPT SELECT model, actual, asked FROM y")
+def t9_missing_pairs(spark, sf):
+    return C.cross_attribute_gaps(*_gaps(spark, sf))
+
+
 _G = f"""{_acc('model', 'category', 'curve', 'tier')}, rec AS (SELECT tier AS scope, CASE curve WHEN 'linear' THEN 'view' WHEN 'jump' THEN 'click' ELSE 'purchase' END AS train_category, category AS test_category, accuracy FROM acc),
   base AS (SELECT category AS test_category, avg(accuracy) AS base_accuracy FROM acc WHERE category <> 'view' GROUP BY 1),
   g AS (SELECT rec.*, base_accuracy, train_category = rec.test_category AS in_domain, accuracy - base_accuracy AS delta FROM rec LEFT JOIN base ON rec.test_category = base.test_category)"""
@@ -224,6 +245,11 @@ def t10_generalization(spark, sf):
     return rounded(C.generalization_means(_gen(spark, sf)))
 
 
+@query(f"WITH {_G} SELECT scope, train_category, {', '.join(f'round(avg(accuracy) FILTER (test_category = {c!r}), 6) AS {c}' for c in ('view', 'click', 'purchase'))} FROM g GROUP BY 1, 2")
+def t10_generalization_matrix(spark, sf):
+    return rounded(C.generalization_matrix(_gen(spark, sf), ("view", "click", "purchase")))
+
+
 @query(f"""WITH {_acc('model', 'category', 'curve', 'tier')}, rec AS (SELECT tier AS method, model, CASE curve WHEN 'linear' THEN 'view' WHEN 'jump' THEN 'click' ELSE 'purchase' END AS train_category, category, accuracy FROM acc),
   d AS (SELECT method, model, category, avg(accuracy) AS accuracy FROM rec WHERE train_category = category GROUP BY ALL), u AS (SELECT * FROM d UNION ALL SELECT method, model, 'average', avg(accuracy) FROM d GROUP BY 1, 2)
   SELECT method, model, category, round(accuracy, 6) AS accuracy, abs(accuracy - max(accuracy) OVER (PARTITION BY method, category)) <= 1e-12 AS best FROM u""")

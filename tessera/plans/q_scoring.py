@@ -203,6 +203,44 @@ def m5_validate_predictions(spark, sf):
     return S.validate_predictions(p, expected, "model", "cid")
 
 
+_PARSER = "CASE model WHEN 0 THEN 'synonym-unique-direction-v1' WHEN 1 THEN 'first-hit' WHEN 2 THEN NULL ELSE 'main-unique-direction-v1' END"
+
+
+@query(f"""WITH f AS (SELECT model, {_PARSER} AS parser, count(*) AS n, count(*) FILTER (wide) AS w FROM ({PREDICTIONS}) WHERE NOT (model = 4 AND wide) GROUP BY 1)
+  SELECT model, 'parser_mismatch' AS violation, CASE model WHEN 0 THEN n - w ELSE w END AS n_found FROM f WHERE model IN (0, 3, 4) AND CASE model WHEN 0 THEN n - w ELSE w END > 0
+  UNION ALL SELECT model, 'unknown_parser', n FROM f WHERE model IN (1, 2)""")
+def m5_parser_mismatch(spark, sf):
+    """Rows with and without words for their answers against the parser that a run manifest names; one file is as it should be."""
+    p = adapt(spark, sf, PREDICTIONS).filter("not (model = 4 and wide)")
+    expected = p.groupBy("model").agg(F.count("*").alias("n_expected")).withColumn("parser", F.expr(_PARSER))
+    return S.validate_predictions(p.withColumn("key", F.monotonically_increasing_id()), expected, "model", "key", words="wide")
+
+
+_MANIFEST = """SELECT CASE WHEN event_id % 101 = 0 THEN '/abs/' WHEN event_id % 103 = 0 THEN '../' WHEN event_id % 107 = 0 THEN 'a..b/' ELSE '' END || event_type || '/run.' || (event_id % 4000)
+  || CASE event_id % 5 WHEN 0 THEN '.jsonl' WHEN 1 THEN '.json' ELSE '.x' END AS path FROM events WHERE event_id % 109 > 0 UNION ALL SELECT '' FROM events WHERE event_id % 109 = 0"""
+
+
+@query(f"""WITH e AS (SELECT path, count(*) AS n, regexp_replace(path, '([^/])\\.[^./]+$', '\\1') || '.json' AS target FROM ({_MANIFEST}) GROUP BY 1), t AS (SELECT target, count(*) AS sharing FROM e GROUP BY 1)
+  SELECT path, unnest(list_filter([CASE WHEN n > 1 THEN 'repeated_path' END, CASE WHEN path = '' THEN 'empty_path' END, CASE WHEN path <> '' AND (starts_with(path, '/') OR list_contains(string_split(path, '/'), '..')) THEN 'unsafe_path' END,
+    CASE WHEN path <> '' AND sharing > 1 THEN 'colliding_output' END], lambda v: v IS NOT NULL)) AS violation FROM e JOIN t ON e.target = t.target""")
+def m5_check_manifest(spark, sf):
+    return S.check_manifest(adapt(spark, sf, _MANIFEST))
+
+
+_OPTIONS = """SELECT CASE WHEN vec_id % 37 = 0 THEN 0 ELSE vec_id END AS id, round(CAST(embedding[{0}] AS DOUBLE), 1) AS a, round(CAST(embedding[{1}] AS DOUBLE), 1) AS b, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE round(CAST(embedding[{2}] AS DOUBLE), 1) END AS c,
+  CASE WHEN label = 9 THEN 'none' WHEN label % 3 = 0 THEN 'joy' WHEN label % 3 = 1 THEN 'fear' ELSE 'anger' END AS gold, CASE label % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' END AS option, CASE label % 5 WHEN 0 THEN 'joy' WHEN 1 THEN 'fear' WHEN 2 THEN 'anger' END AS stored FROM embeddings"""
+
+
+@query(f"""WITH o AS (SELECT *, CASE WHEN c IS NOT NULL THEN CASE WHEN a >= b AND a >= c THEN 'A' WHEN b >= c THEN 'B' ELSE 'C' END END AS best FROM ({_OPTIONS.format(1, 2, 3)})), p AS (SELECT *, CASE best WHEN 'A' THEN 'joy' WHEN 'B' THEN 'fear' WHEN 'C' THEN 'anger' END AS meant FROM o)
+  SELECT id, 'invalid_scores' AS violation FROM p WHERE best IS NULL UNION ALL SELECT id, 'invalid_gold' FROM p WHERE gold = 'none' UNION ALL SELECT id, 'stored_option' FROM p WHERE option <> best
+  UNION ALL SELECT id, 'stored_label' FROM p WHERE stored <> meant UNION ALL SELECT id, 'duplicate_id' FROM p GROUP BY id HAVING count(*) > 1""")
+def f14_check_options(spark, sf):
+    """Stored options and labels against the best option of the scores."""
+    o = adapt(spark, sf, _OPTIONS.format(0, 1, 2))
+    o = o.withColumn("scores", F.create_map(F.lit("A"), "a", F.lit("B"), "b", F.lit("C"), "c"))
+    return S.check_options(o, "id", "scores", "ABC", ("joy", "fear", "anger"), "gold", "option", "stored")
+
+
 @query(f"SELECT model, count(*) AS n, sha256(string_agg(CAST(clip_id AS VARCHAR), chr(10) ORDER BY CAST(clip_id AS VARCHAR))) AS id_sha256 FROM ({PREDICTIONS}) GROUP BY model")
 def m6_id_digest(spark, sf):
     return S.id_digest(adapt(spark, sf, PREDICTIONS), "model", "clip_id")

@@ -228,6 +228,17 @@ def v5_check_feature_sets(spark, sf):
     return V.check_feature_sets(f, "model", "category", "c", "gold", 0)
 
 
+_PROMPTED = f"SELECT model, category, pair * 2 + 1 - gold AS cid, gold, vec, CASE WHEN model = 2 AND pair % 24 = 20 THEN 'How?' ELSE 'Which way?' END AS prompt, CASE WHEN model = 1 THEN source % 4 ELSE source END AS source FROM ({FEATURES})"
+
+
+@query(f"""WITH f AS ({_PROMPTED}), g AS (SELECT model, category, list(cid ORDER BY cid) AS ids, list(cid || '=' || gold ORDER BY cid) AS labels, list(cid || '=' || prompt ORDER BY cid) AS prompts, list_sort(list(DISTINCT source)) AS sources FROM f GROUP BY 1, 2),
+  s AS (SELECT sources FROM g WHERE model = 0 ORDER BY category LIMIT 1)
+  SELECT g.model, g.category, g.ids IS NOT DISTINCT FROM b.ids AS same_ids, g.labels IS NOT DISTINCT FROM b.labels AS same_labels, g.prompts IS NOT DISTINCT FROM b.prompts AS same_prompts, true AS same_shape, true AS finite, g.sources = s.sources AS same_sources
+  FROM g LEFT JOIN g b ON b.model = 0 AND b.category = g.category CROSS JOIN s""")
+def v5_prompts_and_sources(spark, sf):
+    return V.check_feature_sets(adapt(spark, sf, _PROMPTED), "model", "category", "cid", "gold", 0, prompt="prompt", source="source")
+
+
 @query(f"WITH e AS (SELECT model, unnest(range(0, 64)) AS i, unnest([CAST(x AS DOUBLE) for x in vec]) AS x FROM ({FEATURES})) SELECT model, i, round(avg(x), 6) AS mean, round(CASE WHEN stddev_pop(x) < 1e-6 THEN 1.0 ELSE stddev_pop(x) END, 6) AS std FROM e GROUP BY 1, 2")
 def v6_standardize(spark, sf):
     s = V.standardize(adapt(spark, sf, FEATURES), ["model"])

@@ -138,7 +138,7 @@ def resolve_paths(df: DataFrame, listing: DataFrame, key: str, candidates: str,
 
 
 def file_digests(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """path, size and SHA-256 of every file."""
+    """path, size and SHA-256 of every file, as recorded elsewhere. A file is one row, so 2 GB at most; see chunks.tree_digests."""
     return spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
