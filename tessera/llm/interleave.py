@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import re
 import struct
 import zlib
 from html.parser import HTMLParser
@@ -63,7 +64,10 @@ def from_png(data: bytes) -> bytes:
 
 
 class _Reader(HTMLParser):
-    """Text runs and media references in document order; the caption of a figure goes to the media in it."""
+    """Text runs and media references in document order; a figure's last caption goes to the media before it in the figure.
+
+    A caption ends with its tag, with its figure, where another one begins and with the page.
+    """
 
     BREAK = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 article section table ul ol figure blockquote pre header footer".split())
     SKIP = frozenset("script style template noscript".split())
@@ -75,7 +79,8 @@ class _Reader(HTMLParser):
         self.run: list[str] = []
         self.caption: list[str] | None = None
         self.skipped = 0
-        self.figures: list[int] = []
+        self.figures: list[tuple[int, tuple[int, str] | None]] = []
+        self.captions: list[tuple[int, int, str]] = []
 
     def flush(self):
         text = " ".join("".join(self.run).split())
@@ -83,14 +88,29 @@ class _Reader(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "chars": len(text), "ref": None, "caption": None})
 
+    def end_caption(self):
+        if self.caption is not None:
+            text = " ".join("".join(self.caption).split())
+            if text and self.figures:
+                self.figures[-1] = (self.figures[-1][0], (len(self.items), text))
+            self.caption = None
+
+    def end_figure(self):
+        self.end_caption()
+        if self.figures:
+            start, last = self.figures.pop()
+            if last:
+                self.captions.append((start, *last))
+
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIP:
             self.skipped += 1
         if tag in self.BREAK or tag in self.MEDIA or tag == "figcaption":
             self.flush()
         if tag == "figure":
-            self.figures.append(len(self.items))
+            self.figures.append((len(self.items), None))
         elif tag == "figcaption":
+            self.end_caption()
             self.caption = []
         elif tag in self.MEDIA:
             a = dict(attrs)
@@ -102,33 +122,67 @@ class _Reader(HTMLParser):
             self.skipped = max(0, self.skipped - 1)
         if tag in self.BREAK:
             self.flush()
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
-                if item["kind"] != "text" and text:
-                    item["caption"] = text
-            self.caption = None
-        if tag == "figure" and self.figures:
-            self.figures.pop()
+        if tag == "figcaption":
+            self.end_caption()
+        if tag == "figure":
+            self.end_figure()
 
     def handle_data(self, data):
         if not self.skipped:
             (self.run if self.caption is None else self.caption).append(data)
 
+    def finish(self) -> list[dict]:
+        """All items. Of captions that hold for one medium, that of the figure that ended last counts; each item is met once."""
+        while self.figures:
+            self.end_figure()
+        self.end_caption()
+        self.flush()
+        following = list(range(len(self.items) + 1))
+        for start, stop, text in reversed(self.captions):
+            i = start
+            while (i := self._free(following, i)) < stop:
+                if self.items[i]["kind"] != "text":
+                    self.items[i]["caption"] = text
+                following[i] = i + 1
+        return self.items
+
+    @staticmethod
+    def _free(following: list[int], i: int) -> int:
+        """The first item from i on that no caption has been met with; paths are halved on the way."""
+        while following[i] != i:
+            following[i] = following[following[i]]
+            i = following[i]
+        return i
+
+
+#: A declaration `<![...>` that is no tag, up to its end.
+_DECLARATION = re.compile(r"<!\[[^>]*>")
+
+
+def _plain(page: str) -> str:
+    """The page without what the parser cannot end: declarations in brackets go, and openings that nothing closes become text.
+
+    So no page stops the parser, and none makes it look for one and the same end from many places.
+    """
+    last = page.rfind(">")
+    head, rest = _DECLARATION.sub("", page[: last + 1]), page[last + 1 :].replace("<", "&lt;")
+    closed = head.rfind("-->")
+    return head[: closed + 1] + head[closed + 1 :].replace("<!--", "&lt;!--") + rest
+
 
 def parse(page: str | None) -> list[dict]:
-    """The sequence of a page; null and empty pages have none."""
+    """The sequence of a page; null and empty pages have none, broken ones what can be read."""
     r = _Reader()
-    r.feed(page or "")
+    r.feed(_plain(page or ""))
     r.close()
-    r.flush()
-    return [{"position": i} | x for i, x in enumerate(r.items)]
+    return [{"position": i} | x for i, x in enumerate(r.finish())]
 
 
 def sequences(pages: DataFrame, keep=("page_id",), text: str = "html") -> DataFrame:
     """Per page its `sequence`: text and media in document order, with positions and captions.
 
-    Null, empty and broken pages give what can be read, maybe an empty array. Repeated pages stay. Narrow.
+    Null, empty and broken pages give what can be read, maybe an empty array; no page stops the job, and a page takes time in
+    proportion to its length. Repeated pages stay. Other columns are not read. Narrow.
     """
     return map_texts(pages, lambda: lambda texts: {"sequence": [parse(t) for t in texts]}, f"sequence {SEQUENCE}", keep, text)
 

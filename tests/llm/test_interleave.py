@@ -1,7 +1,9 @@
 import hashlib
 import html
+import random
 import re
 import struct
+import time
 import zlib
 
 import pytest
@@ -105,3 +107,37 @@ def test_sequences_keep_order_and_captions(spark):
 
 def test_empty_table(spark):
     assert m.media_of_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_broken_pages_are_read(spark):
+    refs = lambda page: [(i["kind"], i["text"] or i["ref"], i["caption"]) for i in m.parse(page)]
+    assert refs("a<![foo[bar]]>b") == [("text", "ab", None)]
+    assert refs("a<![1[") == [("text", "a<![1[", None)]
+    assert refs("<figure><img src=a><figcaption>cap</figure><p>rest</p>") == [("img", "a", "cap"), ("text", "rest", None)]
+    assert refs("<figure><img src=a alt=x><figcaption>one <figcaption>two</figure>z") == [("img", "a", "two"), ("text", "z", None)]
+    assert refs("<figure><img src=a><figcaption>open to the end") == [("img", "a", "open to the end")]
+    assert refs("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><img src=c></figure>") == [("img", "a", None), ("img", "b", "in"), ("img", "c", None)]
+    assert refs("<figure><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out</figcaption><img src=c alt=own></figure>") == [("img", "b", "out"), ("img", "c", "own")]
+    assert refs("<script>var a = '<!--';</script><p>text</p>") == [("text", "text", None)]
+    assert refs("x <!-- gone --> y <!-- open") == [("text", "x y <!-- open", None)] and refs("a <b") == [("text", "a <b", None)]
+    rows = [(1, None, 1), (2, "", 1), (3, "<![x[", 1), (3, "<![x[", 1), (None, "<p>é", 1)]
+    got = m.sequences(spark.createDataFrame(rows, "page_id long, html string, sequence int")).collect()
+    assert sorted(((r.page_id or 0), [i.text for i in r.sequence]) for r in got) == [(0, ["é"]), (1, []), (2, []), (3, ["<![x["]), (3, ["<![x["])]
+
+
+def test_no_soup_stops_the_reader():
+    rng = random.Random(6)
+    bits = ["<", ">", "<!", "<![", "]]>", "<!--", "-->", "<?", "</", "<a ", "<img src=", '"', "'", "figure", "<figure>", "</figure>", "<figcaption>", "<script>", "</script>", "&", "&#x", ";", "=", "x", " ", "\x00", "[", "]", "CDATA[", "<svg><![CDATA[", "é", "/>"]
+    for _ in range(10_000):
+        items = m.parse("".join(rng.choice(bits) for _ in range(rng.randrange(30))))
+        assert [i["position"] for i in items] == list(range(len(items)))
+
+
+def test_time_in_proportion():
+    took = []
+    for n in (20_000, 200_000):
+        start = time.process_time()
+        for page in ("<a " * n, "<!--" * n, "<!--" * n + ">", "<![" * n, "<?" * n, "</" * n, "<figure>" + "<img src=a><figcaption>b</figcaption>" * (n // 8), "<figure>" * (n // 8) + "<img src=a><figcaption>b</figure>" * (n // 8)):
+            m.parse(page)
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * max(took[0], 0.05)
