@@ -28,13 +28,13 @@ DAY0, DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2099, 12, 31)
 
 # How values are written.
 EMAIL = re.compile(
-    r"(?<![\w.+%-])[.%+-]*+(?P<local>[A-Za-z0-9_](?:[A-Za-z0-9._%+-]*+(?<!\.))?)"
+    r"(?<![\w.'+%-])[.'%+-]*+(?P<local>\w(?:[\w.'%+-]*+(?<!\.))?)"
     r"@(?P<domain>(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?![\w-])"
 )
 NUMBER = re.compile(
     r"""(?<![\w.@/-])(?:
     (?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w-]|\.[0-9])
-    |(?P<date>[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?![\w/-]|\.[0-9])
+    |(?P<date>[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?!(?!T[0-9]{2}:)[\w/-]|\.[0-9])
     |(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])
     |(?P<card>[0-9]{13,19}
         |[0-9]{4}(?P<sep>[ -])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4}
@@ -49,11 +49,13 @@ NUMBER = re.compile(
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SECRET = re.compile(
     r"""(?<![A-Za-z0-9])(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])
-    |(?P<label>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))["']?\s{0,3}[:=]\s{0,3}["']?)
-        (?P<value>[^\s"'`,;&<>(){}\[\]]{6,}+)
+    |(?P<label>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))["']?\s{0,3}(?P<sign>[:=])(?P<gap>\s{0,3}))
+        (?:"(?P<double>[^"\r\n]{6,}+)"|'(?P<single>[^'\r\n]{6,}+)'|["'`]?(?P<bare>[^\s<>"'`][^\s<>]{5,}+))
     |(?<![A-Za-z0-9])(?P<prefixed>(?:ghp|gho|sk|pk|xox[abp])[_-])(?P<rest>[A-Za-z0-9_-]{16,}+)""",
     re.X,
 )
+#: What may stand after a value without quotes, and a word of prose.
+AFTER_VALUE, WORD = "\"'`.,;:!?)]}", re.compile(r"(?:[^\W\d_]|(?<=[^\W\d_])['’-])(?:[a-zß-öø-ÿ]|(?<=\w)['’-])*")
 SECRET_HINTS = ("akia", "asia", "pass", "pwd", "secret", "token", "key", "ghp_", "gho_", "sk-", "sk_", "pk_", "xox")
 
 
@@ -315,19 +317,31 @@ class Masker:
             found = self._collect(NUMBER, text, self._number, found)
         return found
 
-    def _secret(self, m: re.Match) -> Value:
+    def _secret(self, m: re.Match) -> Value | None:
+        """A quoted value runs to its quote, another one to white space; one plain word after a colon and a blank is prose."""
         if m["aws"]:
             return m.start("aws"), m.end("aws"), "secret", m["aws"][:4] + permute_text(m["aws"][4:], self.key, b"aws")
-        group = "value" if m["value"] else "rest"
-        return m.start(group), m.end(group), "secret", permute_text(m[group], self.key, b"secret")
+        group = next(g for g in ("double", "single", "bare", "rest") if m[g])
+        value = m[group]
+        if group == "bare":
+            value = value.rstrip(AFTER_VALUE)
+            prose = m["sign"] == ":" and m["gap"] and WORD.fullmatch(value)
+            if len(value) < 6 or prose:
+                return None
+        new = permute_text(value, self.key, b"secret")
+        return None if new == value else (m.start(group), m.start(group) + len(value), "secret", new)
 
     def _email(self, m: re.Match) -> Value:
         new = email(m["local"], m["domain"], self.key)
         return m.start("local"), m.end(), "email", f"{new}@{m['domain']}"
 
     def _iban(self, m: re.Match) -> Value | None:
-        new = iban(m.group(), self.key)
-        return new and (m.start(), m.end(), "iban", new)
+        value = m.group()
+        while value:  # what follows may only look like a last group, as a currency does
+            if new := iban(value, self.key):
+                return m.start(), m.start() + len(value), "iban", new
+            value = value.rpartition(" ")[0]
+        return None
 
     def _number(self, m: re.Match) -> Value | None:
         kind = next(k for k in NUMBERS if m[k])

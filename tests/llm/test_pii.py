@@ -93,6 +93,50 @@ def test_secrets_of_any_length(n):
     assert a != b
 
 
+SECRETS = [
+    ('password = "correct horse battery staple"', "correct horse battery staple"), ("password: hunter2,extra-secret-tail", "hunter2,extra-secret-tail"), ("password=p@ss(word)123456 next", "p@ss(word)123456"),
+    ('pwd: "ab,cdefghijkl"', "ab,cdefghijkl"), ("(token=abc;def&ghi123).", "abc;def&ghi123"), ('{"api_key": "a{b}c[d]e", "x": 1}', "a{b}c[d]e"), ("secret='it is \"mine\" alone' end", 'it is "mine" alone'),
+    ("password: Tr0ub4dor&3", "Tr0ub4dor&3"), ("password=required", "required"), ('token: "never closed at all', None),
+]
+OTHERS = [
+    ("jürgen@beispiel.de", "email", "jürgen@beispiel.de"), ("mail o'brien@example.com now", "email", "o'brien@example.com"), ("'jo@example.com'", "email", "jo@example.com"), ("BE68 5390 0754 7034 EUR", "iban", "BE68 5390 0754 7034"),
+    ("at 2020-06-05T12:00:00Z", "date", "2020-06-05"),
+]
+
+
+@pytest.mark.parametrize(("text", "value"), SECRETS)
+def test_secrets_to_their_end(text, value):
+    got = [v for v in m.Masker(KEY).find(text) if v[2] == "secret"]
+    if value is None:
+        assert [text[a:b] for a, b, *_ in got] == []
+        return
+    assert [text[a:b] for a, b, *_ in got] == [value]
+    assert not any(w in got[0][3] for w in re.findall(r"[A-Za-z0-9]{4,}", value))
+
+
+@pytest.mark.parametrize(("text", "kind", "value"), OTHERS)
+def test_values_that_were_missed(text, kind, value):
+    ((start, end, found, new),) = m.Masker(KEY).find(text)
+    assert (text[start:end], found) == (value, kind) and new != value
+
+
+def test_prose_about_secrets_stays():
+    for text in ("password: required", "The secret: always listen.", "Token: Unbekannt,", "secret: well-known", "the secret:\n listen"):
+        assert m.Masker(KEY).find(text) == []
+
+
+def test_secrets_against_a_plain_reader():
+    rng = random.Random(8)
+    for _ in range(3000):
+        value = "".join(rng.choice("abXY019,;&()[]{}!-_") for _ in range(rng.randrange(6, 20)))
+        quote = rng.choice(["", '"', "'"])
+        body = value if quote else value.rstrip(m.AFTER_VALUE)
+        text = f"x {rng.choice(['password', 'API_KEY', 'pwd'])}{rng.choice(['=', ' = ', ':'])}{quote}{value}{quote} after it"
+        got = [text[a:b] for a, b, *_ in m.Masker(KEY).find(text)]
+        hides = any(c.isalnum() for c in body)
+        assert got == ([body] if len(body) >= 6 and hides else []), text
+
+
 def test_many_values_take_time_in_proportion():
     took = []
     for n in (2_000, 16_000):
@@ -101,7 +145,7 @@ def test_many_values_take_time_in_proportion():
         assert len(m.Masker(KEY).find(text)) == 3 * n
         took.append(time.process_time() - start)
     assert took[1] < 24 * took[0]
-    for text in ("a." * 300_000, "1" * 300_000, "password" * 50_000, "a@" * 300_000, "-" * 300_000 + "@", "ab1@c." * 60_000):
+    for text in ("a." * 300_000, "1" * 300_000, "password" * 50_000, "a@" * 300_000, "-" * 300_000 + "@", "ab1@c." * 60_000, "password=" * 50_000, 'password="' * 50_000, "pwd='a b " * 50_000, "BE68 " * 50_000):
         m.Masker(KEY).find(text)
 
 
