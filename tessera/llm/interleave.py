@@ -165,9 +165,9 @@ def _plain(page: str) -> str:
     So no page stops the parser, and none makes it look for one and the same end from many places.
     """
     last = page.rfind(">")
-    head, rest = _DECLARATION.sub("", page[: last + 1]).replace("<![", "&lt;!["), page[last + 1 :].replace("<", "&lt;")
+    head, rest = _DECLARATION.sub("", page[: last + 1]), page[last + 1 :].replace("<", "&lt;")
     closed = head.rfind("-->")
-    return head[: closed + 1] + head[closed + 1 :].replace("<!--", "&lt;!--") + rest
+    return (head[: closed + 1] + head[closed + 1 :].replace("<!--", "&lt;!--") + rest).replace("<![", "&lt;![")
 
 
 def parse(page: str | None) -> list[dict]:
