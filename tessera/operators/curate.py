@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash_order, normalize_text
 from .scoring import n_if
-from .spread import least_by_hash, matches, ordered_places, saved
+from .spread import discard, least_by_hash, matches, ordered_places, saved, saved_at, spread_join
 
 
 def hash_ranks(df: DataFrame, by: Sequence[str], hashed: Column, key: str, digits: int = 3) -> DataFrame:
@@ -56,25 +56,72 @@ def even_targets(labels: DataFrame, label: str, total: int, seed: object | None
     return d.select(label, n.alias("n"), at.alias("at")).select(label, (F.floor(F.lit(total) / F.col("n")) + (F.col("at") <= F.lit(total) % F.col("n")).cast("int")).cast("long").alias("target"))
 
 
-def balanced_group_search(speakers: DataFrame, speaker: str, gender: str, accent: str, n: int, iters: int, seed: object) -> DataFrame:
+def balanced_group_search(speakers: DataFrame, speaker: str, gender: str, accent: str, n: int, iters: int, seed: object, block: int = 1024) -> DataFrame:
     """The members of the best of `iters` draws of n speakers, with score and trial.
 
-    Score: ten times the deviation of F and M counts from even targets, plus that of accent counts; the first best wins.
-    Every candidate stays in its partition, which passes on only its first n of each trial (Spark does so for n up to
-    spark.sql.optimizer.windowGroupLimitThreshold); trials are ranked apart from one another.
+    Score: ten times the deviation of F and M counts from even targets, plus that of accent counts; the first best wins, so
+    trials come in blocks and none follows a block with a score of 0. A table of fewer than n speakers is drawn whole, an
+    empty one gives no rows.
     """
     spark = speakers.sparkSession
-    genders = even_targets(speakers.filter(F.col(gender).isin("F", "M")), gender, n).select(F.lit("g").alias("kind"), F.col(gender).alias("label"), (F.col("target") * 1).alias("target"))
-    accents = even_targets(speakers, accent, n).select(F.lit("a").alias("kind"), F.col(accent).alias("label"), "target")
-    draws = speakers.select(F.explode(F.sequence(F.lit(0), F.lit(iters - 1)).cast("array<long>")).alias("trial"), speaker, gender, accent)
-    w = Window.partitionBy("trial").orderBy(hash_order(seed, F.col("trial"), F.col(speaker)), speaker)
-    picked = saved(draws.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= n))
-    counts = picked.select("trial", F.explode(F.array(F.struct(F.lit("g").alias("kind"), F.col(gender).alias("label")), F.struct(F.lit("a").alias("kind"), F.col(accent).alias("label")))).alias("x"))
-    counts = counts.groupBy("trial", "x.kind", "x.label").agg(F.count("*").alias("c"))
-    grid = spark.range(iters).withColumnRenamed("id", "trial").crossJoin(F.broadcast(genders.union(accents)))
-    dev = grid.join(counts, ["trial", "kind", "label"], "left").withColumn("d", F.abs(F.coalesce("c", F.lit(0)) - F.col("target")) * F.when(F.col("kind") == "g", 10).otherwise(1))
-    best = dev.groupBy("trial").agg(F.sum("d").alias("score")).agg(F.min(F.struct("score", "trial")).alias("m")).select("m.score", "m.trial")
-    return picked.join(F.broadcast(best), "trial").select(speaker, gender, accent, "trial", "score")
+    members = saved(speakers.select(speaker, gender, accent))
+    genders = even_targets(members.filter(F.col(gender).isin("F", "M")), gender, n).select(F.lit("g").alias("kind"), F.col(gender).alias("label"), "target")
+    accents = even_targets(members, accent, n).select(F.lit("a").alias("kind"), F.col(accent).alias("label"), "target")
+    targets, rows, best = genders.union(accents), members.count(), None
+    for start in range(0, iters, block):
+        picked, path = least_draws(members, speaker, n, rows, range(start, min(start + block, iters)), seed)
+        found = _draw_scores(picked, gender, accent, targets).agg(F.min(F.struct("score", "trial")).alias("m")).first().m
+        if found is not None and (best is None or found.score < best[0].score):
+            if best is not None:
+                discard(spark, best[2])
+            best = found, picked, path
+        else:
+            discard(spark, path)
+        if best is not None and best[0].score == 0:
+            break
+    if best is None:
+        return members.filter(F.lit(False)).select("*", F.lit(None).cast("long").alias("trial"), F.lit(None).cast("long").alias("score"))
+    (score, trial), drawn, _ = best
+    return drawn.filter(F.col("trial") == trial).select(speaker, gender, accent, "trial", F.lit(score).cast("long").alias("score"))
+
+
+def least_draws(members: DataFrame, speaker: str, n: int, rows: int, trials: range, seed: object) -> tuple[DataFrame, str]:
+    """The first n rows of each trial in the order of its own hash, with trial; written, and where.
+
+    Of the table's rows those below a share of the hash values can be among the first n; the share leaves some n + 8 sqrt(n)
+    rows of a trial, whatever the table's size, and no other row is shuffled. Trials that got fewer than n are drawn again with
+    a wider share, until none is short.
+    """
+    least, path, todo, spare = None, None, None, 8.0
+    spark = members.sparkSession
+    while True:
+        share = (n + spare * (n**0.5 + 1)) / max(rows, 1)
+        ids = F.explode(F.sequence(F.lit(trials[0]), F.lit(trials[-1])).cast("array<long>")) if todo is None else F.explode(F.array(*map(F.lit, todo)))
+        draws = members.withColumn("trial", ids).withColumn("__hash", hash_order(seed, F.col("trial"), F.col(speaker)))
+        if share < 1:
+            draws = draws.filter(F.col("__hash") < f"{int(share * 2**64):016x}")
+        place = F.row_number().over(Window.partitionBy("trial").orderBy("__hash", speaker))
+        first = draws.withColumn("__at", place).filter(F.col("__at") <= n).drop("__hash", "__at")
+        got, got_path = saved_at(first if least is None else least.join(F.broadcast(spark.createDataFrame([(t,) for t in todo], "trial long")), "trial", "left_anti").unionByName(first))
+        if path is not None:
+            discard(spark, path)
+        least, path = got, got_path
+        if share >= 1:
+            return least, path
+        full = {r.trial for r in least.groupBy("trial").count().filter(F.col("count") >= n).select("trial").collect()}
+        todo, spare = [t for t in trials if t not in full], spare * 4
+        if not todo:
+            return least, path
+
+
+def _draw_scores(picked: DataFrame, gender: str, accent: str, targets: DataFrame) -> DataFrame:
+    """(trial, score) of every trial with members; targets: kind (g, a), label, target."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("label")) for k, c in (("g", gender), ("a", accent))])
+    counts = picked.select("trial", F.explode(kinds).alias("x")).groupBy("trial", "x.kind", "x.label").agg(F.count("*").alias("c"))
+    grid = picked.select("trial").distinct().crossJoin(targets)
+    held = matches(grid, counts, ["trial", "kind", "label"], "left")
+    off = F.abs(F.coalesce("c", F.lit(0)) - F.col("target")) * F.when(F.col("kind") == "g", 10).otherwise(1)
+    return held.groupBy("trial").agg(F.sum(off).alias("score"))
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, k: int, seed: object) -> DataFrame:
@@ -96,32 +143,55 @@ def exclude_overlapping_text(train: DataFrame, held_out: DataFrame, text: str) -
     return train.withColumn("__k", text_key(F.col(text))).join(keys, "__k", "left_anti").drop("__k")
 
 
-def unique_text_quota_sample(cands: DataFrame, speaker: str, key: str, text: str, targets: DataFrame, seed: object, max_rounds: int = 200) -> DataFrame:
+def unique_text_quota_sample(cands: DataFrame, speaker: str, key: str, text: str, targets: DataFrame, seed: object, max_rounds: int = 200, log: list | None = None) -> DataFrame:
     """Round-robin over speakers: each takes its next candidate (hash order) whose text nobody has, up to its target.
 
-    (speaker, key, slot). Equal to the sequential greedy: every text ranks the slots (turn, speaker) alike, so slots propose
-    down their speaker's list, each text keeps the least slot, and losers go on to the next candidate. The slots of one
-    speaker end up in list order, so a slot also skips what an earlier one has come to. Of equal texts of one speaker the
-    first is kept beforehand. An unmet target raises. targets: speaker, target. Two shuffles a round; only whether somebody
-    lost reaches the driver.
+    (speaker, key, slot). Equal to the sequential greedy: every text ranks the slots (turn, speaker) alike, so slots bid down
+    their speaker's list, each text goes to the least slot, and losers go on to the next candidate. The slots of one speaker
+    keep list order, so a loser pushes on the slots right behind it, each to where the one before it stood. Of equal texts of
+    one speaker the first is kept beforehand. An unmet target raises. targets: speaker, target.
+
+    Bids are only ever added: a slot stands at its last bid, and a text's least bid is that of its holder, as a slot leaves a
+    text only to a lesser one. So a round moves the bids of speakers who lost and those for the texts that they come to, and
+    nothing else; the bids made in a round, and the losers, are counted into `log`. Only these counts reach the driver.
     """
-    c = cands.select(speaker, key, text_key(F.col(text)).alias("t"))
-    order = [hash_order(seed, F.col(speaker), F.col(key)), F.col(key)]
-    c = c.withColumn("dup", F.row_number().over(Window.partitionBy(speaker, "t").orderBy(*order))).filter("dup = 1").drop("dup")
-    c = saved(c.withColumn("at", F.row_number().over(Window.partitionBy(speaker).orderBy(*order))))
-    slots = targets.filter("target > 0").select(speaker, F.explode(F.sequence(F.lit(1), F.col("target").cast("int"))).alias("slot")).withColumn("at", F.col("slot"))
+    spark = cands.sparkSession
+    hashed = hash_order(seed, F.col("speaker"), F.col("key"))
+    c = cands.select(F.col(speaker).alias("speaker"), F.col(key).alias("key"), text_key(F.col(text)).alias("t")).filter("t is not null")
+    c = c.groupBy("speaker", "t").agg(F.min(F.struct(hashed.alias("h"), "key")).alias("m")).select("speaker", "t", "m.key")
+    c = saved(hash_ranks(c, ["speaker"], hashed, "key").select("speaker", "key", "t", F.col("__at").cast("long").alias("at")))
+    wanted = targets.filter("target > 0").select(F.col(speaker).alias("speaker"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("target").cast("long"))).alias("slot"))
+    moved, moved_path = saved_at(wanted.withColumn("at", F.col("slot")))
+    paths: list[str] = []
     for _ in range(max_rounds):
-        held = slots.join(c, [speaker, "at"], "left")
-        w = Window.partitionBy("t").orderBy("slot", speaker)
-        held = saved(held.withColumn("won", F.col("t").isNotNull() & (F.row_number().over(w) == 1)))
-        state = held.agg(n_if(F.col("t").isNull()).alias("out"), n_if(~F.col("won")).alias("lost")).first()
-        if state.out:
+        n_moved = moved.count()
+        new, new_path = saved_at(matches(c, moved, ["speaker", "at"]).select("speaker", "slot", "at", "t", "key"))
+        if new.count() < n_moved:
             raise ValueError("a speaker has too few texts that nobody else took")
-        if not state.lost:
-            return held.select(speaker, key, "slot")
-        tried = held.select(speaker, "slot", (F.col("at") + F.when(F.col("won"), 0).otherwise(1)).alias("at"))
-        ahead = F.max(F.col("at") - F.col("slot")).over(Window.partitionBy(speaker).orderBy("slot"))
-        slots = tried.select(speaker, "slot", (ahead + F.col("slot")).alias("at"))
+        standing = new
+        if paths:
+            before = spark.read.schema(new.schema).parquet(*paths).join(new.select("t").distinct(), "t", "left_semi")
+            holders = before.groupBy("t").agg(F.min(F.struct("slot", "speaker", "at", "key")).alias("m")).select("m.speaker", "m.slot", "m.at", "t", "m.key")
+            standing = new.unionByName(matches(holders, moved.select("speaker", "slot"), ["speaker", "slot"], "left_anti"))
+        best = standing.groupBy("t").agg(F.min(F.struct("slot", "speaker")).alias("best"))
+        beaten = spread_join(standing, best, ["t"], F.struct("slot", "speaker")).filter(F.struct("slot", "speaker") != F.col("best"))
+        lost, lost_path = saved_at(beaten.select("speaker", "slot", "at"))
+        discard(spark, moved_path)
+        paths.append(new_path)
+        n_lost = lost.count()
+        if log is not None:
+            log.append((n_moved, n_lost))
+        bids = spark.read.schema(new.schema).parquet(*paths)
+        if not n_lost:
+            discard(spark, lost_path)
+            held = bids.groupBy("t").agg(F.min(F.struct("slot", "speaker", "key")).alias("m"))
+            return held.select(F.col("m.speaker").alias(speaker), F.col("m.key").alias(key), F.col("m.slot").cast("int").alias("slot"))
+        stood = matches(bids, lost.select("speaker").distinct(), ["speaker"], "left_semi").groupBy("speaker", "slot").agg(F.max("at").alias("at"))
+        tried = matches(stood, lost.withColumn("gone", F.lit(1)), ["speaker", "slot", "at"], "left").withColumn("to", F.col("at") + F.coalesce("gone", F.lit(0)))
+        ahead = F.max(F.col("to") - F.col("slot")).over(Window.partitionBy("speaker").orderBy("slot"))
+        onward = tried.withColumn("to", ahead + F.col("slot")).filter("to > at")
+        moved, moved_path = saved_at(onward.select("speaker", "slot", F.col("to").alias("at")))
+        discard(spark, lost_path)
     raise ValueError("the rounds did not settle")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import work_dir
@@ -13,13 +13,31 @@ from ..sources.folders import work_dir
 SALTS = 16
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: lineage ends here. The files go when the driver's JVM ends."""
+def saved_at(df: DataFrame, to: str | None = None) -> tuple[DataFrame, str]:
+    """Written to the shared folder and read back, and where: lineage ends here. With `to`, rows are added to that folder's.
+
+    The files go by `discard`, or when the driver's JVM ends.
+    """
     spark = df.sparkSession
-    df.write.parquet(to := work_dir(spark, "round"))
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+    to = to or work_dir(spark, "round")
+    df.write.mode("append").parquet(to)
+    where = _path(spark, to)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(to)
+    return spark.read.schema(df.schema).parquet(to), to
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back; the files go when the driver's JVM ends."""
+    return saved_at(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what `saved_at` wrote; no later plan may read it."""
+    _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(_path(spark, path), True)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
 def matches(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

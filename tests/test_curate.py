@@ -26,8 +26,30 @@ def test_quota_sample_is_the_sequential_greedy(spark, case):
     want = C.greedy_quota(lists, targets)
     df = spark.createDataFrame(rows, "speaker string, clip int, text string")
     t = spark.createDataFrame(list(targets.items()), "speaker string, target int")
-    got = C.unique_text_quota_sample(df.repartition(4), "speaker", "clip", "text", t, 9).collect()
+    rounds = []
+    got = C.unique_text_quota_sample(df.repartition(4), "speaker", "clip", "text", t, 9, log=rounds).collect()
     assert sorted((r.speaker, r.clip, r.slot) for r in got) == sorted(want)
+    assert rounds[0][0] == 15 and all(moved < 15 for moved, _ in rounds[1:]) and rounds[-1][1] == 0
+
+
+def test_quota_rounds_move_losers_and_those_behind_them_only(spark):
+    """Two speakers who share one text of 400 each: one bid is lost, and only slots behind it bid again."""
+    rows = [(s, k, "shared" if k == 0 else f"{s}{k}") for s in "ab" for k in range(400)]
+    lists = {s: [(k, t) for _, k, t in sorted((r for r in rows if r[0] == s), key=lambda r: in_hash_order(2, s)(r[1]))] for s in "ab"}
+    at = {s: [t for _, t in lists[s]].index("shared") + 1 for s in "ab"}
+    targets = {"a": 390, "b": 390}
+    df, t = spark.createDataFrame(rows, "speaker string, clip int, text string"), spark.createDataFrame(list(targets.items()), "speaker string, target int")
+    rounds = []
+    got = C.unique_text_quota_sample(df, "speaker", "clip", "text", t, 2, log=rounds).collect()
+    assert sorted((r.speaker, r.clip, r.slot) for r in got) == sorted(C.greedy_quota(lists, targets))
+    assert rounds == [(780, 1), (391 - max(at.values()), 0)]
+
+
+def test_quota_of_null_texts_and_speakers(spark):
+    df = spark.createDataFrame([(None, 1, "x"), (None, 2, None), ("a", 3, "x"), ("a", 4, "y")], "speaker string, clip int, text string")
+    t = spark.createDataFrame([(None, 1), ("a", 1)], "speaker string, target int")
+    got = C.unique_text_quota_sample(df, "speaker", "clip", "text", t, 1).collect()
+    assert {(r.speaker, r.slot) for r in got} == {(None, 1), ("a", 1)} and {r.clip for r in got} == {1, 4}
 
 
 def test_quota_that_cannot_be_met_raises(spark):
@@ -94,6 +116,26 @@ def test_balanced_search_passes_on_few_rows_of_a_partition(spark):
     assert sorted(tuple(r) for r in got) == balanced_by_hand([tuple(r) for r in df.collect()], 10, 8, 1)
 
 
+def test_balanced_search_draws_again_what_came_short(spark):
+    """With a share that leaves too few rows of some trials, in blocks, and on fewer speakers than are wanted."""
+    rows = [(k, "FM"[k % 2], "xyz"[k % 3]) for k in range(400)]
+    df = spark.createDataFrame(rows, "s long, g string, a string")
+    got = C.balanced_group_search(df, "s", "g", "a", 13, 10, 5, block=3).collect()
+    assert sorted(tuple(r) for r in got) == balanced_by_hand(rows, 13, 10, 5)
+    drawn, _ = C.least_draws(df, "s", 13, 400 * 3, range(4, 9), 5)  # as if the table had three times its rows: the first share is too small
+    for trial in range(4, 9):
+        assert {r.s for r in drawn.filter(F.col("trial") == trial).collect()} == set(sorted(range(400), key=in_hash_order(5, trial))[:13])
+    assert drawn.count() == 5 * 13
+    assert C.balanced_group_search(df, "s", "g", "a", 500, 3, 5).count() == 400
+    assert C.balanced_group_search(df.limit(0), "s", "g", "a", 5, 3, 5).count() == 0
+
+
+def test_balanced_search_stops_at_a_perfect_draw(spark):
+    df = spark.createDataFrame([(k, "FM"[k % 2], "x") for k in range(4)], "s long, g string, a string")
+    got = C.balanced_group_search(df, "s", "g", "a", 4, 1 << 40, 5, block=16).collect()  # all four: score 0 in trial 0
+    assert [(r.trial, r.score) for r in got] == [(0, 0)] * 4
+
+
 def test_hash_ranks_are_the_places_within_a_group(spark):
     rows = [(None if k % 4 == 0 else "ab"[k % 2], k) for k in range(400)]
     df = spark.createDataFrame(rows, "g string, k long").repartition(7)
