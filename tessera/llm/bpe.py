@@ -42,6 +42,15 @@ LOWER_17 = (
     | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 )
 
+#: Marks younger than the library's tables of canonical order, which take them for characters that nothing moves past.
+LATER_MARKS = re.compile(
+    "([\u07FD\u0898-\u089F\u08CA-\u08D3\u09FE\u0C3C\u0D3B\u0D3C\u0EBA\u1715\u1ABF-\u1ACE\u1DF6-\u1DFA\uA82C"
+    "\U00010D24-\U00010D27\U00010EAB\U00010EAC\U00010EFD-\U00010EFF\U00010F46-\U00010F50\U00010F82-\U00010F85\U00011070\U0001133B\U0001145E"
+    "\U00011839\U0001183A\U0001193D\U0001193E\U00011943\U000119E0\U00011A34\U00011A47\U00011A99\U00011D42\U00011D44\U00011D45\U00011D97"
+    "\U00011F41\U00011F42\U00016FF0\U00016FF1\U0001E08F\U0001E130-\U0001E136\U0001E2AE\U0001E2EC-\U0001E2EF\U0001E4EC-\U0001E4EF]"
+    "|(?<=\U00011935)(?=\U00011930))"  # and a pair that it does not compose
+)
+
 
 def byte_alphabet() -> list[str]:
     """One printable character for each byte: visible Latin-1 stands for itself, the others follow from U+0100."""
@@ -57,10 +66,16 @@ def _newer(regex, letter: str, more: list[tuple[int, int]]) -> set[str]:
     return {c for c in found if unicodedata.category(c)[0] != letter and ord(c) not in known}
 
 
+def composed(chunk: str) -> str:
+    """The library's composed form: that of the text between marks that it does not know, which stay where they are, and of two vowel signs apart."""
+    return "".join(unicodedata.normalize("NFC", piece) for piece in LATER_MARKS.split(chunk))
+
+
 def lower(chunk: str) -> str:
     """As the library does: composed, and lower case without regard to the end of a word."""
-    low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-    return low if max(low) < OLD else low.translate(LOWER_17)
+    if max(chunk) < OLD:
+        return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+    return composed(chunk).replace("Σ", "σ").lower().translate(LOWER_17)
 
 
 class WordBpe:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import time
+import unicodedata
 
 import pytest
 from tessera.llm import bpe
@@ -76,6 +77,25 @@ def test_every_character_encodes_as_in_the_library(library):
             assert [int(x) for chunk in chunks for x in chunk[1].split()] == e.ids, hex(c)
 
 
+def test_marks_are_ordered_and_composed_as_in_the_library(library):
+    """All marks in pairs, and every character beside its own decomposition."""
+    from tokenizers.normalizers import NFC
+
+    theirs = NFC().normalize_str
+    marks = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if unicodedata.combining(c)]
+    assert len(marks) > 900
+    for m in marks:
+        row = [f"a{m}{x}e" for x in marks]
+        assert list(map(bpe.composed, row)) == list(map(theirs, row)), hex(ord(m))
+    apart = [unicodedata.normalize("NFD", chr(c)) for c in range(0x300, 0x110000) if unicodedata.decomposition(chr(c))[:1] not in ("", "<")]
+    assert list(map(bpe.composed, apart)) == list(map(theirs, apart))
+    b, rng = load(vocabulary_path()), random.Random(8)
+    texts = ["".join(rng.choice("ae") + "".join(rng.choices(marks, k=rng.randrange(5))) for _ in range(4)) for _ in range(4000)]
+    texts += [f"a\u0345{m}" for m in marks] + [f"a{m}\u0334 B" for m in marks]
+    for text, chunks, e in zip(texts, b.encode_texts(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert [int(x) for chunk in chunks for x in chunk[1].split()] == e.ids, text.encode("unicode_escape")
+
+
 @pytest.mark.parametrize("text", ["a" * 1_000_000, "ab" * 300_000, "thequick" * 100_000, "é" * 200_000])
 def test_one_very_long_word(library, text):
     b = load(vocabulary_path())
