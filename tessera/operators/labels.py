@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .scoring import n_if, share
+from .spread import saved, spread_join
 
 
 def row_correctness(df: DataFrame, stored: str, answers: Sequence[str], truths: Sequence[str]) -> DataFrame:
@@ -66,16 +70,79 @@ def item_consensus(last: DataFrame, item: str, label: str) -> DataFrame:
     return s.select(item, "n_labels", F.col("top.v").alias("majority"), F.when(pairs == 0, 1.0).otherwise(F.try_divide(F.col("same").cast("double"), pairs)).alias("agreement"))
 
 
-def pairwise(last: DataFrame, annotator: str, item: str, label: str, positive: str) -> DataFrame:
+def pairwise(last: DataFrame, annotator: str, item: str, label: str, positive: str, hot: int = 256, block: int = 512) -> DataFrame:
     """Per two annotators with shared items: n_shared, agreement and kappa from the overlap's marginals.
 
-    A self-join on the item with a < b; labels of an item are the only thing paired. Kappa is 1 where chance explains all.
+    Annotators of an item with up to `hot` of them are paired by a join on the item. Larger items go through blocks of
+    annotators: see `block_pair_sums`. Both give sums that are added per pair. Kappa is 1 where chance explains all. Labels
+    without item or annotator are in no pair; a null label equals none and is not positive.
     """
-    yes = (F.col(label) == positive).cast("int")
-    a = last.select(F.col(item).alias("i"), F.col(annotator).alias("a"), F.col(label).alias("la"), yes.alias("pa"))
-    b = last.select(F.col(item).alias("i"), F.col(annotator).alias("b"), F.col(label).alias("lb"), yes.alias("pb"))
-    s = a.join(b, "i").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"), n_if(F.col("la") == F.col("lb")).alias("same"), F.sum("pa").alias("pa"), F.sum("pb").alias("pb"))
-    return pair_scores(s)
+    named = last.select(F.col(item).alias("i"), F.col(annotator).alias("who"), F.col(label).alias("l"), F.coalesce((F.col(label) == positive).cast("int"), F.lit(0)).alias("p"))
+    named = saved(named.filter("i is not null and who is not null"))
+    large = saved(named.groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("i", F.lit(True).alias("large")))
+    if large.isEmpty():
+        return pair_scores(item_pair_sums(named))
+    told = spread_join(named, large, ["i"], F.col("who"), "left")
+    blocks = block_pair_sums(saved(told.filter("large").drop("large")), block)
+    sums = item_pair_sums(told.filter("large is null").drop("large")).unionByName(blocks)
+    return pair_scores(sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n_shared", "same", "pa", "pb")]))
+
+
+def item_pair_sums(named: DataFrame) -> DataFrame:
+    """(a, b, n_shared, same, pa, pb) of any two annotators a < b by a join on the item; named: i, who, l, p."""
+    a, b = (named.select("i", F.col("who").alias(x), F.col("l").alias(f"l{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
+    both = a.join(b, "i").filter("a < b")
+    return both.groupBy("a", "b").agg(F.count("*").alias("n_shared"), n_if(F.col("la") == F.col("lb")).alias("same"), F.sum("pa").alias("pa"), F.sum("pb").alias("pb"))
+
+
+def block_pair_sums(named: DataFrame, block: int = 512, items: int = 1024) -> DataFrame:
+    """The sums of `item_pair_sums` as products of label matrices, so that no pair of annotators is a row for each item.
+
+    Annotators are dealt by hash to blocks of some `block`, items to chunks of some `items`. Every two blocks meet in a task of
+    their own for each chunk, as matrices of annotators by items; products of these count what the annotators share. A label
+    goes to as many tasks as there are blocks, whatever its item's annotators; an item's pairs spread over all of them.
+    """
+    many = named.agg(F.approx_count_distinct("who").alias("who"), F.approx_count_distinct("i").alias("i")).first()
+    blocks, chunks = max(1, -(-many.who // block)), max(1, -(-many.i // items))
+    dealt = named.withColumn("own", F.pmod(F.xxhash64("who", F.lit(17)), F.lit(blocks)).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("i", F.lit(19)), F.lit(chunks)).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other")).drop("other")
+    kind = named.schema["who"].dataType
+    schema = StructType().add("x", kind).add("y", kind)
+    for c in ("n_shared", "same", "px", "py"):
+        schema = schema.add(c, "long")
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, second = pdf["first"].iloc[0], pdf["second"].iloc[0]
+        at, _ = pd.factorize(pdf["i"])
+        values, _ = pd.factorize(pdf["l"])  # -1: null
+        sides = []
+        for own in (first, second):
+            mine = (pdf["own"] == own).to_numpy()
+            rows, names = pd.factorize(pdf["who"][mine])
+            sides.append((rows, names, at[mine], values[mine], pdf["p"].to_numpy()[mine]))
+        width = int(at.max()) + 1
+
+        def matrix(side, weights):
+            m = np.zeros((len(side[1]), width))
+            np.add.at(m, (side[0], side[2]), weights)
+            return m
+
+        x, y = sides
+        if not len(x[1]) or not len(y[1]):
+            return pd.DataFrame({f.name: [] for f in schema})
+        all_x, all_y = matrix(x, 1.0), matrix(y, 1.0)
+        shared = all_x @ all_y.T
+        same = sum((matrix(x, x[3] == v) @ matrix(y, y[3] == v).T for v in np.intersect1d(x[3][x[3] >= 0], y[3][y[3] >= 0])), np.zeros(shared.shape))
+        px, py = matrix(x, x[4]) @ all_y.T, all_x @ matrix(y, y[4]).T
+        r, c = np.nonzero(np.triu(shared, 1) if first == second else shared)
+        out = {"x": x[1].take(r), "y": y[1].take(c)} | {k: m[r, c].astype(np.int64) for k, m in (("n_shared", shared), ("same", same), ("px", px), ("py", py))}
+        return pd.DataFrame(out)
+
+    found = met.groupBy("first", "second", "chunk").applyInPandas(products, schema)
+    ordered = F.col("x") < F.col("y")
+    pick = lambda one, two, name: F.when(ordered, F.col(one)).otherwise(F.col(two)).alias(name)
+    return found.select(pick("x", "y", "a"), pick("y", "x", "b"), "n_shared", "same", pick("px", "py", "pa"), pick("py", "px", "pb")).filter("a < b")
 
 
 def pair_scores(sums: DataFrame) -> DataFrame:

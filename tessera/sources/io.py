@@ -38,13 +38,18 @@ def read_predictions(spark: SparkSession, paths: str | Sequence[str], schema: St
 def read_manifest(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str, sep: str = ",", multi_line: bool = True) -> DataFrame:
     """Rows of CSV or TSV files with a header line, which may begin with a byte order mark; file and line serve first-wins rules.
 
-    line: the row's number in its file, from 1, whatever the partitions. multi_line: fields may hold line ends, and a file is
-    read by one task; without, large files are split among tasks.
+    line: the row's number in its file, from 1, whatever the partitions. Rows are numbered where they are read: within their
+    block of the file by the order of the task, after the rows of the blocks before it, which a count of all blocks gives. No
+    row is shuffled or sorted for it, and the files are read twice. multi_line: fields may hold line ends, and a file is one
+    block; without, large files are split among tasks.
     """
     df = spark.read.schema(schema).csv(paths, header=True, sep=sep, multiLine=multi_line, escape='"', enforceSchema=True, ignoreLeadingWhiteSpace=False)
     named = df.select("*", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__row"))
-    order = Window.partitionBy("file").orderBy("__at", "__row")
-    return named.withColumn("line", F.row_number().over(order).cast("long")).drop("__at", "__row")
+    blocks = named.groupBy("file", "__at").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    earlier = F.sum("__n").over(Window.partitionBy("file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("__shift", F.coalesce(earlier, F.lit(0)) - F.col("__first") + 1).select("file", "__at", "__shift")
+    line = (F.col("__row") + F.col("__shift")).cast("long").alias("line")
+    return named.join(blocks, ["file", "__at"]).select(*df.columns, "file", line)
 
 
 def read_speaker_info(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -88,3 +88,22 @@ def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(r.line for r in rows if r.file.endswith("m.csv")) == list(range(1, 5001)) and all(r.line == r.id + 1 for r in rows if r.file.endswith("m.csv"))
     assert [r.line for r in rows if r.file.endswith("n.csv")] == [1]
+
+
+def test_manifest_lines_of_a_split_file(spark, tmp_path):
+    """Files of many blocks, an empty one and one of a single row: numbers follow the file, and rows are not shuffled by file."""
+    import os
+
+    for name, n in (("a", 9000), ("b", 1), ("c", 0), ("d", 700)):
+        with open(tmp_path / f"{name}.csv", "w", encoding="utf-8") as f:
+            f.write("name,value\n" + "".join(f"{name}{i},{'x' * (i % 37)}\n" for i in range(1, n + 1)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        t = S.read_manifest(spark, str(tmp_path), "name string, value string", multi_line=False)
+        assert t.rdd.getNumPartitions() > 8 and t.columns == ["name", "value", "file", "line"]
+        got = t.filter("value <> 'x'").collect()  # a later filter does not renumber
+        assert all(r.name[1:] == str(r.line) and os.path.basename(r.file)[0] == r.name[0] for r in got)
+        assert t.count() == 9701 and len(got) == 9701 - t.filter("value = 'x' or value is null").count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -75,6 +76,42 @@ def test_agreement_recomputed(spark):
         assert math.isclose(r.kappa, 1.0 if chance >= 1 else (same / n - chance) / (1 - chance), abs_tol=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_pairs_by_blocks_are_pairs_by_join(spark, kind):
+    """Items beyond the limit in blocks, with several labels, nulls and chunks of items; the rest by a join."""
+    rng = random.Random(4)
+    rows = [(a if kind == "int" else f"w{a}", i, rng.choice("AABC") if rng.random() > 0.1 else None) for a in range(40) for i in range(30) if rng.random() < (0.9 if i < 12 else 0.1)]
+    rows += [(None, 1, "A"), (rows[0][0], None, "A")]
+    df = spark.createDataFrame(rows, f"annotator {kind}, item int, label string")
+    want = {}
+    for a, i, x in rows:
+        for b, j, y in rows:
+            if None not in (a, b, i) and i == j and a < b:
+                s = want.setdefault((a, b), [0, 0, 0, 0])
+                for k, v in enumerate((1, x is not None and x == y, x == "A", y == "A")):
+                    s[k] += v
+    named = df.select(F.col("item").alias("i"), F.col("annotator").alias("who"), F.col("label").alias("l"), F.coalesce((F.col("label") == "A").cast("int"), F.lit(0)).alias("p"))
+    named = named.filter("i is not null and who is not null")
+    for sums in (L.item_pair_sums(named), L.block_pair_sums(named, 7, 100)):
+        assert {(r.a, r.b): [r.n_shared, r.same, r.pa, r.pb] for r in sums.collect()} == want
+    chunked = {}
+    for r in L.block_pair_sums(named, 16, 8).collect():
+        s = chunked.setdefault((r.a, r.b), [0, 0, 0, 0])
+        s[:] = [u + v for u, v in zip(s, (r.n_shared, r.same, r.pa, r.pb), strict=True)]
+    assert chunked == want
+    scores = lambda hot: sorted(map(tuple, L.pairwise(df, "annotator", "item", "label", "A", hot, 7).collect()))
+    assert len(scores(1000)) == len(want) and scores(1000) == scores(10) == scores(0)
+
+
+def test_pairs_of_an_item_that_everybody_labelled(spark):
+    n = 2500
+    df = spark.range(n).select(F.col("id").alias("annotator"), F.lit(1).alias("item"), F.when(F.col("id") % 3 == 0, "A").otherwise("R").alias("label"))
+    got = L.pairwise(df, "annotator", "item", "label", "A").agg(F.count("*"), F.sum("n_shared"), F.sum(F.col("agreement")), F.max("b")).first()
+    yes = len(range(0, n, 3))
+    assert tuple(got) == (n * (n - 1) // 2, n * (n - 1) // 2, yes * (yes - 1) // 2 + (n - yes) * (n - yes - 1) // 2, n - 1)
+    assert L.pairwise(df.limit(0), "annotator", "item", "label", "A").count() == 0
+
+
 def test_bootstrap_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(i % 3, i % 7 != 0) for i in range(300)], "g int, ok boolean")
     a, b = (sorted(S.bootstrap_ci(df.repartition(n), ["g"], "ok", 2000).collect()) for n in (1, 7))
