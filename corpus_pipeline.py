@@ -6,7 +6,7 @@ id or text rides along in one struct, apart from the columns that an operator ma
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, near, pii, toxicity
@@ -15,9 +15,14 @@ from tessera.llm.common import discard, released, saved
 ROW = "__row"
 
 
+def _named(columns: list[str]) -> list[Column]:
+    """Columns of any name."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a struct of all columns but the text, under a name that no operator uses."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias(ROW))
+    return docs.select("doc_id", "text", F.struct(*_named([c for c in docs.columns if c != "text"])).alias(ROW))
 
 
 def _unpacked(packed: DataFrame, columns: list[str], **changed) -> DataFrame:
@@ -43,9 +48,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Ids need not be unique: a row is known by its id and a digest of its columns, so of wholly equal rows one stays. Rows
     without id come after all others. Rows without words, null texts too, are classes of their own.
     """
-    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    rest = F.to_json(F.struct(*_named([c for c in docs.columns if c != "text"])))
     own = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text", rest).alias("digest"))
-    named = docs.select(own.alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+    named = docs.select(own.alias("row_id"), F.struct(*_named(docs.columns)).alias(ROW))
     classes = near.near_copies(named.select(F.col("row_id").alias("doc_id"), F.col(f"{ROW}.text").alias("text")))
     kept = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("row_id")).groupBy("row_id").agg(F.count("*").alias("times"))
     met = named.join(kept, "row_id")
