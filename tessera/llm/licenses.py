@@ -29,6 +29,8 @@ MORE = {
     "released into the public domain": "public-domain",
     "all rights reserved": "reserved",
 }
+#: Bytes of the longest character.
+WIDEST = 4
 
 
 def allowed(phrase: str) -> int:
@@ -46,7 +48,7 @@ class Notices:
         for phrase in self.labels:
             padded, e = f" {phrase} ", allowed(phrase)
             cuts = [round(k * len(padded) / (e + 1)) for k in range(e + 2)]
-            self.seeds += [(padded[a:b].encode("latin-1"), phrase, a) for a, b in zip(cuts, cuts[1:], strict=False)]
+            self.seeds += [(padded[a:b].encode(), phrase, a) for a, b in zip(cuts, cuts[1:], strict=False)]
             self.exact[phrase] = regex.compile(f" {regex.escape(phrase)}(?= )")
             self.fuzzy[phrase] = regex.compile(f"(?e)(?<= )(?:{regex.escape(phrase)}){{e<={e}}}(?= )") if e else None
 
@@ -56,7 +58,7 @@ class Notices:
         for seed, phrase, shift in self.seeds:
             e, at = allowed(phrase), block.find(seed)
             while at >= 0:
-                found.setdefault(phrase, []).append([at - shift - e - 1, at - shift + len(phrase) + 3 + e])
+                found.setdefault(phrase, []).append([at - shift - WIDEST * e - 1, at - shift + len(phrase) + 3 + WIDEST * e])
                 at = block.find(seed, at + 1)
         for phrase, spans in found.items():
             spans.sort()
@@ -74,28 +76,33 @@ class Notices:
         out: list[list[tuple[int, int, str, int]]] = [[] for _ in texts]
         starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
         block = b"\n".join(texts)
-        read = lru_cache(maxsize=4)(lambda i: texts[i].decode("latin-1"))  # spans come in order, so each text is read once a phrase
         for phrase, spans in self.candidates(block).items():
             for a, b in spans:
                 owner = int(np.searchsorted(starts, max(a, 0), "right")) - 1
                 while owner < len(texts) and starts[owner] < b:
                     lo, hi = max(a, int(starts[owner])), min(b, int(starts[owner + 1]) - 1)
-                    self._verify(phrase, read(owner), lo - int(starts[owner]), hi - int(starts[owner]), out[owner])
+                    self._verify(phrase, texts[owner], lo - int(starts[owner]), hi - int(starts[owner]), out[owner])
                     owner += 1
         return out
 
-    def _verify(self, phrase: str, text: str, lo: int, hi: int, out: list) -> None:
-        """The notices in a stretch: exact ones, and between them those within the allowed edits."""
-        start = max(lo - 1, 0)
-        part, at = text[start : hi + 1], 0  # a stretch by itself, so that a search costs its length alone
+    def _verify(self, phrase: str, text: bytes, lo: int, hi: int, out: list) -> None:
+        """The notices in a stretch: exact ones, and between them those within the allowed edits, in characters."""
+        start, stop = max(lo - 1, 0), min(hi + 1, len(text))
+        while start > 0 and text[start] & 0xC0 == 0x80:  # whole characters
+            start -= 1
+        while stop < len(text) and text[stop] & 0xC0 == 0x80:
+            stop += 1
+        raw, at = text[start:stop], 0  # a stretch by itself, so that a search costs its length alone
+        part = raw.decode("utf-8", "surrogatepass")
+        byte = range(len(raw) + 1) if raw.isascii() else [*np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80).tolist(), len(raw)]
         for m in [*self.exact[phrase].finditer(part), None]:
             end = m.start() + 1 if m else len(part)
             if self.fuzzy[phrase] and end - at >= len(phrase) - allowed(phrase):
                 for f in self.fuzzy[phrase].finditer(part[at:end]):
                     if edits := sum(f.fuzzy_counts):
-                        out.append((start + at + f.start(), start + at + f.end(), phrase, edits))
+                        out.append((start + byte[at + f.start()], start + byte[at + f.end()], phrase, edits))
             if m:
-                out.append((start + m.start() + 1, start + m.end(), phrase, 0))
+                out.append((start + byte[m.start() + 1], start + byte[m.end()], phrase, 0))
                 at = m.end()
 
 

@@ -46,7 +46,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and empty texts have no words and no notice; repeated rows stay; an empty table gives none."""
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), spans=True)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def test_seeds_miss_no_edited_notice():
             s = list(phrase)
             for _ in range(allowed(phrase)):
                 k = rng.randrange(1, len(s) - 1)
-                s[k : k + 1] = rng.choice([[], ["z"], [s[k], "q"]])
+                s[k : k + 1] = rng.choice([[], ["z"], [s[k], "q"], ["é"], [s[k], "字"], ["😀"]])
             s = "".join(s)
             assert edits(s, phrase) <= allowed(phrase)
             text = f" some words before {s} and after ".encode()
@@ -72,6 +72,29 @@ def test_short_notices_with_an_edit(spark):
     assert {r.doc_id: (r.labels, r.n_base) for r in scan(df).collect()} == {1: ("mit", 0), 2: ("apache", 0), 3: ("", 0)}
 
 
+def test_an_edit_is_a_character_and_spans_are_of_the_text(spark):
+    texts = ["é Apache lícense, ü", "ß mit licénse", "under mit lic字nse 字", "the m😀t license", "mit lícénse", "éé MIT License é mit licénse é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in scan(df, spans=True).collect()}
+    assert [rows[i].labels for i in range(6)] == ["apache", "mit", "mit", "mit", "", "mit"]
+    assert [[(texts[i][n.start : n.end], n.edits) for n in rows[i].notices] for i in range(6)] == [
+        [("Apache lícense", 1)], [("mit licénse", 1)], [("mit lic字nse", 1)], [("m😀t license", 1)], [], [("MIT License", 0), ("mit licénse", 1)],
+    ]
+    assert rows[5].n_base == 1 and rows[5].first_word == 1
+
+
+def test_query_returns_the_spans(spark, sf_small):
+    from tessera.llm.queries import op7_licenses
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
+    rows = op7_licenses(spark, sf_small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(texts[r.doc_id])
+        assert sorted({n.label for n in r.notices}) == list(filter(None, r.labels.split(",")))
+        assert all(0 <= n.start < n.end <= len(texts[r.doc_id]) for n in r.notices)
+
+
 def test_many_notices_in_one_text_take_time_in_proportion(spark):
     df = spark.createDataFrame([(1, "mit license, apache licence; " * 40_000)], "doc_id long, text string")
     start = time.time()

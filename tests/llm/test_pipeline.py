@@ -47,7 +47,7 @@ def test_odd_rows(spark, tmp_path):
 
 
 CLASHING = "n __text score predicted n_words hits matches n_hit n_items items_sha256 contaminated n_pii pii_kinds values __row __salt"
-CLASHING = [*CLASHING.split(), "key sig", "a.b", "row_id", "class_id", "n_links", "times", "digest"]
+CLASHING = [*CLASHING.split(), "key sig", "a.b", "a`b", "row_id", "class_id", "n_links", "times", "digest"]
 
 
 def test_columns_of_any_name_come_back_as_they_were(spark, tmp_path):
