@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator, Sequence
-from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from .folders import arrow_files
+
 #: Bytes of a chunk, which is one row, and of a range, which is one partition.
 CHUNK, RANGE = 8 << 20, 128 << 20
 #: Digests that one node of the tree joins.
@@ -56,14 +56,7 @@ class ByteRangeReader(DataSourceReader):
         return [Bytes(path, at, min(n, at + self.step)) for path, n in self.files for at in range(0, max(n, 1), self.step)]
 
     def read(self, partition: Bytes) -> Iterator[tuple]:
-        from pyarrow import fs
-
-        scheme, _, rest = re.sub(r"^file:/(?!/)", "file:///", partition.path).rpartition("://")
-        uri = f"{scheme or 'file'}://{quote(rest, safe='/:@')}"
-        try:
-            files, path = fs.FileSystem.from_uri(uri)
-        except Exception as e:
-            raise ValueError(f"tasks cannot open {uri}: {e}") from e
+        files, path = arrow_files(partition.path)
         with files.open_input_file(path) as f:
             for at in range(partition.start, partition.stop, self.chunk):
                 data = f.read_at(min(self.chunk, partition.stop - at), at)

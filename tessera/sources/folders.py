@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +21,18 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = spark._tessera_work = tempfile.mkdtemp(prefix="tessera-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def arrow_files(path: str):
+    """The Arrow file system of a path or URI, and the path in it: local and mounted paths, HDFS, S3, GCS and Azure.
+
+    What only Spark can open is an error that names it, rather than a folder on the machine that happens to ask.
+    """
+    from pyarrow import fs
+
+    scheme, _, rest = re.sub(r"^file:/(?!/)", "file:///", path).rpartition("://")
+    uri = f"{scheme or 'file'}://{quote(rest, safe='/:@')}"
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except Exception as e:
+        raise ValueError(f"tasks cannot open {uri}: {e}") from e

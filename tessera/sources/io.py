@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
-import re
 import uuid
 import wave
 from collections.abc import Sequence
@@ -16,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions import dsp
 from ..operators.scoring import n_if
-from .folders import work_dir  # noqa: F401
+from .folders import arrow_files, work_dir  # noqa: F401
 
 
 def path_part(at: int, path: Column | None = None) -> Column:
@@ -80,19 +78,24 @@ def read_waveforms(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 def write_waveforms(df: DataFrame, path: str, rate: int, key: str = "clip_id", samples: str = "samples", width: int = 2) -> int:
     """One mono PCM WAV file per row, `key`.wav in a folder that driver and executors share; the number of rows.
 
-    A file is written beside and then renamed, so a task that runs again leaves the same files. Keys must be safe names.
+    A file is written beside and then renamed, so a task that runs again leaves the same files. Keys must be safe names. Tasks
+    write through Arrow's file systems, as `chunks` reads; a scheme that those do not know raises before any task starts.
     """
-    folder = re.sub("^file:/*", "/", path)
-    os.makedirs(folder, exist_ok=True)
+    files, folder = arrow_files(path)
+    files.create_dir(folder, recursive=True)
 
     def write(batches):
+        files, folder = arrow_files(path)
         for pdf in batches:
             for k, x in zip(pdf[key], pdf[samples], strict=True):
-                to = os.path.join(folder, f"{k}.wav")
-                with wave.open(part := f"{to}.{uuid.uuid4().hex}", "wb") as w:
+                content = io.BytesIO()
+                with wave.open(content, "wb") as w:
                     w.setparams((1, width, rate, 0, "NONE", ""))
                     w.writeframes(dsp.to_pcm(x, width))
-                os.replace(part, to)
+                to = f"{folder}/{k}.wav"
+                with files.open_output_stream(part := f"{to}.{uuid.uuid4().hex}") as f:
+                    f.write(content.getvalue())
+                files.move(part, to)
             yield pd.DataFrame({"n": [len(pdf)]})
 
     return df.select(key, samples).mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n

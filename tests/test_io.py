@@ -107,3 +107,13 @@ def test_manifest_lines_of_a_split_file(spark, tmp_path):
         assert t.count() == 9701 and len(got) == 9701 - t.filter("value = 'x' or value is null").count()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_waveforms_are_written_through_their_file_system(spark, tmp_path):
+    df = spark.createDataFrame([("a", [0.0, 0.5]), ("b", [-0.5])], "clip_id string, samples array<double>")
+    for folder in (f"{tmp_path}/x y", f"file:{tmp_path}/z", f"file://{tmp_path}/z"):
+        assert S.write_waveforms(df, folder, 8) == 2
+    got = {r.path[-5]: r.samples for r in S.read_waveforms(spark, f"{tmp_path}/z/*.wav").collect()}
+    assert set(got) == {"a", "b"} and np.allclose(got["a"], [0, 0.5]) and len(list((tmp_path / "x y").iterdir())) == 2
+    with pytest.raises(ValueError, match="cannot open nowhere://"):
+        S.write_waveforms(df, "nowhere://host/folder", 8)
