@@ -1,7 +1,8 @@
-"""BPE encoding by speculation: propose greedily, verify adjacent pairs with numpy, merge exactly only what fails.
+"""BPE encoding by speculation: propose by merging wherever it looks right, verify adjacent pairs, merge exactly only what fails.
 
 A word's encoding is the proposed token sequence if each token encodes to itself and no merge crosses any boundary
-between neighbours. Both are decided from the merge table alone, for all pairs of a block of words at once.
+between neighbours. Proposals are made, and both conditions decided from the merge table alone, with numpy for all words
+of a block at once. Texts are lists of numbers of chunks; a chunk's tokens are kept, and their texts joined by Arrow.
 """
 
 from __future__ import annotations
@@ -12,21 +13,31 @@ import re
 import unicodedata
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import map_texts
 
 #: Bytes that the encodings a worker keeps may take, about.
 CACHE_BYTES = 160 << 20
+#: Bytes of a kept encoding beside its characters, about.
+ENTRY_BYTES = 250
 NEVER = 1 << 40
 NO_MERGE = (NEVER, 0)
 #: Below this character all tables agree.
 OLD = "\u0530"
 #: Bytes of words that are merged without a heap.
 SHORT = 32
+#: Bytes of words that get no proposal: one of equal letters would take a round for each.
+LONG = 64
+#: Words that are proposed at once.
+AT_ONCE = 1 << 15
+#: The byte codes of a word: as they stand within it, as its last, and the gap between words.
+GAP, CODES = 512, 513
 
 # Letters and numbers of Unicode 16, and lower cases of Unicode 17, beyond Python's tables of Unicode 15.1. The
 # tokenizers library splits by the former and lower-cases by the latter.
@@ -78,6 +89,32 @@ def lower(chunk: str) -> str:
     return composed(chunk).replace("Σ", "σ").lower().translate(LOWER_17)
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as its size, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def joined(texts: pa.Array, tokens: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts of tokens, joined by a space between one end and the next."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), texts.take(pa.array(tokens))), pa.scalar(" ", texts.type))
+
+
+def digests(texts: pa.Array) -> list[str]:
+    """SHA-256 of each large string."""
+    _, ends, data = texts.buffers()
+    where = np.frombuffer(ends, np.int64, len(texts) + 1).tolist()
+    data = memoryview(data) if data else b""
+    return [hashlib.sha256(data[a:b]).hexdigest() for a, b in pairwise(where)]
+
+
+class Numbering(dict):
+    """Numbers things in the order in which they first come."""
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        return number
+
+
 class WordBpe:
     """A BPE vocabulary with word-end marks, read from a tokenizer file."""
 
@@ -88,7 +125,6 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
         n = max(self.vocab.values()) + 1
@@ -102,31 +138,32 @@ class WordBpe:
         self.pair_keys = keys[order]
         self.pair_ranks = np.array([r for r, _ in self.ranks.values()], np.int64)[order]
         self.stable = self._stable(n)
-        self.known = {t: i for t, i in self.vocab.items() if self.stable[i]}
-        self.longest = max(len(t) for t in self.known if not t.endswith(self.end))
-        self.longest_end = max(len(t) - len(self.end) for t in self.known if t.endswith(self.end))
-        self.alphabet = byte_alphabet()
-        self.number = [str(i) for i in range(n)]
-        self.plain = dict(enumerate(self.alphabet[:128]))
-        self.inner = [self.vocab[c] for c in self.alphabet]
-        self.final = [self.vocab[c + self.end] for c in self.alphabet]
+        texts = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.texts = pa.array([texts.get(i, "") for i in range(max(texts) + 1)], pa.large_string())
+        self.numbers = pa.array([str(i) for i in range(max(texts) + 1)], pa.large_string())
+        alphabet = byte_alphabet()
+        self.inner = [self.vocab[c] for c in alphabet]
+        self.final = [self.vocab[c + self.end] for c in alphabet]
         self.rank_of = self.ranks.get
         self.made = [made for _, made in self.ranks.values()]
+        self.made_by = np.array(self.made, np.int64)
+        self.gap = n  # no token
+        self.symbols = np.array([*self.inner, *self.final, self.gap], np.int64)
+        self.code_ranks = self._pair_rank(np.repeat(self.symbols, CODES), np.tile(self.symbols, CODES))
         import regex
 
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(pattern).findall
+        self.split = regex.compile(pattern + "|\n").findall
         self.newer: set[str] = set()
         for letter, more in (("L", LETTERS_16), ("N", NUMBERS_16)):
             newer = _newer(regex, letter, more)
             self.newer |= newer
             if newer:
                 pattern = pattern.replace(rf"\p{{{letter}}}", rf"[\p{{{letter}}}--[{''.join(rf'\U{ord(c):08X}' for c in sorted(newer))}]]")
-        self.split_newer = regex.compile(pattern, regex.V1).findall
+        self.split_newer = regex.compile(pattern + "|\n", regex.V1).findall
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.cache: dict[str, tuple[int, str, str]] = {}
-        self.held = 0
         self.merged_exactly = self.proposed = 0
+        self._forget()
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if not len(self.pair_keys):
@@ -206,64 +243,122 @@ class WordBpe:
                 heappush(heap, (r[0], h, ids[h], ids[i]))
         return [t for t in ids if t >= 0]
 
-    def propose(self, word: str) -> list[int]:
-        """Greedy longest match over tokens that are stable; single symbols always are."""
-        s = word.translate(self.plain) if word.isascii() else "".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")])
-        get, end, longest = self.known.get, self.end, self.longest_end
-        at, out, size = 0, [], len(s)
-        while size - at > longest or (t := get(s[at:] + end)) is None:
-            stop = min(size - 1, at + self.longest)
-            while (t := get(s[at:stop])) is None:
-                stop -= 1
-            out.append(t)
-            at = stop
-        out.append(t)
-        return out
+    def _propose(self, raw: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Tokens of all words, with a gap before each and after the last.
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word; the verification runs over all adjacent pairs of all words at once."""
-        out = [self.propose(w) for w in words]
-        sizes = np.array([len(x) for x in out])
+        In a round each pair merges whose rank is lower than that of the pair before it and no higher than that of the pair
+        after it. That is right unless a neighbour would have grown and then taken part of the pair.
+        """
+        breaks = np.concatenate([[0], np.cumsum(sizes + 1)])
+        code = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8).astype(np.int64)
+        code[breaks[1:] - 1] += 256
+        code[breaks] = GAP
+        token = self.symbols[code]
+        rank = np.append(self.code_ranks[code[:-1] * CODES + code[1:]], NEVER)  # of the pair that begins at each symbol
+        after, before = np.arange(1, len(code) + 1), np.arange(-1, len(code) - 1)
+        while len(live := np.flatnonzero(rank < NEVER)):
+            own = rank[live]
+            i = live[(own < rank[before[live]]) & (own <= rank[after[live]])]
+            j = after[i]
+            k = after[j]
+            token[i], token[j] = self.made_by[rank[i]], -1
+            rank[j] = NEVER
+            after[i], before[k] = k, i
+            h = before[i]
+            rank[i], rank[h] = self._pair_rank(token[i], token[k]), self._pair_rank(token[h], token[i])
+        return token[token >= 0]
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words in a row, and how many each word has."""
+        parts = [self._encode_some(words[k : k + AT_ONCE]) for k in range(0, len(words), AT_ONCE)] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _encode_some(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that fit in memory several times; the verification runs over all adjacent pairs at once."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        redo = sizes > LONG
+        for w in np.flatnonzero(redo):
+            raw[w], sizes[w] = b"", 0
         self.proposed += len(words)
-        flat = np.array([t for x in out for t in x], np.int64)
-        if len(flat) < 2:
-            return out
-        owner = np.repeat(np.arange(len(out)), sizes)
-        inside = np.flatnonzero(owner[1:] == owner[:-1])
-        codes, where = np.unique(flat[inside] << 32 | flat[inside + 1], return_inverse=True)
+        token = self._propose(raw, sizes)
+        gaps = token == self.gap
+        owner = np.cumsum(gaps) - 1
+        inside = np.flatnonzero(~gaps[1:] & ~gaps[:-1])
+        codes, where = np.unique(token[inside] << 32 | token[inside + 1], return_inverse=True)
         wrong = ~self.compatible(codes >> 32, codes & 0xFFFFFFFF)
-        for w in np.unique(owner[inside[wrong[where]]]):
-            out[w] = self.merge(words[w])
-            self.merged_exactly += 1
-        return out
+        redo[owner[inside[wrong[where]]]] = True
+        token, owner = token[~gaps], owner[~gaps]
+        redo[owner[~self.stable[token]]] = True
+        exact = [self.merge(words[w]) for w in np.flatnonzero(redo)]
+        self.merged_exactly += len(exact)
+        sizes = np.bincount(owner, minlength=len(words))
+        sizes[redo] = list(map(len, exact))
+        out = np.empty(sizes.sum(), np.int32)
+        again = np.repeat(redo, sizes)
+        out[~again] = token[~redo[owner]]
+        out[again] = list(chain.from_iterable(exact))
+        return out, sizes
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodings of chunks without white space into the cache."""
-        parts = [
-            [c.lower()] if c.isascii() and c.isalpha() else (self.split if max(low := lower(c)) < OLD or self.newer.isdisjoint(low) else self.split_newer)(low)
-            for c in chunks
-        ]
-        distinct = list({w for p in parts for w in p})
-        number, text = self.number, self.text_of
-        words = {
-            w: (len(x), " ".join([number[t] for t in x]), " ".join([text[t] for t in x]))
-            for w, x in zip(distinct, self.encode_words(distinct), strict=True)
-        }
-        for chunk, p in zip(chunks, parts, strict=True):
-            if len(p) == 1:
-                self.cache[chunk] = words[p[0]]
-            else:
-                own = [words[w] for w in p]
-                self.cache[chunk] = (sum([x[0] for x in own]), " ".join([x[1] for x in own]), " ".join([x[2] for x in own]))
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Token ids of each word."""
+        flat, sizes = self._encode(words)
+        return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+
+    def _lower(self, chunks: list[str]) -> str:
+        """Lower-cased chunks, a line each."""
+        whole = "\n".join(chunks)
+        if max(whole) < OLD:
+            return lower(whole)
+        lines = lower("\n".join([c if max(c) < OLD else "" for c in chunks])).split("\n")
+        return "\n".join([line or lower(c) for line, c in zip(lines, chunks, strict=True)])
 
-    def encode_texts(self, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
-        """For each text its chunks: number of tokens, ids and token texts, both joined by a space.
+    def _learn(self, chunks: list[str]) -> None:
+        """Keep the tokens of chunks without white space, which are the last of those numbered."""
+        low = self._lower(chunks)
+        number = Numbering({"\n": 0})
+        pieces = (self.split if max(low) < OLD or self.newer.isdisjoint(low) else self.split_newer)(low)
+        piece = np.array(list(map(number.__getitem__, pieces)), np.int64)
+        flat, sizes = self._encode(list(number)[1:])
+        sizes = np.append(0, sizes)
+        starts = np.cumsum(sizes) - sizes
+        chunk = np.cumsum(piece == 0)  # a line end has no tokens
+        self._keep(flat[spans(starts[piece], sizes[piece])], np.bincount(chunk, sizes[piece], len(chunks)).astype(np.int64))
+
+    def _keep(self, tokens: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.append(self.starts, len(self.tokens) + np.cumsum(sizes) - sizes)
+        self.tokens, self.sizes = np.append(self.tokens, tokens), np.append(self.sizes, sizes)
+        self.uses = np.append(self.uses, np.zeros(len(sizes), np.int64))
+
+    def _forget(self) -> None:
+        """Keep no encodings but those of the special tokens."""
+        self.chunks, self.held = Numbering({s: i for i, s in enumerate(self.special)}), 0
+        self.tokens, self.sizes = np.array([*self.special.values()], np.int32), np.ones(len(self.special), np.int64)
+        self.starts, self.uses = np.arange(len(self.special)), np.zeros(len(self.special), np.int64)
+
+    def _thin(self) -> None:
+        """Keep the encodings that were of use again, if they leave half the room for others."""
+        again = np.flatnonzero(self.uses > 1)
+        again = again[again >= len(self.special)]
+        old, uses = (self.tokens, self.starts[again], self.sizes[again]), self.uses[again]
+        names = list(self.chunks)
+        kept = [names[i] for i in again]
+        self._forget()
+        size = sum(map(len, kept)) + ENTRY_BYTES * len(kept)
+        if size <= CACHE_BYTES // 2:
+            self.chunks.update(zip(kept, range(len(self.special), len(self.special) + len(kept))))
+            self._keep(old[0][spans(*old[1:])], old[2])
+            self.uses[len(self.special) :] = uses // 2
+            self.held = size
+
+    def _numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks of all texts by number, and how many each text has.
 
         The split pattern never crosses white space, so chunks between white space encode alike wherever they stand.
         """
-        pieces: list[list[str]] = []
+        chunks: list[str] = []
+        ends = []
         for t in texts:
-            chunks: list[str] = []
             for part in self.marks.split(t) if t and self.marks and "<|" in t else [t or ""]:
                 if part in self.special:
                     chunks.append(part)
@@ -271,17 +366,33 @@ class WordBpe:
                     chunks += [c for c in re.split("[^\\S\x1c-\x1f]+", part) if c]
                 else:
                     chunks += part.split()
-            pieces.append(chunks)
+            ends.append(len(chunks))
+        if len(self.chunks) != len(self.sizes):  # a call was broken off
+            self._forget()
         if self.held > CACHE_BYTES:
-            self.cache, self.held = {}, 0
-        for s, i in self.special.items():
-            self.cache[s] = (1, str(i), s)
-        missing = list({c for p in pieces for c in p if c not in self.cache})
-        if missing:
+            self._thin()
+        known = len(self.chunks)
+        found = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+        if missing := list(islice(self.chunks, known, None)):
             self._learn(missing)
-            self.held += sum(400 + 8 * len(c) for c in missing)
-        got = self.cache.__getitem__
-        return [list(map(got, p)) for p in pieces]
+            self.held += sum(map(len, missing)) + ENTRY_BYTES * len(missing)
+        self.uses += np.bincount(found, minlength=len(self.uses))
+        return found, np.diff(np.array(ends, np.int64), prepend=0)
+
+    def encode_texts(self, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
+        """For each text its chunks: number of tokens, ids and token texts, both joined by a space."""
+        found, sizes = self._numbered(texts)
+        tokens, ends = self.tokens[spans(self.starts[found], self.sizes[found])], np.append(0, np.cumsum(self.sizes[found]))
+        made = list(zip(self.sizes[found].tolist(), *(joined(x, tokens, ends).to_pylist() for x in (self.numbers, self.texts)), strict=True))
+        stops = np.cumsum(sizes).tolist()
+        return [made[a:b] for a, b in zip([0, *stops], stops)]
+
+    def token_ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of all texts in a row, and where each text's begin and the last one's end."""
+        found, sizes = self._numbered(texts)
+        counts = self.sizes[found]
+        ends = np.append(0, np.cumsum(counts))[np.append(0, np.cumsum(sizes))]
+        return self.tokens[spans(self.starts[found], counts)], ends
 
 
 @lru_cache(maxsize=2)
@@ -309,14 +420,11 @@ def encode(df: DataFrame, keep=("doc_id",), text: str = "text", path: str | None
         bpe = load(path or vocabulary_path())
 
         def work(texts):
-            rows = [[x for x in chunks if x[0]] for chunks in bpe.encode_texts(texts)]
-            numbers = [" ".join([x[1] for x in r]) for r in rows]
-            decoded = [" ".join([x[2] for x in r]) for r in rows]
-            out = {"n_tokens": [sum([x[0] for x in r]) for r in rows]}
-            out["ids_sha256"] = [hashlib.sha256(s.encode()).hexdigest() for s in numbers]
-            out["decoded_sha256"] = [hashlib.sha256(s.encode()).hexdigest() for s in decoded]
+            tokens, ends = bpe.token_ids(texts)
+            decoded = joined(bpe.texts, tokens, ends)
+            out = {"n_tokens": np.diff(ends), "ids_sha256": digests(joined(bpe.numbers, tokens, ends)), "decoded_sha256": digests(decoded)}
             if ids:
-                out |= {"ids": [list(map(int, s.split())) for s in numbers], "decoded": decoded}
+                out |= {"ids": [x.tolist() for x in np.split(tokens, ends[1:-1])], "decoded": decoded.to_pylist()}
             return out
 
         return work

@@ -114,3 +114,33 @@ def test_merging_by_heap_is_merging_by_rank():
             _, i = min(found)
             ids[i : i + 2] = [b.ranks[ids[i], ids[i + 1]][1]]
         assert b.merge(word) == ids
+
+
+def test_few_words_of_documents_are_merged_one_by_one(spark, library, sf_small):
+    texts = [r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").select("text").collect()]
+    b = bpe.WordBpe(vocabulary_path())
+    for text, chunks, (_, ids, _) in zip(texts, b.encode_texts(texts), brute(library, texts), strict=True):
+        assert [int(x) for c in chunks for x in c[1].split()] == ids, text
+    assert b.proposed > 1000 and b.merged_exactly < b.proposed / 10
+
+
+def test_words_of_use_stay_when_the_room_is_full(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 100_000)
+    b, rng = bpe.WordBpe(vocabulary_path()), random.Random(4)
+    for k in range(40):
+        often = [f"word{i}" for i in range(50)] + ["<|endoftext|>", "ΟΔΟΣ", "\u1C89x", "a" * 70]
+        texts = [" ".join(often), None, " ".join("".join(rng.choices("aeinorsthl", k=8)) for _ in range(100)), " ".join(often)]
+        assert [[int(x) for c in t for x in c[1].split()] for t in b.encode_texts(texts)] == [ids for _, ids, _ in brute(library, texts)]
+        assert "word7" in b.chunks and len(b.chunks) < 700
+    assert b.proposed < 40 * 120 + 50
+
+
+def test_a_block_mixes_all_kinds_of_words(library):
+    b, rng = bpe.WordBpe(vocabulary_path()), random.Random(6)
+    kinds = ["a" * 65, "ab" * 40, "é" * 33, "\u0345\u07FD", "\u1C89'S", "\U00010D6F1", "日本", "İΣ", "x\x1cy", "\x85", "<|endoftext|>"]
+    kinds += ["'ll!!'d", "ﬁ", "Word", "word,", "\x00"]
+    texts = ["".join(rng.choices([*kinds, " ", "\n"], k=rng.randrange(12))) for _ in range(3000)]
+    tokens, ends = b.token_ids(texts)
+    for text, i, j, (_, ids, _) in zip(texts, ends[:-1], ends[1:], brute(library, texts), strict=True):
+        assert tokens[i:j].tolist() == ids, text
+    assert [x.tolist() for x in b.token_ids([])] == [[], [0]] and b.token_ids([None, " "])[1].tolist() == [0, 0, 0]
