@@ -17,6 +17,12 @@ from ..operators.scoring import n_if
 from .folders import arrow_files, work_dir  # noqa: F401
 
 
+#: White space and control characters at the ends of a CSV field, which Spark's writer cuts off by default.
+AS_IT_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: What the reader puts for a field without quotes and text, to tell it from an empty text; no file says it.
+ABSENT = "absent-6c1e5f0b2f7d4a5e9a83d1c4b7e60f92"
+
+
 def path_part(at: int, path: Column | None = None) -> Column:
     """The at-th directory name from the end of a file's path; 1 is its own folder."""
     return F.try_element_at(F.split(F.input_file_name() if path is None else path, "/"), F.lit(-1 - at))
@@ -39,9 +45,10 @@ def read_manifest(spark: SparkSession, paths: str | Sequence[str], schema: Struc
     line: the row's number in its file, from 1, whatever the partitions. Rows are numbered where they are read: within their
     block of the file by the order of the task, after the rows of the blocks before it, which a count of all blocks gives. No
     row is shuffled or sorted for it, and the files are read twice. multi_line: fields may hold line ends, and a file is one
-    block; without, large files are split among tasks.
+    block; without, large files are split among tasks. A field with nothing between its separators is null, a quoted empty one
+    the empty text; white space stays.
     """
-    df = spark.read.schema(schema).csv(paths, header=True, sep=sep, multiLine=multi_line, escape='"', enforceSchema=True, ignoreLeadingWhiteSpace=False)
+    df = spark.read.schema(schema).csv(paths, header=True, sep=sep, multiLine=multi_line, escape='"', charToEscapeQuoteEscaping='"', enforceSchema=True, nullValue=ABSENT, emptyValue="", **AS_IT_IS)
     named = df.select("*", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__row"))
     blocks = named.groupBy("file", "__at").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
     earlier = F.sum("__n").over(Window.partitionBy("file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
@@ -128,7 +135,7 @@ def check_features(df: DataFrame, file: Sequence[str], clip: str, layer: str, ve
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
     """CSV (with header), JSON lines or Parquet; a target that is there raises."""
     w = df.write.mode("errorifexists").partitionBy(*partition_by)
-    w.csv(path, header=True, escape='"') if fmt == "csv" else w.format(fmt).save(path)
+    w.csv(path, header=True, escape='"', **AS_IT_IS) if fmt == "csv" else w.format(fmt).save(path)
 
 
 def first_root_wins(df: DataFrame, roots: DataFrame, root: str, keys: Sequence[str]) -> DataFrame:

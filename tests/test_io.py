@@ -117,3 +117,13 @@ def test_waveforms_are_written_through_their_file_system(spark, tmp_path):
     assert set(got) == {"a", "b"} and np.allclose(got["a"], [0, 0.5]) and len(list((tmp_path / "x y").iterdir())) == 2
     with pytest.raises(ValueError, match="cannot open nowhere://"):
         S.write_waveforms(df, "nowhere://host/folder", 8)
+
+
+def test_manifest_texts_come_back_as_they_were(spark, tmp_path):
+    """White space at the ends, empty texts beside null ones, line ends, quotes, backslashes and NUL."""
+    texts = ["", None, " ", " a\t", "\na\n", "a\r\nb\r", "\r", '"', '""a', 'a"\x00,"', "\x00", "\\", '\\"', "#a", "null", "\x1f,é\x85", "﻿a", ' "x"\n' * 300_000]
+    rows = [(i, None if i % 2 else "", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    S.write_table(df, f"{tmp_path}/m", "csv")
+    back = S.read_manifest(spark, f"{tmp_path}/m", "doc_id long, lang string, text string").select("doc_id", "lang", "text").collect()
+    assert sorted(map(tuple, back)) == rows
