@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .scoring import n_if, share
-from .spread import saved, spread_join
+from .spread import ordered_places, saved, spread_join
 
 
 def row_correctness(df: DataFrame, stored: str, answers: Sequence[str], truths: Sequence[str]) -> DataFrame:
@@ -170,7 +170,18 @@ def progress(items: DataFrame, done: DataFrame, annotators: DataFrame, annotator
     return out.withColumn("complete", F.col("n_done") >= F.col("n_items"))
 
 
-def next_item(assigned: DataFrame, done: DataFrame, annotator: str, item: str, order: Sequence[Column | str]) -> DataFrame:
-    """The first item of each annotator's list that is not done."""
-    left = assigned.join(done.select(annotator, item).distinct(), [annotator, item], "left_anti")
-    return left.groupBy(annotator).agg(F.min(F.struct(*order, item)).alias("m")).select(annotator, F.col(f"m.{item}").alias("next_item"))
+def next_item(who: DataFrame, lists: DataFrame, done: DataFrame, annotator: str, item: str, named: str, order: Sequence[str]) -> DataFrame:
+    """The first item of each annotator's list that is not done, in the order given and then by item, nulls last.
+
+    who: annotator, `named` (which list is theirs). lists: `named`, item and the columns of the order; any number of annotators
+    share one. done: annotator, item. Who has done the whole list has no row. Items are numbered within their list, and the first
+    one left is number 0 or follows a done one: only these are looked at, so no annotator is paired with a list's items.
+    """
+    own = who.select(annotator, named).filter(F.col(annotator).isNotNull()).distinct()
+    by = F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"none{i}"), F.col(c).alias(f"by{i}"))], F.col(item).alias("item"))
+    firsts = lists.filter(F.col(named).isNotNull() & F.col(item).isNotNull()).groupBy(named, item).agg(F.min(by).alias("__by"))
+    numbered = saved(ordered_places(firsts, ["__by"], "__place", [named]).select(named, item, F.col("__place").cast("long").alias("__place")))
+    did = saved(done.select(annotator, item).join(own, annotator).join(numbered, [named, item]).select(annotator, named, "__place"))
+    after = own.withColumn("__place", F.lit(0).cast("long")).unionByName(did.withColumn("__place", F.col("__place") + 1))
+    left = after.join(did, [annotator, named, "__place"], "left_anti").groupBy(annotator, named).agg(F.min("__place").alias("__place"))
+    return left.join(numbered, [named, "__place"]).select(annotator, F.col(item).alias("next_item"))

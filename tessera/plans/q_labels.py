@@ -94,7 +94,8 @@ def h9_progress(spark, sf):
 def h10_next_item(spark, sf):
     items = table(spark, sf, "part").select(F.col("p_partkey").alias("item"), (F.col("p_size") % 4).alias("category"), (F.col("p_partkey") % 20).alias("slot"))
     who = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("annotator"), (F.col("s_suppkey") % 20).alias("slot"))
-    return L.next_item(who.join(items, "slot"), rows(spark, sf), "annotator", "item", ["category"])
+    done = adapt(spark, sf, "SELECT l_suppkey AS annotator, l_partkey AS item FROM lineitem WHERE l_returnflag IN ('A', 'R')")  # the pairs of rows()
+    return L.next_item(who, items, done, "annotator", "item", "slot", ["category"])
 
 
 @query(f"WITH {A} SELECT annotator, item, ord, line, label, truth, response_time, coalesce(CASE WHEN line = 1 THEN replay > 25 END, label = CASE WHEN line > 3 THEN truth ELSE 'A' END) AS is_right FROM r")

@@ -3,14 +3,17 @@
 import hashlib
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import hash_order
 from tessera.operators import curate as C
+from tessera.operators import labels as L
 from tessera.operators import signal as W
 from tessera.operators import spread as S
 from tessera.operators import tables as T
+from tessera.plans import catalog
 
 
 def runs(active, least):
@@ -92,3 +95,29 @@ def test_leaders_by_name_and_unknown_keys(spark):
     m = spark.createDataFrame([("up", "linear", "low", 0.5), (None, "linear", None, 0.0)], "direction string, curve string, tier string, clipped_ratio double")
     got = sorted((r.scope, r.key, r.n_rows, r.mean_clipped_ratio) for r in W.clip_stats(m).collect())
     assert got == [("by_curve", "linear", 2, 0.25), ("by_direction", "unknown", 1, 0.0), ("by_direction", "up", 1, 0.5), ("by_tier", "low", 1, 0.5), ("by_tier", "unknown", 1, 0.0), ("overall", "all", 2, 0.25)]
+
+
+def test_next_item_over_shared_lists(spark, tmp_path):
+    """Lists that annotators share, against the SQL: items without a category last, repeated items, finished lists, items of other lists."""
+    rng, path = random.Random(8), str(tmp_path)
+    part = [(k, rng.choice([None, *range(8)])) for k in range(400)] + [(40, 0), (60, None), (None, 1)]
+    lines = [(rng.randrange(90), rng.randrange(400), rng.choice("ARN"), n) for n in range(9000)] + [(7, k, "A", 1) for k in range(400)] + [(None, 7, "A", 1), (8, None, "A", 1)]
+    spark.createDataFrame([(k,) for k in [*range(100), 3, None]], "s_suppkey long").write.parquet(f"{path}/supplier.parquet")
+    spark.createDataFrame(part, "p_partkey long, p_size int").write.parquet(f"{path}/part.parquet")
+    rows = spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_returnflag string, l_linenumber int")
+    rest = {"l_extendedprice": F.lit(1.0), "l_quantity": F.lit(1.0), "l_shipdate": F.lit("2024-01-01").cast("timestamp"), "l_orderkey": F.monotonically_increasing_id()}
+    rows.withColumns(rest).write.parquet(f"{path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("supplier", "part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, catalog.queries()["h10_next_item"](spark, path).collect()))
+    assert got == sorted(con.execute(catalog.oracle_sql()["h10_next_item"]).fetchall()) and 7 not in dict(got) and len(got) > 90
+
+
+def test_next_item_pairs_nobody_with_a_whole_list(spark):
+    """20,000 annotators of one list of 20,000 items: 400 million pairs, of which none but the done ones is made."""
+    ids = spark.range(20_000).select(F.col("id"), F.lit("one").alias("list"))
+    done = ids.filter("id % 2 = 0").select(F.col("id").alias("who"), F.lit(0).cast("long").alias("item")).union(ids.filter("id % 4 = 0").select("id", F.lit(1)))
+    got = L.next_item(ids.withColumnRenamed("id", "who"), ids.withColumnRenamed("id", "item"), done, "who", "item", "list", [])
+    assert "CartesianProduct" not in (plan := got._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+    assert {(r.n, r.next_item): r.k for r in got.groupBy((F.col("who") % 4).alias("n"), "next_item").agg(F.count("*").alias("k")).collect()} == {(0, 2): 5000, (1, 0): 5000, (2, 1): 5000, (3, 0): 5000}
