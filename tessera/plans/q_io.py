@@ -104,12 +104,12 @@ def s10_tree_digests(spark, sf):
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "n_chunks", "sha256")
 
 
-def _log(spark, sf):
-    """The annotation log as JSON lines in a folder, in two files; and its static tables."""
+def _log(spark, sf, files=None):
+    """The annotation log as JSON lines in a folder, in two files where they are taken one by one; and its static tables."""
     path = S.work_dir(spark, "log")
     a = adapt(spark, sf, ANNOTATION_ROWS)
     log = a.select(F.col("annotator").cast("string"), "category", F.col("item").cast("string"), F.when(F.col("line") == 7, "X").otherwise(F.col("label")).alias("label"), F.when(F.col("line") == 6, -F.col("response_time")).otherwise(F.col("response_time")).alias("response_time"), F.col("replay").cast("long"), F.col("shipped").alias("submitted_at"))
-    log.repartition(2, "annotator").write.json(path)
+    (log.repartition(2, "annotator") if files else log).write.json(path)
     items = a.filter("item % 9 <> 0").select(F.col("item").cast("string"), "truth").distinct()
     assigned = a.filter("annotator % 5 <> 0").select(F.col("annotator").cast("string"), "category").distinct()
     return path, items, assigned
@@ -129,7 +129,7 @@ def r1_stream_submissions(spark, sf):
 
 
 def _accepted(spark, sf, files=None):
-    return A.stream_submissions(spark, *_log(spark, sf), files=files).filter("reject_reason is null")
+    return A.stream_submissions(spark, *_log(spark, sf, files), files=files).filter("reject_reason is null")
 
 
 @query(f"""WITH {_LOG}, k AS (SELECT *, row_number() OVER (PARTITION BY annotator, category, item ORDER BY submitted_at, label, response_time, replay) AS nth

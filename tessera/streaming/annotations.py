@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,6 +37,8 @@ def stream_submissions(spark: SparkSession, path: str, items: DataFrame, assignm
 
 #: Groups that the keys of a state are dealt to. A checkpoint holds state by group, so the number stays as it is.
 PARTS = 256
+#: Entries of a bucket, the unit in which a part's state is read and written.
+FILL = 128
 #: Pairs in a frame that a task hands on.
 PAIR_ROWS = 50_000
 
@@ -44,22 +48,85 @@ def _keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+class Buckets:
+    """A part's entries, text -> what JSON can hold, in buckets of some FILL by linear hashing: one bucket splits for every FILL new entries.
+
+    State: number of a bucket -> its entries, and at -1 how many buckets and entries there are. Every call to the state costs as
+    much as hundreds of entries, so what a batch asks for is read and written by buckets, each once. A batch touches as many
+    as it has keys and new entries, whatever is held.
+    """
+
+    STATE = ("buckets", "bucket int", "entries string")
+
+    def __init__(self, state, coming: int) -> None:
+        """coming: about how many entries the first batch brings, for which buckets are laid out at once."""
+        self.state, self.held, self.changed = state, {}, set()
+        self.buckets, self.entries = json.loads(state.getValue((-1,))[0]) if state.containsKey((-1,)) else (0, 0)
+        if not self.buckets:
+            self.buckets = max(1, -(-coming // FILL))
+            self.held = {i: {} for i in range(self.buckets)}
+            self.changed = set(self.held)
+
+    def _at(self, key: str) -> int:
+        top, whole = 1 << (self.buckets.bit_length() - 1), zlib.crc32(key.encode())
+        low = whole & (2 * top - 1)
+        return low if low < self.buckets else whole & (top - 1)
+
+    def _bucket(self, i: int) -> dict:
+        if i not in self.held:
+            self.held[i] = json.loads(self.state.getValue((i,))[0])
+        return self.held[i]
+
+    def get(self, key: str):
+        return self._bucket(self._at(key)).get(key)
+
+    def add(self, key: str) -> bool:
+        """Puts an entry without a value; whether it is new."""
+        i = self._at(key)
+        bucket = self._bucket(i)
+        if key in bucket:
+            return False
+        bucket[key] = None
+        self.entries += 1
+        self.changed.add(i)
+        return True
+
+    def put(self, key: str, value) -> None:
+        i = self._at(key)
+        bucket = self._bucket(i)
+        self.entries += key not in bucket
+        bucket[key] = value
+        self.changed.add(i)
+
+    def save(self) -> None:
+        while self.entries > FILL * self.buckets:
+            i, new = self.buckets - (1 << (self.buckets.bit_length() - 1)), self.buckets
+            bucket = self._bucket(i)
+            self.buckets += 1
+            self.held[new] = {k: bucket.pop(k) for k in [k for k in bucket if self._at(k) == new]}
+            self.changed |= {i, new}
+        for i in self.changed:
+            self.state.updateValue((i,), (json.dumps(self.held[i], separators=(",", ":")),))
+        if self.changed:
+            self.state.updateValue((-1,), (json.dumps([self.buckets, self.entries]),))
+
+
 class FirstSubmission(StatefulProcessor):
-    """Tells the first submission of (annotator, category, item) from later ones. State of a part: a map of those seen."""
+    """Tells the first submission of (annotator, category, item) from later ones. State of a part: those seen."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "annotator string, category string, item string", "seen boolean")
+        self.seen = handle.getMapState(*Buckets.STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["submitted_at", "label", "response_time", "replay"], na_position="last", kind="stable")
-        any_seen, known, outcome = self.seen.exists(), set(), []
-        for what in zip(batch["annotator"], batch["category"], batch["item"], strict=True):
-            late = what in known or any_seen and self.seen.containsKey(what)
-            if not late:
-                self.seen.updateValue(what, (True,))
-            known.add(what)
-            outcome.append("repeated" if late else "kept")
-        yield batch.assign(outcome=outcome)
+        batch = pd.concat(list(rows), ignore_index=True)
+        late = np.zeros(len(batch), bool)
+        again = batch[batch["key_text"].duplicated(keep=False)].sort_values(["submitted_at", "label", "response_time", "replay"], na_position="last", kind="stable")
+        late[again.index[again["key_text"].duplicated()]] = True
+        first = np.flatnonzero(~late)
+        seen = Buckets(self.seen, len(first))
+        late[first] = [not seen.add(what) for what in batch["key_text"].to_numpy(object)[first].tolist()]
+        seen.save()
+        yield batch.drop(columns=["part_no", "key_text"]).assign(outcome=np.where(late, "repeated", "kept"))
 
     def close(self) -> None:
         pass
@@ -70,12 +137,12 @@ def stream_dedup(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     `kept`, all later ones as `repeated`.
 
     First by submitted_at within a batch (then label, time and replays), and by batch across batches. What has been seen is
-    state, dealt to parts by a hash of all three and looked up by key: no earlier output is read, and no item or annotator makes
-    a part. A part's rows of one batch are held together. annotator, category and item are never null in accepted rows.
+    state, dealt to parts by a hash of all three and looked up by buckets of keys: no earlier output is read, and no item or
+    annotator makes a part. A part's rows of one batch are held together. annotator, category and item are never null in accepted rows.
     """
     _keyed_state(df.sparkSession)
-    dealt = df.withColumn("__part", F.pmod(F.xxhash64("annotator", "category", "item"), F.lit(PARTS)).cast("int"))
-    told = dealt.groupBy("__part").transformWithStateInPandas(FirstSubmission(), StructType([*df.schema.fields, StructField("outcome", StringType())]), "Append", "None")
+    dealt = df.withColumns({"part_no": F.pmod(F.xxhash64("annotator", "category", "item"), F.lit(PARTS)), "key_text": F.to_json(F.array("annotator", "category", "item"))})
+    told = dealt.groupBy("part_no").transformWithStateInPandas(FirstSubmission(), StructType([*df.schema.fields, StructField("outcome", StringType())]), "Append", "None")
     return told.writeStream.format("parquet").partitionBy("outcome").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -5,6 +5,8 @@ import json
 import os
 import random
 
+import pandas as pd
+
 from tessera.operators import labels as L
 from tessera.streaming import annotations as A
 
@@ -69,3 +71,44 @@ def test_a_batch_reads_nothing_that_was_stored(spark, tmp_path):
     A.run_to(A.stream_pairs(A.stream_kept(spark, f"{path}/first"), "A", 1), f"{path}/pairs", f"{path}/c2")
     pairs = spark.read.parquet(*files(f"{path}/pairs")).collect()
     assert sorted((r.item, r.a, r.b, r.same, r.pa, r.pb) for r in pairs) == sorted((f"i{i}", f"p{a}", "p2", 0, 1, 0) for i in range(50) for a in (0, 1))
+
+
+class Held(dict):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def exists(self):
+        self.calls += 1
+        return bool(self)
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self
+
+    def getValue(self, key):
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+
+def test_submissions_ask_the_state_by_buckets():
+    """Batches of many and of few keys against a set: calls to the state are a small share of the keys, and few read little of it."""
+    p, rng, known = A.FirstSubmission(), random.Random(4), set()
+    p.seen = Held()
+    for n in (20_000, 3, 30_000, 5000, 1):
+        keys = [(f"p{rng.randrange(3000)}", "echo", f'i"{rng.randrange(12)},') for _ in range(n)]
+        rows = pd.DataFrame(keys, columns=["annotator", "category", "item"]).assign(label="A", response_time=1.0, replay=0, submitted_at=pd.Timestamp("2024-01-01"), part_no=1)
+        rows["key_text"] = [json.dumps(k) for k in keys]
+        rows["replay"] = rng.sample(range(n), n)
+        p.seen.calls = 0
+        (out,) = p.handleInputRows((1,), iter([rows.iloc[: n // 2], rows.iloc[n // 2 :]]), None)
+        assert p.seen.calls <= (5 * n + 3 if n < 10 else n / 8)
+        want = rows[~rows["key_text"].isin(known)].sort_values("replay").drop_duplicates("key_text")
+        assert sorted(out["replay"][out["outcome"] == "kept"]) == sorted(want["replay"]) and len(out) == n and list(out.columns) == [*rows.columns.drop(["part_no", "key_text"]), "outcome"]
+        known |= set(rows["key_text"])
+    stored = [json.loads(v[0]) for k, v in p.seen.items() if k != (-1,)]
+    assert sorted(k for b in stored for k in b) == sorted(known) and max(map(len, stored)) < 5 * A.FILL
