@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,8 @@ def stream_submissions(spark: SparkSession, path: str, items: DataFrame, assignm
 PARTS = 256
 #: Entries of a bucket, the unit in which a part's state is read and written.
 FILL = 128
-#: Pairs in a frame that a task hands on.
-PAIR_ROWS = 50_000
+#: Pairs that a task makes at once and hands on in a frame.
+PAIR_ROWS = 200_000
 
 
 def _keyed_state(spark: SparkSession) -> None:
@@ -172,48 +173,56 @@ def stream_agreement(kept: DataFrame, labels: tuple[str, str] = ("A", "R")) -> D
 class PairLabels(StatefulProcessor):
     """Pairs of every new label of an item with the labels of one slice of its annotators.
 
-    State of a part: (item, slice) -> labels. All new labels of an item come to each of its slices, those of the slice marked as
-    own. Two new ones pair where the greater annotator is at home.
+    State of a part: slice and item -> annotators and whether each said the positive label. All new labels of an item come to
+    each of its slices, those of the slice marked as own. Two new ones pair where the greater annotator is at home.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.labels = handle.getMapState("labels", "item string, slice int", "annotators array<string>, positives array<int>")
+        self.labels = handle.getMapState(*Buckets.STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        waiting, size, any_held = [], 0, self.labels.exists()
-        for (item, part), new in pd.concat(list(rows)).groupby(["item", "slice"], sort=False):
-            at = (item, int(part))
-            known = self.labels.getValue(at) if any_held and self.labels.containsKey(at) else ((), ())
-            own = new[new["own"]]
-            held = np.array([*known[0], *own["annotator"]], object)
-            yes = np.array([*known[1], *own["positive"]], np.int64)
-            if len(own):
-                self.labels.updateValue(at, (held.tolist(), yes.tolist()))
-            is_old = np.arange(len(held)) < len(known[0])
-            for who, positive in zip(new["annotator"], new["positive"], strict=True):
-                after = (held > who).astype(bool)
-                other = np.flatnonzero((is_old | after) & (held != who).astype(bool))
-                after = after[other]
-                pair = {
-                    "a": np.where(after, who, held[other]), "b": np.where(after, held[other], who), "same": (yes[other] == positive).astype(np.int64),
-                    "pa": np.where(after, positive, yes[other]), "pb": np.where(after, yes[other], positive),
-                }
-                waiting.append(pair | {"item": np.full(len(other), item, object)})
-                size += len(other)
-                if size >= PAIR_ROWS:
-                    yield _stacked(waiting)
-                    waiting, size = [], 0
-        if size:
-            yield _stacked(waiting)
+        new = pd.concat(list(rows), ignore_index=True)
+        group, keys = pd.factorize(new["key_text"])
+        items = np.array([k.partition(":")[2] for k in keys], object)
+        labels = Buckets(self.labels, len(keys))
+        known = [labels.get(k) or [[], []] for k in keys]
+        n_old = np.array([len(k[0]) for k in known])
+        # names as numbers in their order, of the labels held before and then of the new ones
+        code, names = pd.factorize(np.array([*chain.from_iterable(k[0] for k in known), *new["annotator"]], object), sort=True)
+        old, who = code[: n_old.sum()], code[n_old.sum() :]
+        yes, own = new["positive"].to_numpy(np.int64), new["own"].to_numpy(bool)
+        for g, name, said in zip(group[own].tolist(), new["annotator"][own], yes[own].tolist(), strict=True):
+            known[g][0].append(name)
+            known[g][1].append(said)
+        for g in np.unique(group[own]).tolist():
+            labels.put(keys[g], known[g])
+        labels.save()
+        # what is held of each group, group after group
+        told = np.concatenate([np.repeat(np.arange(len(keys)), n_old), group[own]])
+        order = np.argsort(told, kind="stable")
+        held, is_old = np.concatenate([old, who[own]])[order], order < len(old)
+        said = np.fromiter(chain.from_iterable(k[1] for k in known), np.int64, len(order))
+        n = np.bincount(told, minlength=len(keys))
+        first, size = (np.cumsum(n) - n)[group], n[group]
+        upto = np.cumsum(size)
+        at = 0
+        while at < len(new):
+            stop = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + PAIR_ROWS, "right")))
+            x = np.repeat(np.arange(at, stop), size[at:stop])
+            y = np.arange(len(x)) - np.repeat(upto[at:stop] - size[at:stop] - (upto[at] - size[at]) - first[at:stop], size[at:stop])
+            met = np.flatnonzero((is_old[y] | (held[y] > who[x])) & (held[y] != who[x]))
+            x, y, at = x[met], y[met], stop
+            after = held[y] > who[x]
+            if len(x):
+                yield pd.DataFrame({
+                    "item": items[group[x]], "a": names[np.where(after, who[x], held[y])], "b": names[np.where(after, held[y], who[x])], "same": (said[y] == yes[x]).astype(np.int64),
+                    "pa": np.where(after, yes[x], said[y]), "pb": np.where(after, said[y], yes[x]),
+                })
 
     def close(self) -> None:
         pass
 
 
-def _stacked(parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
-    return pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in ("item", "a", "b", "same", "pa", "pb")})
-
-
 def stream_pairs(kept: DataFrame, positive: str, slices: int = 4) -> DataFrame:
     """(item, a, b, same, pa, pb) with a < b, once for every two annotators of an item, when the later of their labels comes.
 
@@ -224,8 +233,8 @@ def stream_pairs(kept: DataFrame, positive: str, slices: int = 4) -> DataFrame:
     home = F.pmod(F.xxhash64("annotator"), F.lit(slices)).cast("int")
     told = kept.select("item", "annotator", F.coalesce(F.col("label") == positive, F.lit(False)).cast("int").alias("positive"), home.alias("__home"))
     told = told.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("own", F.col("slice") == F.col("__home")).drop("__home")
-    told = told.withColumn("__part", F.pmod(F.xxhash64("item", "slice"), F.lit(PARTS)).cast("int"))
-    return told.groupBy("__part").transformWithStateInPandas(PairLabels(), "item string, a string, b string, same long, pa long, pb long", "Append", "None")
+    told = told.withColumns({"part_no": F.pmod(F.xxhash64("item", "slice"), F.lit(PARTS)), "key_text": F.concat_ws(":", F.col("slice").cast("string"), "item")}).drop("slice", "item")
+    return told.groupBy("part_no").transformWithStateInPandas(PairLabels(), "item string, a string, b string, same long, pa long, pb long", "Append", "None")
 
 
 def stream_pair_agreement(pairs: DataFrame) -> DataFrame:

@@ -112,3 +112,22 @@ def test_submissions_ask_the_state_by_buckets():
         known |= set(rows["key_text"])
     stored = [json.loads(v[0]) for k, v in p.seen.items() if k != (-1,)]
     assert sorted(k for b in stored for k in b) == sorted(known) and max(map(len, stored)) < 5 * A.FILL
+
+
+def test_pairs_of_many_items_in_few_calls(monkeypatch):
+    """Batches of labels in two slices against all pairs, made in small pieces; calls to the state are a small share of the labels."""
+    monkeypatch.setattr(A, "PAIR_ROWS", 50)
+    parts, rng, labels, pairs, calls = [A.PairLabels(), A.PairLabels()], random.Random(6), {}, [], 0
+    for p in parts:
+        p.labels = Held()
+    for n in (3000, 40, 2000):
+        new = {(f"i:{int(rng.random() ** 3 * 400)}", f"p{rng.randrange(60)}"): rng.randrange(2) for _ in range(n)}
+        new = {k: v for k, v in new.items() if k not in labels}
+        for at, p in enumerate(parts):
+            rows = pd.DataFrame([(who, said, hash(who) % 2 == at, f"{at}:{item}", 1) for (item, who), said in new.items()], columns=["annotator", "positive", "own", "key_text", "part_no"])
+            for out in p.handleInputRows((1,), iter([rows]), None):
+                pairs += out[["item", "a", "b", "same", "pa", "pb"]].itertuples(index=False, name=None)
+        labels |= new
+        want = [(i, a, b, int(x == y), x, y) for (i, a), x in labels.items() for (j, b), y in labels.items() if i == j and a < b] if n == 2000 else []
+    assert sorted(pairs) == sorted(want) and len(want) > 10_000
+    assert sum(p.labels.calls for p in parts) < len(labels) / 20
