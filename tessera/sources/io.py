@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import uuid
 import wave
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,8 @@ from ..operators.scoring import n_if
 from .folders import arrow_files, work_dir  # noqa: F401
 
 
+#: Bytes of a file that a task holds to add them to its digest.
+PIECE = 8 << 20
 #: White space and control characters at the ends of a CSV field, which Spark's writer cuts off by default.
 AS_IT_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 #: What the reader puts for a field without quotes and text, to tell it from an empty text; no file says it.
@@ -153,10 +156,44 @@ def resolve_paths(df: DataFrame, listing: DataFrame, key: str, candidates: str,
 
 
 def file_digests(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """path, size and SHA-256 of every file, as recorded elsewhere. A file is one row, so 2 GB at most; see chunks.tree_digests."""
+    """path, size and SHA-256 of every file, as recorded elsewhere; Spark lists them and leaves out hidden and empty ones.
+
+    A file is read in pieces by one task, through Arrow's file systems, so it may have any size; see chunks.tree_digests for
+    digests that many tasks make of one. Where Arrow does not know a path's scheme, Spark reads the file as one row, 2 GB at most.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size"))
+    if all(map(_arrow_knows, _qualified(spark, [paths] if isinstance(paths, str) else paths))):
+        return files.mapInPandas(_hashed, "path string, size long, sha256 string")
     return spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def _qualified(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The paths with the scheme that Spark reads them by."""
+    named, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    return [(p := named(path)).getFileSystem(conf).makeQualified(p).toString() for path in paths]
+
+
+def _arrow_knows(path: str) -> bool:
+    try:
+        return bool(arrow_files(path))
+    except ValueError:
+        return False
+
+
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path, size in zip(pdf["path"], pdf["size"], strict=True):
+            files, at = arrow_files(path)
+            digest, read = hashlib.sha256(), 0
+            with files.open_input_stream(at, compression=None) as f:
+                while piece := f.read(PIECE):
+                    digest.update(piece)
+                    read += len(piece)
+            if read != size:
+                raise ValueError(f"{path} has changed while it was read")
+            yield pd.DataFrame({"path": [path], "size": [size], "sha256": [digest.hexdigest()]})
+
+
 def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Adds row_no from 1 in the order given, within `by`."""
     return df.withColumn("row_no", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -82,3 +82,22 @@ def test_stored_options(spark):
     df = spark.createDataFrame(rows, "id string, scores map<string,double>, gold string, option string, stored string")
     got = sorted(tuple(r) for r in M.check_options(df, "id", "scores", "AB", ("joy", "fear"), "gold", "option", "stored").collect())
     assert got == sorted([("stale", "stored_option"), ("stale", "stored_label"), ("gold", "invalid_gold"), *[(k, "invalid_scores") for k in ("nan", "less", "more", "none")], ("twice", "duplicate_id")])
+
+
+def test_a_plain_digest_beyond_two_gigabytes(spark, tmp_path):
+    """Files of any size, packed ones as they lie there, names that URIs escape, a folder, wildcards, a scheme that only Spark reads."""
+    n, whole = (2 << 30) + 5_000_001, hashlib.sha256()
+    with open(tmp_path / "big", "wb") as f:
+        f.truncate(n)
+    for at in range(0, n, 64 << 20):
+        whole.update(bytes(min(64 << 20, n - at)))
+    data = {"é 1%20#.bin": b"x" * 9_000_000, "none.bin": b"", "z.gz": b"\x1f\x8b not packed", "_hidden": b"left out"}
+    for name, body in data.items():
+        (tmp_path / name).write_bytes(body)
+    want = {"big": (n, whole.hexdigest())} | {k: (len(b), sha(b)) for k, b in data.items() if b and k != "_hidden"}
+    tell = lambda df: {os.path.basename(r.path): (r.size, r.sha256) for r in df.collect()}
+    assert tell(S.file_digests(spark, str(tmp_path))) == want
+    assert tell(S.file_digests(spark, [f"file:{tmp_path}/*.bin", f"{tmp_path}/z.gz"])) == {k: v for k, v in want.items() if k != "big"}
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.digests.link./in", f"file://{tmp_path}")
+    assert tell(S.file_digests(spark, "viewfs://digests/in/z.gz")) == {"z.gz": want["z.gz"]}
+    assert spark.read.format("binaryFile").load(f"{tmp_path}/z.gz").select("path").first().path == S.file_digests(spark, f"{tmp_path}/z.gz").first().path
