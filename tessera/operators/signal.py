@@ -17,6 +17,8 @@ from .spread import matches, ordered_places, spread_join
 DOUBLES = ArrayType(DoubleType())
 #: Clips in an Arrow batch: waveforms are large.
 CLIP_ROWS = 64
+#: Samples of batches that are rendered together where an effect takes many clips at once.
+WAITING = 1 << 20
 
 # Per category the step's parameter at either end. d stands for the tier's amount, r for the sample rate.
 ENDS = {
@@ -146,13 +148,24 @@ def render(clips: DataFrame, effect: str, key: str = "clip_id", **params) -> Dat
     source = clips.select(key, *names, stable_seed(F.lit(effect), F.col(key)).cast("string").alias("seed"))
     schema = type(source.schema)([source.schema[key]]).add("samples", DOUBLES).add("n_samples", "long").add("clipped_ratio", "double")
 
+    def rendered(pdf):
+        rows = [(np.asarray(row[0], float), *row[1:-1], row[-1]) for row in pdf[[*names, "seed"]].itertuples(index=False)]
+        if effect in dsp.EFFECTS_OF_ALL:
+            out = dsp.EFFECTS_OF_ALL[effect]([row[:-1] for row in rows], **params)
+        else:
+            out = [f(*row[:-1], **params | ({"seed": int(row[-1])} if effect == "noise" else {})) for row in rows]
+        return pd.DataFrame({key: pdf[key], "samples": out, "n_samples": [len(x) for x in out], "clipped_ratio": [float(np.mean(np.abs(x) > 1)) if len(x) else 0.0 for x in out]})
+
     def run(batches):
+        waiting, size = [], 0
         for pdf in batches:
-            out = []
-            for row in pdf[[*names, "seed"]].itertuples(index=False):
-                extra = params | ({"seed": int(row[-1])} if effect == "noise" else {})
-                out.append(f(np.asarray(row[0], float), *row[1:-1], **extra))
-            yield pd.DataFrame({key: pdf[key], "samples": out, "n_samples": [len(x) for x in out], "clipped_ratio": [float(np.mean(np.abs(x) > 1)) if len(x) else 0.0 for x in out]})
+            waiting.append(pdf)
+            size += pdf["samples"].map(len).sum()
+            if size >= WAITING or effect not in dsp.EFFECTS_OF_ALL:
+                yield rendered(pd.concat(waiting, ignore_index=True))
+                waiting, size = [], 0
+        if waiting:
+            yield rendered(pd.concat(waiting, ignore_index=True))
 
     return source.mapInPandas(run, schema)
 

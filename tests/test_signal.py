@@ -186,3 +186,25 @@ def test_the_probe_queries_against_loops(spark, sf_check):
         test = [(np.array(v, float), y) for out, y, v in all_rows if out]
         right = [int((((v - x.mean(axis=0)) / std) @ w[:-1] + w[-1] >= 0) == bool(y)) for v, y in test]
         assert held[g].n_test == len(test) and abs(held[g].accuracy - np.mean(right)) < 2e-6
+
+
+def test_lowpass_of_many_clips_is_that_of_each(spark):
+    """Clips of several lengths, rates, spans, curves and directions, some silent or empty, in any batches; few calls for those alike."""
+    rng, clips = np.random.default_rng(5), []
+    for i in range(400):
+        n = int(rng.choice([0, 1, 3, 60, 300, 660]))
+        x = rng.uniform(-1, 1, n) * (i % 7 > 0)
+        clips.append((i, x, int(rng.choice([2000, 8000])), 0.05, float(rng.choice([0.02, 0.1 + n / 4000])), str(rng.choice(["up", "down"])), str(rng.choice(MODES)), float(rng.choice([300, 700]))))
+    want = {}
+    for k, x, rate, onset, offset, direction, mode, amount in clips:
+        ends = (amount, rate / 2) if direction == "up" else (rate / 2, amount)
+        want[k] = dsp.by_steps(x, rate, onset, offset, *ends, mode, lambda s, v, rate=rate: dsp.match_rms(s, dsp.masked(s, lambda m: dsp.lowpass_mask(np.fft.rfftfreq(m, 1 / rate), v, 800.0))))
+    calls = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(dsp, "masked", lambda *a, whole=dsp.masked: calls.append(1) or whole(*a))
+        got = dsp.lowpass_all([c[1:] for c in clips])
+    assert all(np.array_equal(g, want[c[0]]) for g, c in zip(got, clips, strict=True)) and len(calls) < 400
+    df = spark.createDataFrame([(k, x.tolist(), *rest) for k, x, *rest in clips], "clip_id long, samples array<double>, rate int, onset_sec double, offset_sec double, direction string, curve string, amount double")
+    for parts in (1, 9):
+        assert all(np.array_equal(r.samples, want[r.clip_id]) for r in W.render(df.repartition(parts), "lowpass").collect())
+    assert W.render(df.limit(0), "lowpass").count() == 0
